@@ -22,8 +22,10 @@ makes no shard. Extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,9 @@ MEMO_WORDS = 400_000
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
+#: Letters that no normal form changes and that lower-case one by one.
+LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+
 _encoders: dict[int, WordEncoder] = {}
 
 
@@ -52,46 +57,60 @@ class WordEncoder:
     The tokenizer's pre-tokenizer never joins characters across white space,
     so the ids of a text are those of its words, one after another, and a word
     that comes again costs one dictionary lookup. Lower-casing A-Z first
-    changes nothing, since the tokenizer does so itself.
+    changes nothing, since the tokenizer does so itself. New words of plain
+    letters, which the tokenizer's normalizer and pre-tokenizer leave whole,
+    go to its model directly; so do the letters before a word's last point or
+    comma.
     """
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.memo: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _add(self, tokenizer, words: list[bytes], texts: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            found = tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)
+            self.memo.update(zip(words[i : i + 20_000], (array("I", e.ids).tobytes() for e in found), strict=True))
 
     def learn(self, words: set[bytes]) -> None:
         memo = self.memo
-        new = [w for w in words if w not in memo]
+        new = words.difference(memo)
         if len(memo) + 2 * len(new) > MEMO_WORDS and memo:
             memo.clear()
-            new = list(words)
-        # A word that ends in points or commas after a letter is two pieces for the tokenizer.
-        split = {w: len(w.rstrip(b".,")) for w in new}
-        split = {w: n for w, n in split.items() if n and n < len(w) and (w[n - 1] >= 0x61 and w[n - 1] <= 0x7A)}
-        need = [w for w in new if w not in split]
-        need += list({p for w, n in split.items() for p in (w[:n], w[n:])} - memo.keys() - set(need))
-        for i in range(0, len(need), 20_000):
-            memo.update(zip(need[i : i + 20_000], self._encode(need[i : i + 20_000]), strict=True))
-        for w, n in split.items():
-            memo[w] = memo[w[:n]] + memo[w[n:]]
+            new = words
+        ended = [w for w in new if w.endswith((b".", b",")) and w[-2:-1].isalpha()]
+        need = new.difference(ended)
+        need.update([w[:-1] for w in ended])
+        need.update((b".", b","))
+        need = list(need.difference(memo))
+        plain, lower, other = [], [], []
+        for w, text in zip(need, b"\n".join(need).decode("utf-8", "replace").lower().split("\n") if need else (), strict=True):
+            if text.isalpha() and (text.isascii() or LETTERS(text)):
+                plain.append(w)
+                lower.append(text)
+            else:
+                other.append(w)
+        rest = [w.decode("utf-8", "replace") for w in other]
+        self._add(self.plain, plain, lower)
+        self._add(self.tokenizer, other, rest)
+        for w in ended:
+            memo[w] = memo[w[:-1]] + memo[w[-1:]]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         some: list[list[bytes]] = []
         size = 0
         for i, w in enumerate(words):
             some.append(w)
             size += len(w)
-            if size >= 200_000 or i == len(words) - 1:
+            if size >= 400_000 or i == len(words) - 1:
                 self.learn(set().union(*some))
                 for x in some:
                     yield b"".join(map(self.memo.__getitem__, x))
