@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, mixing, pii, quality, token_output
+from quarry.llm import decontaminate, mixing, near_join, pii, quality, token_output
 from quarry.llm.shared import new_path
 
 
@@ -22,6 +22,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(_table(spark, sf_dir, "documents"), new_path(spark, "tokens"), tokenizer_path())
 
 
+def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_digest(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op3_near_join": op3_near_join,
     "op5_mixing": op5_mixing,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
