@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, mixing, near_join, pii, quality, token_output
+from quarry.llm import chat, decontaminate, line_dedup, mixing, near_join, pii, quality, token_output
 from quarry.llm.shared import new_path
 
 
@@ -22,6 +22,15 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(_table(spark, sf_dir, "documents"), new_path(spark, "tokens"), tokenizer_path())
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chat_digest(rows.unionByName(spark.createDataFrame(chat.EXTRA, rows.schema)))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_chat": op2_chat,
     "op3_near_join": op3_near_join,
+    "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
@@ -52,6 +63,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat": chat.ORACLE_SQL,
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
