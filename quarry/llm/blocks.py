@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +68,39 @@ def _mark(edges: DataFrame) -> tuple:
     h = F.xxhash64("a", "b")
     row = edges.agg(F.count("*"), F.sum(F.pmod(h, F.lit(1 << 31))), F.sum(F.shiftrightunsigned(h, 33))).first()
     return tuple(x or 0 for x in row)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal values in the first ``keys`` columns, from batches sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if held and a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def roots(links: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """The smallest representative that each row reaches over ``links`` (symmetric)."""
+    low = rep.copy()
+    while True:
+        new = np.minimum(low, np.where(links, low[None, :], np.iinfo(np.int64).max).min(1))
+        if (new == low).all():
+            return low
+        low = new

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontaminate, line_dedup, mixing, near_join, pii, quality, token_output
+from quarry.llm import chat, decontaminate, embedding_dedup, line_dedup, mixing, near_join, pii, quality, token_output
 from quarry.llm.shared import new_path
 
 
@@ -39,6 +39,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_near_join": op3_near_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
