@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontaminate, embedding_dedup, line_dedup, mixing, near_join, pii, quality, token_output
+from quarry.llm import chat, class_lm, decontaminate, embedding_dedup, line_dedup, mixing, near_join, pii, quality, token_output
 from quarry.llm.shared import new_path
 
 
@@ -43,6 +43,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_class_lm": op7_class_lm,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
