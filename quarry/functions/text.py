@@ -41,11 +41,11 @@ def overlap(query_tokens: Column, doc_tokens: Column) -> Column:
 
 def sentences(text: Column | str) -> Column:
     """Trimmed sentences that are not blank, split after end marks and at line breaks."""
-    return F.filter(F.transform(F.split(_text(text), SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(_text(text), SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def paragraphs(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(_text(text), r"\n\s*\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(_text(text), r"\n\s*\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def page_code(code: Column | str) -> Column:
