@@ -4,8 +4,8 @@ A line is parsed to a fixed depth: by its number of words, then by its first
 ``DEPTH`` words, with words that hold a digit masked. Lines of one leaf are
 generalised word by word: a word stays where at least ``MIN_DOCS`` documents
 have it at that place in the leaf, any other becomes a variable field. The
-result is the line's template, if at least ``SIMILARITY`` of its words stay. A
-template is recurring if lines of ``MIN_DOCS`` documents or more have it, and
+result is the line's template, if at least ``SIMILARITY`` of its words stay or
+are masked and at least ``CONSTANT`` of them stay. A template is recurring if lines of ``MIN_DOCS`` documents or more have it, and
 every line with a recurring template goes.
 
 Documents with equal texts count as one, so copies of a whole document don't
@@ -32,6 +32,7 @@ from quarry.llm.shared import stage
 DEPTH = 3
 MIN_DOCS = 3
 SIMILARITY = 0.8
+CONSTANT = 0.5
 FIELD = "<*>"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,10 +67,11 @@ def recurring(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_d
     marked = placed.join(constant.drop("n").withColumn("stays", F.lit(True)), ["leaf", "place", "word"], "left")
     templates = marked.groupBy("leaf", "line_key").agg(
         F.count("stays").alias("stay"),
+        F.count_if(F.col("word") == FIELD).alias("masked"),
         F.count("*").alias("n_words"),
         F.sort_array(F.collect_list(F.struct("place", F.when(F.col("stays"), F.col("word")).otherwise(F.lit(FIELD)).alias("word")))).alias("words"),
     )
-    templates = templates.filter(F.col("stay") >= F.lit(similarity) * F.col("n_words"))
+    templates = templates.filter((F.col("stay") + F.col("masked") >= F.lit(similarity) * F.col("n_words")) & (F.col("stay") >= F.lit(CONSTANT) * F.col("n_words")))
     templates = stage(templates.select("line_key", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("template")), "line-templates")
     seen = pairs.select("line_key", "text_key").join(templates, "line_key").select("template", "text_key").distinct()
     often = seen.groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
@@ -118,7 +120,7 @@ c AS (SELECT leaf, place, word FROM w WHERE word <> '{FIELD}' GROUP BY ALL HAVIN
 m AS (
   SELECT line, string_agg(coalesce(c.word, '{FIELD}'), ' ' ORDER BY w.place) AS template
   FROM w LEFT JOIN c ON w.leaf = c.leaf AND w.place = c.place AND w.word = c.word
-  GROUP BY line HAVING count(c.word) >= {SIMILARITY} * count(*)),
+  GROUP BY line HAVING count(c.word) + count(*) FILTER (w.word = '{FIELD}') >= {SIMILARITY} * count(*) AND count(c.word) >= {CONSTANT} * count(*)),
 o AS (SELECT template FROM m JOIN u USING (line) GROUP BY template HAVING count(DISTINCT text) >= {MIN_DOCS}),
 gone AS (SELECT line FROM m SEMI JOIN o USING (template)),
 x AS (

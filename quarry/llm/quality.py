@@ -149,7 +149,7 @@ def learn(
     few = spark.createDataFrame(chosen, few.schema)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(few), "i")
     # The segments are cut beside the data, so that a long text sends a bounded part of itself.
-    cut = F.udf(_spread, "array<binary>")
+    cut = F.udf(_spread, "array<binary>", useArrow=False)
     rows = texts.select("o0", "o1", "y", cut("t").alias("s")).collect()
     rows.sort(key=lambda r: (r["o0"], r["o1"], r["y"], [bytes(x) for x in r["s"][:1]]))
     return fit([(r["y"], [bytes(x) for x in r["s"]]) for r in rows])
