@@ -14,7 +14,7 @@ make its lines recur. Words are runs of anything but ASCII white space.
 Counts are made on keys (hashes of lines and texts) and partly before each
 shuffle, so a line that most documents share is one row where words are
 compared. The documents' texts are shuffled twice: once to have one text per
-different line, once to join what is dropped.
+different line, once to join the places of what is dropped.
 
 Defined results: a null text has no lines and stays null; blank lines stay; a
 repeated row counts once and is cleaned like its copies; an empty table gives an
@@ -37,6 +37,11 @@ FIELD = "<*>"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def key_of(text: Column) -> Column:
+    """A text's md5 in 16 bytes."""
+    return F.unhex(F.md5(text))
+
+
 def words(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
 
@@ -47,14 +52,14 @@ def masked(word: Column) -> Column:
 
 def leaf(line_words: Column, depth: int = DEPTH) -> Column:
     """The place of a line in the tree."""
-    return F.md5(F.concat_ws("\n", F.size(line_words).cast("string"), F.array_join(F.transform(F.slice(line_words, 1, depth), masked), "\n")))
+    return key_of(F.concat_ws("\n", F.size(line_words).cast("string"), F.array_join(F.transform(F.slice(line_words, 1, depth), masked), "\n")))
 
 
 def recurring(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """The lines that recur: ``line_key`` (md5), ``template`` and ``docs``, how many documents have the template."""
-    texts = docs.filter(F.col(text_col).isNotNull()).select(F.md5(text_col).alias("text_key"), F.explode(F.split(text_col, "\n", -1)).alias("line"))
+    texts = docs.filter(F.col(text_col).isNotNull()).select(key_of(F.col(text_col)).alias("text_key"), F.explode(F.split(text_col, "\n", -1)).alias("line"))
     texts = texts.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    lines = texts.select("line", "text_key", F.md5("line").alias("line_key"))
+    lines = texts.select("line", "text_key", key_of(F.col("line")).alias("line_key"))
     pairs = stage(lines.select("line_key", "text_key", leaf(words(F.col("line")), depth).alias("leaf")).distinct(), "line-pairs")
     counted = pairs.groupBy("leaf", "line_key").agg(F.count("*").alias("docs"))
     # A leaf with too few documents can't have a recurring template.
@@ -82,10 +87,9 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: its columns as the struct ``row``, ``n_lines``,
     ``n_dropped`` and the cleaned ``text``."""
     gone = stage(recurring(docs, text_col, **options).select("line_key"), "line-drops")
-    keyed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.md5(text_col).alias("text_key"))
-    at = keyed.filter("text is not null").groupBy("text_key").agg(F.first("text").alias("text"))
-    at = at.select("text_key", F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: F.md5(x))).alias("place", "line_key"))
-    drops = at.join(gone, "line_key").groupBy("text_key").agg(F.collect_list("place").alias("places"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), key_of(F.col(text_col)).alias("text_key"))
+    at = keyed.filter("text is not null").select("text_key", F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: key_of(x))).alias("place", "line_key"))
+    drops = at.join(gone, "line_key").groupBy("text_key").agg(F.collect_set("place").alias("places"))
     found = keyed.join(drops, "text_key", "left").withColumn("lines", F.split("text", "\n", -1))
     places = F.coalesce("places", F.array().cast("array<int>"))
     stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), places)

@@ -195,4 +195,20 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
 WITH p AS (SELECT event_type AS provider, value < 5 AS failed, CAST(floor(value) AS BIGINT) AS records FROM events),
 c AS (SELECT provider, count(*) AS queries, CAST(sum(CASE WHEN failed THEN 0 ELSE records END) AS BIGINT) AS records, count(*) FILTER (failed) AS errors FROM p GROUP BY provider)
 SELECT *, CASE WHEN errors = queries THEN 'failed' WHEN errors > 0 THEN 'degraded' WHEN records = 0 THEN 'empty' ELSE 'ok' END AS state FROM c""",
+    "rate_limit": """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+s AS (
+  SELECT event_id, user_id, r, t AS last, CAST(NULL AS BIGINT) AS second, true AS allowed FROM e WHERE r = 1
+  UNION ALL
+  SELECT e.event_id, e.user_id, e.r, CASE WHEN ok THEN e.t ELSE last END, CASE WHEN ok THEN last ELSE second END, ok
+  FROM (SELECT s.user_id, s.r, s.last, s.second, e.event_id, e.t, (s.second IS NULL OR e.t - s.second > 86400000000) AS ok FROM s JOIN e ON s.user_id = e.user_id AND e.r = s.r + 1) x
+  JOIN e ON x.event_id = e.event_id)
+SELECT event_id, allowed FROM s""",
+    "cache_hits": """
+WITH RECURSIVE e AS (SELECT event_id, user_id || '|' || event_type AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events),
+s AS (
+  SELECT event_id, key, r, t AS stored, false AS hit FROM e WHERE r = 1
+  UNION ALL
+  SELECT e.event_id, e.key, e.r, CASE WHEN e.t - s.stored <= 86400000000 THEN s.stored ELSE e.t END, e.t - s.stored <= 86400000000 FROM s JOIN e ON s.key = e.key AND e.r = s.r + 1)
+SELECT event_id, hit FROM s""",
 }

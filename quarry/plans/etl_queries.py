@@ -109,6 +109,18 @@ s AS (
   SELECT *, CAST(sum(CAST(heading AS INT)) OVER w AS BIGINT) AS section_no, coalesce(last_value(CASE WHEN heading THEN piece END IGNORE NULLS) OVER w, 'Discussion') AS section
   FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
+
+
+def _tails(source: str, key: str, text: str) -> str:
+    """CTEs up to ``tails`` (key, tail): the last whole sentences of a text, up to 160 characters."""
+    return f"""
+ts AS (
+  SELECT {key}, list_filter(string_split(regexp_replace(trim(replace({text}, chr(10), ' '), ' '), '([.。!?！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM {source}),
+tu AS (SELECT {key}, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM ts),
+tc AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY i DESC) AS back, sum(length(s)) OVER (PARTITION BY {key} ORDER BY i DESC) AS size FROM tu),
+tails AS (SELECT {key}, trim(string_agg(s, ' ' ORDER BY i), ' ') AS tail FROM tc WHERE back = 1 OR size <= 160 GROUP BY ALL)"""
+
+
 QUERIES = {
     "cleaned_pages": cleaned_pages,
     "page_kinds": page_kinds,
@@ -185,4 +197,17 @@ SELECT c_nationkey, string_agg(CASE WHEN i = 1 THEN line || chr(10) || '| --- |
     "reading_order": r"""
 SELECT doc_id, substr(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9一-鿿]+', ' ', 'g'), ' '), 1, 160) AS title_key,
   trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, substr(replace(text, chr(10), ' '), 1, 320) AS snippet FROM documents""",
+    "overlap_tails": f"WITH {_tails('documents', 'doc_id', 'text')} SELECT d.doc_id, coalesce(tail, '') AS tail FROM documents d LEFT JOIN tails USING (doc_id)",
+    "section_chunks": f"""
+WITH RECURSIVE {_SECTIONS},
+q AS (SELECT doc_id, section_no, section, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY pos) AS r, piece FROM s),
+k AS (
+  SELECT doc_id, section_no, section, r, 0 AS c, length(piece) AS size, piece FROM q WHERE r = 1
+  UNION ALL
+  SELECT q.doc_id, q.section_no, q.section, q.r, CASE WHEN k.size + length(q.piece) > 1100 THEN k.c + 1 ELSE k.c END, CASE WHEN k.size + length(q.piece) > 1100 THEN length(q.piece) ELSE k.size + length(q.piece) END, q.piece
+  FROM k JOIN q ON k.doc_id = q.doc_id AND k.section_no = q.section_no AND q.r = k.r + 1),
+b AS (SELECT doc_id, section_no, section, c, string_agg(piece, chr(10) || chr(10) ORDER BY r) AS chunk FROM k GROUP BY ALL),
+{_tails('b', 'doc_id, section_no, c', 'chunk')}
+SELECT b.doc_id, b.section_no, section, b.c AS "at", CASE WHEN b.c > 0 THEN coalesce(tail, '') || chr(10) || chr(10) || chunk ELSE chunk END AS chunk
+FROM b LEFT JOIN tails ON b.doc_id = tails.doc_id AND b.section_no = tails.section_no AND b.c = tails.c + 1""",
 }

@@ -125,7 +125,7 @@ def kg_rejected(spark, sf_dir):
 
 def kg_triples(spark, sf_dir):
     good, _ = K.validate(_candidates(spark, sf_dir), _rules(spark))
-    return good.select("triple_id", "subject_id", "relation", "object_id", "confidence", F.array_join("evidence_source_ids", ",").alias("sources"))
+    return good.select("subject_id", "relation", "object_id", "confidence", F.array_join("evidence_source_ids", ",").alias("sources"), F.md5("evidence_text").alias("evidence"))
 
 
 def kg_mentions(spark, sf_dir):
@@ -227,6 +227,8 @@ WITH {_SENTENCES}
 SELECT subject_id, relation, object_id, CASE WHEN confidence >= 0.75 THEN 'trusted' ELSE 'needs_review' END AS validation_status, count(*) AS n, round(sum(round(confidence, 3)), 3)::DOUBLE AS confidence
 FROM f WHERE ok GROUP BY ALL""",
     "kg_rejected": f"WITH {_SENTENCES} SELECT subject_id, relation, object_id, count(*) AS n FROM f WHERE NOT ok GROUP BY ALL",
+    "kg_triples": f"""
+WITH {_SENTENCES} SELECT subject_id, relation, object_id, round(confidence, 3)::DOUBLE AS confidence, 'd' || doc_id || ',' || source AS sources, md5(sentence) AS evidence FROM f WHERE ok""",
     "kg_mentions": r"""
 WITH e AS (
   SELECT list_filter([CASE WHEN regexp_matches(text, '(?i)(^|\s)the(\s|$)') THEN 'treatment:the' END, CASE WHEN regexp_matches(text, '(?i)(^|\s)(than|that)(\s|$)') THEN 'disease:than' END,
@@ -241,4 +243,10 @@ d AS (SELECT 's' || s_suppkey || '|SUPPLIES|n' || s_nationkey AS id, CASE WHEN s
 SELECT t.id AS triple_id, CASE WHEN word IS NULL THEN c ELSE greatest(c, 0.8) END AS confidence, CASE WHEN word IS NULL THEN vs ELSE 'trusted' END AS validation_status,
   CASE WHEN word IS NULL THEN 'auto' ELSE 'human_trusted' END AS review_status, CASE WHEN word IS NULL THEN ev ELSE ev || chr(10) || '[review_note] seen' END AS evidence_text
 FROM t LEFT JOIN d ON t.id = d.id WHERE word IS DISTINCT FROM 'reject'""",
+    "graph_navigation": f"""
+WITH l AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'K-C' || c_custkey AS code,
+    round(len(list_intersect(['building', 'machinery'], {_TOKENS.format("c_mktsegment || ' K-C' || c_custkey || ' ' || c_mktsegment")})) / 2.0, 6) AS score
+  FROM nation JOIN customer ON c_nationkey = n_nationkey)
+SELECT query_id, code, CAST(1 AS BIGINT) AS hop, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code) AS place FROM l QUALIFY place <= 3""",
 }
