@@ -1,14 +1,13 @@
 """Runs a query beside its oracle SQL and compares the rows, in any order."""
 
-import math
-
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def _plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if pd.api.types.is_scalar(value) and pd.isna(value):
         return None
     if isinstance(value, bool) or not isinstance(value, (int, float)):
         return str(value)
