@@ -64,7 +64,7 @@ def recurring(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_d
     counted = pairs.groupBy("leaf", "line_key").agg(F.count("*").alias("docs"))
     # A leaf with too few documents can't have a recurring template.
     full = counted.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    some = stage(counted.join(full, "leaf"), "line-leaves")
+    some = counted.join(full, "leaf")
     text = lines.groupBy("line_key").agg(F.first("line").alias("line")).join(some, "line_key")
     placed = text.select("leaf", "line_key", "docs", F.posexplode(words(F.col("line"))).alias("place", "word"))
     placed = stage(placed.withColumn("word", masked(F.col("word"))), "line-words")
@@ -86,7 +86,7 @@ def recurring(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_d
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: its columns as the struct ``row``, ``n_lines``,
     ``n_dropped`` and the cleaned ``text``."""
-    gone = stage(recurring(docs, text_col, **options).select("line_key"), "line-drops")
+    gone = recurring(docs, text_col, **options).select("line_key")
     keyed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), key_of(F.col(text_col)).alias("text_key"))
     at = keyed.filter("text is not null").select("text_key", F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: key_of(x))).alias("place", "line_key"))
     drops = at.join(gone, "line_key").groupBy("text_key").agg(F.collect_set("place").alias("places"))
