@@ -125,7 +125,7 @@ def encoder(tokenizer_json) -> WordEncoder:
     return _encoders[tokenizer_json.id]
 
 
-class Tokenizer_file:
+class TokenizerFile:
     """A tokenizer file's text as a Spark broadcast."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -267,7 +267,7 @@ def write_tokens(
     ``id_col``. Returns the manifest, one row per shard, with ``start``: the
     tokens in all shards before it. The manifest is also a table in ``out``."""
     spark = docs.sparkSession
-    source = Tokenizer_file(spark, tokenizer_path)
+    source = TokenizerFile(spark, tokenizer_path)
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
