@@ -6,7 +6,9 @@ the rotation that fits them best, each from another random start. A vector's
 code has a bit per dimension and rotation. The code is cut into substrings of
 about ``log2(n / BUCKET)`` bits, one hash table each, and as many tables are
 made as it takes to find ``RECALL`` of sample vectors moved to a cosine of
-exactly ``THRESHOLD`` in some table. Every vector is indexed in every table.
+exactly ``THRESHOLD`` in some table. Where ``MAX_ROTATIONS`` codes don't reach
+that, the substrings get shorter (and buckets larger) until they do; if single
+bits don't either, the call fails. Every vector is indexed in every table.
 
 Vectors that share a bucket are compared by the Hamming distance of their
 whole codes; those within reach of the threshold are reranked with the
@@ -42,6 +44,7 @@ RECALL = 0.995
 BUCKET = 8
 BLOCK = 1024
 ROUNDS = 30
+#: Rotations from which on substrings get shorter instead.
 MAX_ROTATIONS = 64
 #: Standard deviations of the code distance at the threshold that still count as near.
 REACH = 6.0
@@ -91,24 +94,38 @@ def fit(sample: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float
     v = sample - centre
     axes = np.linalg.eigh(v.T @ v + 1e-9 * np.eye(dims))[1][:, ::-1]
     bits = max(1, min(dims, 30, round(math.log2(max(2, n / BUCKET)))))
-    per_code = max(1, dims // bits)
-    # Sample vectors and, for each, one at the threshold itself.
-    probe = sample[rng.permutation(len(sample))[:4000]]
+    # Rotations fit the vectors they are learned from better than others, so the probes are other ones:
+    # sample vectors and, for each, one at the threshold itself.
+    order = rng.permutation(len(sample))
+    half = len(sample) // 2
+    train, probe = v[order[:half][:5000]], sample[order[half:][:4000]]
     aside = rng.standard_normal(probe.shape)
     aside -= (aside * probe).sum(1, keepdims=True) * probe
     norm = np.linalg.norm(aside, axis=1, keepdims=True)
     moved = threshold * probe + math.sqrt(1 - threshold**2) * aside / np.where(norm > 0, norm, 1)
-    train = v[rng.permutation(len(v))[:5000]]
+    if dims == 1:  # no vector but the same one is near
+        moved = probe
     rotations: list[np.ndarray] = []
-    found = np.zeros(len(probe), bool)
-    tables = 0
-    while found.mean() < recall and len(rotations) < MAX_ROTATIONS:
-        rotations.append(axes @ _rotation(train @ axes, rng))
-        same = ((probe - centre) @ rotations[-1] > 0) == ((moved - centre) @ rotations[-1] > 0)
-        for t in range(per_code):
-            if found.mean() < recall:
-                found |= same[:, t * bits : (t + 1) * bits].all(1)
-                tables += 1
+    same: list[np.ndarray] = []
+    while True:
+        per_code = max(1, dims // bits)
+        found = np.zeros(len(probe), bool)
+        tables = used = 0
+        while found.mean() < recall and used < MAX_ROTATIONS:
+            if used == len(rotations):
+                rotations.append(axes @ _rotation(train @ axes, rng))
+                same.append(((probe - centre) @ rotations[-1] > 0) == ((moved - centre) @ rotations[-1] > 0))
+            for t in range(per_code):
+                if found.mean() < recall:
+                    found |= same[used][:, t * bits : (t + 1) * bits].all(1)
+                    tables += 1
+            used += 1
+        if found.mean() >= recall:
+            break
+        if bits == 1:
+            raise RuntimeError(f"{tables} tables of one bit find {found.mean():.4f} of the vectors at the threshold, not {recall}")
+        bits -= 1
+    rotations = rotations[:used]
     rotation = np.hstack(rotations)
     apart = (((probe - centre) @ rotation > 0) != ((moved - centre) @ rotation > 0)).sum(1)
     near = int(min(rotation.shape[1], math.ceil(apart.mean() + REACH * apart.std() + 1)))

@@ -141,6 +141,26 @@ def test_near_vectors_of_nothing(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"]) for r in one) == [(0, 0), (3, 1), (3, 1)]
 
 
+@pytest.mark.parametrize("dims, n", [(64, 134_000_000), (32, 134_000_000), (64, 10_000)])
+def test_tables_of_any_number_of_vectors_reach_the_recall(dims, n):
+    rng = np.random.default_rng(8)
+    x, aside = rng.standard_normal((2, 4000, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = embedding_dedup.fit(x[:2000], n)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    met = (index.keys(index.codes(x[2000:])) == index.keys(index.codes(y[2000:]))).any(1)
+    assert met.mean() > 0.985
+
+
+def test_tables_that_miss_the_recall_are_an_error(monkeypatch):
+    x = np.eye(8)
+    monkeypatch.setattr(embedding_dedup, "MAX_ROTATIONS", 2)
+    with pytest.raises(RuntimeError):
+        embedding_dedup.fit(x, 1000, recall=1.01)
+    assert embedding_dedup.fit(np.array([[1.0], [1.0], [-1.0]]), 3).tables
+
+
 # language model
 
 
