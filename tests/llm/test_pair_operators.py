@@ -205,6 +205,43 @@ def test_model_is_a_distribution(spark):
     assert sum(10 ** r["score"] for r in one_word) < 1  # texts of one word, of all texts
 
 
+@pytest.mark.parametrize("lookup", [5, 100])
+def test_known_words_of_one_ending_have_classes_of_their_own(spark, lookup):
+    rng = random.Random(6)
+    nouns, verbs = [f"n{k}ing" for k in range(12)], [f"v{k}ing" for k in range(12)]
+    say = lambda: f"the {rng.choice(nouns)} did {rng.choice(verbs)}"
+    docs = [(i, " ".join(say() for _ in range(6))) for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(400, 600) if zlib.crc32(str(i).encode()) % 5 == 1]
+    asked = [(held[0], "the n3ing did v5ing"), (held[1], "the v5ing did n3ing")]
+    # Some words of either kind are units, so classes for both are there.
+    frame = spark.createDataFrame(docs + asked, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in class_lm.score_texts(frame, classes=5, words=8, suffixes=2, lookup=lookup).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
+def test_best_classes_raise_the_likelihood_most():
+    rng = np.random.default_rng(7)
+    cls = np.array([0, 1, 1, 2, 2, 3, 3, 1, 2, 3])
+    text = rng.integers(1, 10, 400)
+    text[rng.integers(0, 400, 40)] = 0
+    text = np.append(text, 0)
+    before, k = np.append(0, text[:-1]), 4
+
+    def table(cls):
+        return np.bincount(cls[before] * k + cls[text], minlength=k * k).reshape(k, k).astype(float)
+
+    def likelihood(cls):
+        t = table(cls)
+        return class_lm._h(t).sum() - class_lm._h(t.sum(1)).sum() - class_lm._h(t.sum(0)).sum()
+
+    for w in range(1, 10):
+        at = np.flatnonzero(text == w)
+        own = (before[at] == w).sum()
+        cells = np.concatenate([np.bincount(cls[text[at + 1]], minlength=k), np.bincount(cls[before[at]], minlength=k), [own]])
+        moved = [likelihood(np.where(np.arange(10) == w, b, cls)) for b in range(1, k)]
+        assert class_lm.best_classes(cells[None], cls[[w]], table(cls))[0] == 1 + int(np.argmax(moved))
+
+
 def test_exchange_finds_the_groups():
     rng = np.random.default_rng(0)
     left, right, n = [], [], []
