@@ -1,8 +1,8 @@
 """Conversation trees: messages (``conv_id``, ``id``, ``parent_id``, ``pos``) and their paths.
 
 ``pos`` orders siblings; a message without a parent is a root. Walks go down one
-level a round and stop when a level is empty, so a cycle ends them at
-``MAX_DEPTH``.
+level a round, each written as a table, and stop when a level is empty. Trees may
+be of any size and depth; messages whose parents go round in a circle are an error.
 """
 
 from __future__ import annotations
@@ -10,7 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 1000
+from quarry.llm.shared import new_path, stage
+
+
+def _walk(heads: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``heads`` (``conv_id``, ``id``, ``depth`` and others) and all
+    that come below them by ``links`` (``conv_id``, ``id``, ``next_id``)."""
+    links = stage(links.filter("id is not null and next_id is not null"), "links")
+    most = links.count()
+    base = new_path(heads.sparkSession, "walk")
+    schema, depth = heads.schema, 0
+    level = heads
+    while True:
+        path = f"{base}/{depth}"
+        level.select(*schema.names).write.parquet(path)
+        level = heads.sparkSession.read.schema(schema).parquet(path)
+        if level.isEmpty():
+            break
+        if depth > most:
+            raise ValueError("messages whose parents go round in a circle")
+        depth += 1
+        level = level.join(links, ["conv_id", "id"]).withColumn("id", F.col("next_id").cast(schema["id"].dataType)).withColumn("depth", F.lit(depth))
+    return heads.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(base)
 
 
 def backfill_links(messages: DataFrame, order: list[str]) -> DataFrame:
@@ -32,30 +53,18 @@ def chosen_children(messages: DataFrame) -> DataFrame:
     return kids.groupBy("conv_id", F.col("k.parent_id").alias("parent_id")).agg(F.max(rank)["id"].alias("child_id"))
 
 
-def active_paths(messages: DataFrame, spark_view: str = "quarry_children") -> DataFrame:
+def active_paths(messages: DataFrame) -> DataFrame:
     """``conv_id``, ``depth``, ``id`` along each conversation's active path,
     which starts at its last root (or ``is_active_root``)."""
     roots = messages.filter("parent_id is null").groupBy("conv_id").agg(F.max(F.struct("pos", "id"))["id"].alias("id"))
-    chosen_children(messages).createOrReplaceTempView(spark_view)
-    roots.createOrReplaceTempView(f"{spark_view}_roots")
-    return messages.sparkSession.sql(f"""
-        WITH RECURSIVE path MAX RECURSION LEVEL {MAX_DEPTH} AS (
-          SELECT conv_id, 0 AS depth, id FROM {spark_view}_roots
-          UNION ALL
-          SELECT p.conv_id, p.depth + 1, c.child_id FROM path p JOIN {spark_view} c ON p.conv_id = c.conv_id AND p.id = c.parent_id)
-        SELECT conv_id, depth, id FROM path""")
+    links = chosen_children(messages).select("conv_id", F.col("parent_id").alias("id"), F.col("child_id").alias("next_id"))
+    return _walk(roots.select("conv_id", F.lit(0).alias("depth"), "id"), links)
 
 
-def subtrees(messages: DataFrame, heads: DataFrame, view: str = "quarry_messages") -> DataFrame:
+def subtrees(messages: DataFrame, heads: DataFrame) -> DataFrame:
     """All messages at or below each of ``heads`` (``conv_id``, ``head_id``) with their depth."""
-    messages.select("conv_id", "id", "parent_id").createOrReplaceTempView(view)
-    heads.createOrReplaceTempView(f"{view}_heads")
-    return messages.sparkSession.sql(f"""
-        WITH RECURSIVE below MAX RECURSION LEVEL {MAX_DEPTH} AS (
-          SELECT conv_id, head_id, head_id AS id, 0 AS depth FROM {view}_heads
-          UNION ALL
-          SELECT b.conv_id, b.head_id, m.id, b.depth + 1 FROM below b JOIN {view} m ON b.conv_id = m.conv_id AND b.id = m.parent_id)
-        SELECT conv_id, head_id, id, depth FROM below""")
+    links = messages.select("conv_id", F.col("parent_id").alias("id"), F.col("id").alias("next_id"))
+    return _walk(heads.select("conv_id", "head_id", F.col("head_id").alias("id"), F.lit(0).alias("depth")), links)
 
 
 def delete_branches(messages: DataFrame, heads: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Rules on small literal rows, with Chinese text where the tables have none."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import conversations
 from quarry.functions import citations as N
 from quarry.functions import text as X
 from quarry.operators import citations as C
@@ -170,3 +172,19 @@ def test_record_matching_and_gates(spark):
 
 def test_relaxing_queries():
     assert [R.relax(c) for c in ([400], [6, 9], [2, 3, 1], [0, 0, 0], [1, 5])] == [-1, 0, 1, 2, 1]
+
+
+def test_tree_walks_have_no_row_limit_and_end_on_circles(spark):
+    rows = [(1, k, (k - 1) // 2 if k else None, k, None) for k in range(31)] + [(2, 5, 6, 0, None), (2, 6, 5, 1, None)]
+    messages = spark.createDataFrame(rows, "conv_id long, id long, parent_id long, pos long, active_child_id long")
+    heads = spark.createDataFrame([(1, 0)], "conv_id long, head_id long")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        got = conversations.subtrees(messages, heads).collect()
+        assert sorted((r["id"], r["depth"]) for r in got) == [(k, (k + 1).bit_length() - 1) for k in range(31)]
+        path = conversations.active_paths(messages).collect()
+        assert sorted((r["depth"], r["id"]) for r in path) == [(0, 0), (1, 2), (2, 6), (3, 14), (4, 30)]
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    with pytest.raises(ValueError):
+        conversations.subtrees(messages.filter("conv_id = 2"), spark.createDataFrame([(2, 5)], "conv_id long, head_id long"))
