@@ -55,6 +55,17 @@ def test_recurring_templates_go_and_the_rest_stays(spark):
     assert out[0]["row"]["lines"] == 1
 
 
+def test_odd_white_space_and_long_lines(spark):
+    """Leaves go by words, however they are set apart; a long line takes linear time."""
+    say = ["the  host served\tus", " the host served us ", "the host served us", "the host served us\r"]
+    docs = [(i, f"{say[i % 4]}\nmine {'abcdefgh'[i]}") for i in range(8)]
+    docs += [(20, "a" * 300_000 + " 1" * 100_000), (21, "   \n\t\n"), (22, "word " * 60_000), (20, "again another")]
+    out = {r["row"]["doc_id"]: r for r in line_dedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(8):
+        assert out[i]["text"] == f"mine {'abcdefgh'[i]}"
+    assert out[21]["text"] == "   \n\t\n" and out[21]["n_lines"] == 3 and out[22]["n_dropped"] == 0
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.drop_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
