@@ -29,7 +29,7 @@ def block_pairs(members: DataFrame, key: str, spread: Column, block: int, weight
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """The smallest node reachable from each node of ``edges`` (columns ``a``
-    and ``b``, long): columns ``node`` and ``component``.
+    and ``b``, of one type that can be ordered): columns ``node`` and ``component``.
 
     Large-star and small-star rounds: each node links its larger neighbours,
     then itself and its smaller ones, to the smallest of them, until nothing
@@ -37,12 +37,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     never gathered in one place: the smallest comes from an aggregation and
     goes back over a join.
     """
-    spark = edges.sparkSession
     now = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     total = _mark(now)
     for _ in range(rounds):
         if total[0] == 0:
-            return spark.createDataFrame([], "node long, component long")
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         # Large star: every neighbour above u moves to the smallest of u and its neighbours.
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -63,6 +62,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.union(roots)
 
 
+#: Keys that ``join_hot`` takes apart, and the rows from which on it does.
+HOT_KEYS, HOT_ROWS = 1000, 1000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row for each key and
+    tells in ``times`` how many rows have it. The ``HOT_KEYS`` most frequent
+    keys of more than ``HOT_ROWS`` rows go to the rows by broadcast, so that no
+    task gets all rows of such a key; any other key has less than a
+    ``HOT_KEYS``-th of all rows. Both sides should be written tables."""
+    hot = keyed.filter(F.col(times) > HOT_ROWS).orderBy(F.desc(times), *keys).limit(HOT_KEYS)
+    names = F.broadcast(hot.select(*keys))
+    cold = rows.join(names, keys, "left_anti").join(keyed.join(names, keys, "left_anti"), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Edges, and sums that change with any of them."""
     h = F.xxhash64("a", "b")

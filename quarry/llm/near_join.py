@@ -6,25 +6,36 @@ documents link if their shingle sets have a Jaccard similarity of
 ``THRESHOLD`` or more.
 
 Candidates come from a MinHash LSH forest: ``TREES`` prefix tries, each over
-its own sequence of up to ``DEPTH`` min-hashes, where documents that share a
-prefix lie side by side in sorted order. The prefix starts at full depth and is
-shortened, a level at a time, until a pair at the threshold itself shares one
-in some tree with probability ``RECALL`` or more (pairs above it more often).
-
-1. A scan makes each document's shingle set, its fingerprint and its prefixes.
+its own sequence of min-hashes. A document's label in a tree is a sorted prefix:
+the ``floor`` first min-hashes as one value, which rows are grouped by, then
+``LEVELS`` more, by which two documents of a group have a depth in common. A
+pair belongs to the tree where its prefixes agree longest, so it is verified
+once. Matching begins at full depth and the prefixes are shortened a level at a
+time, each level verifying the pairs whose longest agreement that is, until
+pairs as little alike as any seen (from ``SLACK`` below the threshold on, taken
+as at the threshold) are found with probability ``RECALL`` at that depth. The
+floor is where a pair at the threshold itself is, so no level below is needed.
+
+1. A scan makes each document's shingle set, its fingerprint and its labels.
    Documents with equal sets (exact copies above all) form one class; classes
    go on with one representative and a count.
-2. Representatives with equal prefixes meet. Large groups are dealt out in
-   pairs of bounded blocks. A pair belongs to the first tree where it meets, so
-   it is verified once.
-3. The texts of those with such a pair are brought to their blocks and every
-   pair is verified on whole shingle sets, as a product of membership matrices.
-   A block gives counts of links and the edges of a spanning forest, never its
-   pairs. Components of those edges name the groups.
+2. Representatives with equal floors meet. Large groups are dealt out in pairs
+   of bounded blocks.
+3. The texts of those with a pair of the level are brought to their blocks and
+   every pair is verified on whole shingle sets, as a product of membership
+   matrices. A block gives counts of links and the edges of a spanning forest,
+   never its pairs. Components of those edges name the groups.
+
+Of a group of n near copies that all differ, n / ``BLOCK`` texts reach a block
+for each of its rows: every pair is compared, and a task holds two blocks.
+
+Classes are named by the fingerprints of their sets, so ids may come more than
+once, on equal or different texts.
 
 Defined results: texts that are null or without words, and rows without an id,
 link with nothing and are groups of their own; repeated rows are copies; an
-empty table gives an empty result. Extra columns are ignored.
+empty table gives an empty result. Extra columns are ignored, whatever their
+names. ``drop_near`` keeps of each group the first row by id, then text.
 """
 
 from __future__ import annotations
@@ -33,10 +44,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.blocks import block_pairs, components, groups, roots
+from quarry.llm.blocks import block_pairs, components, groups, join_hot, roots
 from quarry.llm.shared import stage
 
 SHINGLE = 5
@@ -44,17 +55,27 @@ THRESHOLD = 0.8
 TREES = 24
 DEPTH = 10
 RECALL = 0.999
+#: Levels of a trie above its floor, each of 16 bits.
+LEVELS = 4
+#: Candidates so little below the threshold count as pairs at it when the recall is judged.
+SLACK = 0.1
 #: Documents and characters of a block.
-BLOCK, BLOCK_CHARS = 512, 8_000_000
+BLOCK, BLOCK_CHARS = 1024, 8_000_000
+BLANKS = " \t\n\v\f\r"
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _STEP = np.arange(1, 65, dtype=np.uint64) * _MIX[1]
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Shorten the prefix until a pair at the threshold is found with the target recall."""
+def found(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The probability that a pair shares a prefix of a depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def floor_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """The longest prefix with which a pair at the threshold is found with the target recall."""
     for d in range(depth, 0, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
+        if found(threshold, d, trees) >= recall:
             return d
     raise ValueError(f"{trees} trees can't reach a recall of {recall} at {threshold}")
 
@@ -80,66 +101,97 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
 
 
 class Forest:
-    """Prefixes of a shingle set, one per tree, as 64-bit hashes that also name the tree."""
+    """Labels of a shingle set: for each tree its floor, a 64-bit hash that also
+    names the tree, and the levels above, 16 bits each, the first in the highest bits."""
 
-    def __init__(self, trees: int, length: int, seed: int = 7):
+    def __init__(self, trees: int, floor: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        n = trees * length
+        n = trees * (floor + LEVELS)
         self.a = (rng.integers(0, 1 << 32, (n, 1), np.uint64) | np.uint64(1)).astype(np.uint32)
         self.b = rng.integers(0, 1 << 32, (n, 1), np.uint64).astype(np.uint32)
-        self.trees, self.length = trees, length
+        self.trees, self.floor = trees, floor
 
-    def prefixes(self, hashes: np.ndarray) -> np.ndarray:
+    def labels(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (hashes >> np.uint64(32)).astype(np.uint32)[None, :]
         low = None
         for i in range(0, x.shape[1], 2048):
             part = (self.a * x[:, i : i + 2048] + self.b).min(1)
             low = part if low is None else np.minimum(low, part)
-        low = low.reshape(self.trees, self.length).astype(np.uint64)
+        low = low.reshape(self.trees, -1).astype(np.uint64)
         out = np.arange(1, self.trees + 1, dtype=np.uint64) * _MIX[2]
-        for k in range(self.length):
+        for k in range(self.floor):
             out = _mixed(out * _MIX[0] + low[:, k] + _MIX[3])
-        return out.view(np.int64)
+        above = np.zeros(self.trees, np.uint64)
+        for k in range(self.floor, self.floor + LEVELS):
+            above = (above << np.uint64(16)) | (_mixed(low[:, k] + _MIX[3]) & np.uint64(0xFFFF))
+        return out.view(np.int64), above.view(np.int64)
 
 
-SIGNED = "doc_id long, set binary, n_chars long, prefixes array<long>"
+SIGNED = "doc_id long, text_key long, set binary, n_chars long, floors array<long>, above array<long>"
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, forest: Forest) -> DataFrame:
-    """Fingerprint and prefixes of every document that has words and an id."""
+    """Fingerprint and labels of every document that has words and an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            ids, sets, chars, prefixes = [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            some, sets, chars, floors, above = [], [], [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 h = shingles(text)
                 if len(h):
-                    ids.append(i)
+                    some.append(k)
                     sets.append(xxhash.xxh3_128_digest(h.tobytes()))
                     chars.append(len(text))
-                    prefixes.append(forest.prefixes(h))
-            flat = np.concatenate(prefixes) if prefixes else np.array([], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * forest.trees), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(chars, pa.int64()), lists], ["doc_id", "set", "n_chars", "prefixes"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
+                    low, high = forest.labels(h)
+                    floors.append(low)
+                    above.append(high)
+            offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * forest.trees)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.array([], np.int64))) for x in (floors, above)]
+            some = pa.array(some, pa.int64())
+            columns = [batch.column(0).take(some), batch.column(1).take(some), pa.array(sets, pa.binary()), pa.array(chars, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SIGNED.split(", ")])
+
+    rows = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
     return rows.mapInArrow(run, SIGNED)
 
 
-def _meet(bi: int, bj: int, mine: np.ndarray, prefixes: np.ndarray, bucket: int) -> np.ndarray:
-    """Which pairs of a block pair belong to this bucket: i before j, across
-    blocks unless it is one, and no earlier tree where the two meet."""
-    n = len(mine)
-    first = int(np.argmax(prefixes[0] == bucket))
-    pairs = np.triu(np.ones((n, n), bool), 1)
-    if bi != bj:
-        pairs &= mine[:, None] != mine[None, :]
-    for t in range(first):
-        p = prefixes[:, t]
-        pairs &= p[:, None] != p[None, :]
-    return pairs
+def _keys(id_col: str, text_col: str) -> list:
+    return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key")]
+
+
+def _meet(bi: int, bj: int, mine: np.ndarray, floors: np.ndarray, above: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a block pair (of rows in different blocks, unless it is
+    one) that belong to this bucket: both rows and the levels above the floor
+    on which they agree. A pair belongs to the tree where it agrees on most,
+    of those to the first."""
+    tree = int(np.argmax(floors[0] == bucket))
+    if bi == bj:
+        i, j = np.triu_indices(len(mine), 1)
+    else:
+        left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+    # A tree's label down to each level; that of the last level is the whole one.
+    labels = [floors.view(np.uint64)]
+    for k in range(1, LEVELS + 1):
+        part = above.view(np.uint64) >> np.uint64(16 * (LEVELS - k))
+        labels.append(floors.view(np.uint64) ^ _mixed(part * _MIX[0] + _MIX[1]))
+    level = np.zeros(len(i), np.int8)
+    for k in range(1, LEVELS + 1):
+        level += labels[k][i, tree] == labels[k][j, tree]
+    own = []
+    for k in range(LEVELS, -1, -1):
+        at = np.flatnonzero(level == k)
+        others = [(k, t) for t in range(tree)] + [(k + 1, t) for t in range(floors.shape[1]) if k < LEVELS and t != tree]
+        for deep, t in others:
+            if not len(at):
+                break
+            x = labels[deep][:, t]
+            at = at[x[i[at]] != x[j[at]]]
+        own.append(at)
+    own = np.concatenate(own)
+    return i[own], j[own], level[own]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -147,33 +199,41 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-NEEDED = "bucket long, bi int, bj int, mine int, rep long"
-LINKED = "a long, b long, n long"
+NEEDED = "bucket long, bi int, bj int, mine int, set binary, level int"
+LINKED = "a binary, b binary, n long, least double"
 
 
-def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block pair, the rows that have a pair of their own there."""
-    names = ["bucket", "bi", "bj", "mine", "rep"]
-    out: list[tuple] = []
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _batch(schema: str, out: list[list]) -> pa.RecordBatch:
+    """The columns of several parts, one after another."""
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*out, strict=True)) or [()] * len(fields)
+    kinds = [_ARROW[kind] for _, kind in fields]
+    arrays = [pa.concat_arrays([pa.array([], k), *(x if isinstance(x, pa.Array) else pa.array(x, k) for x in c)]) for k, c in zip(kinds, columns, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
-    def batch() -> pa.RecordBatch:
-        rows = [np.concatenate(c) if out else np.array([], np.int64) for c in zip(*out, strict=True)] if out else [np.array([], np.int64)] * 5
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(rows, kinds, strict=True)], names)
 
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block pair and level, the rows that have a pair of their own there."""
+    out: list[list] = []
     for group in groups(batches, 3):
         if group.num_rows < 2:
             continue
         bucket, bi, bj = (group.column(k)[0].as_py() for k in range(3))
-        mine, rep = (group.column(k).to_numpy() for k in (3, 4))
-        pairs = _meet(bi, bj, mine, _matrix(group.column(5)), bucket)
-        some = pairs.any(0) | pairs.any(1)
-        if k := int(some.sum()):
-            out.append((np.full(k, bucket), np.full(k, bi), np.full(k, bj), mine[some], rep[some]))
+        mine = group.column(3).to_numpy()
+        i, j, level = _meet(bi, bj, mine, _matrix(group.column(5)), _matrix(group.column(6)), bucket)
+        names = group.column(4).combine_chunks()
+        for k in np.unique(level).tolist():
+            at = level == k
+            rows = np.unique(np.concatenate([i[at], j[at]]))
+            n = len(rows)
+            out.append([np.full(n, bucket), np.full(n, bi, np.int32), np.full(n, bj, np.int32), mine[rows], names.take(pa.array(rows)), np.full(n, k, np.int32)])
         if len(out) >= 5000:
-            yield batch()
+            yield _batch(NEEDED, out)
             out = []
-    yield batch()
+    yield _batch(NEEDED, out)
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -188,7 +248,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     number = np.cumsum(often) - 1
     keep = often[place]
     owner, place = owner[keep], number[place[keep]]
-    out = np.zeros((n, n), np.float64)
+    out = np.zeros((n, n), np.float32)  # whole numbers, exact up to 2 ** 24 words
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
     width = 8192
@@ -200,38 +260,89 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            rows = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.array([], np.int64)] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in rows], ["a", "b", "n"])
+def _verify(threshold: float, at: int):
+    """Links and the least similarity of the pairs of one level."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = []
+        least = 2.0
         for group in groups(batches, 3):
             if group.num_rows < 2:
                 continue
             bucket, bi, bj = (group.column(k)[0].as_py() for k in range(3))
-            mine, rep, copies = (group.column(k).to_numpy() for k in (3, 4, 5))
-            pairs = _meet(bi, bj, mine, _matrix(group.column(6)), bucket)
-            sets = [shingles(t) for t in group.column(7).to_pylist()]
+            mine, copies = group.column(3).to_numpy(), group.column(5).to_numpy()
+            i, j, level = _meet(bi, bj, mine, _matrix(group.column(6)), _matrix(group.column(7)), bucket)
+            i, j = i[level == at], j[level == at]
+            if not len(i):
+                continue
+            sets = [shingles(t) for t in group.column(8).to_pylist()]
             size = np.array([len(s) for s in sets], float)
-            both = shared_counts(sets)
-            near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-            links = pairs & near
-            links |= links.T
-            some = links.any(1)
-            if some.any():
-                root = roots(links, rep)
-                out.append((rep[some], root[some], (links @ copies)[some]))
+            both = shared_counts(sets)[i, j].astype(float)
+            either = size[i] + size[j] - both
+            like = both / either
+            close = like[like >= threshold - SLACK]
+            if len(close):
+                least = min(least, float(close.min()))
+            near = both >= threshold * either - 1e-9
+            if near.any():
+                links = np.zeros((len(sets), len(sets)), bool)
+                links[i[near], j[near]] = links[j[near], i[near]] = True
+                some = np.flatnonzero(links.any(1))
+                names = group.column(4).combine_chunks()
+                root = roots(links, np.arange(len(sets)))
+                out.append([names.take(pa.array(some)), names.take(pa.array(root[some])), (links @ copies)[some], pa.nulls(len(some), pa.float64())])
             if len(out) >= 2000:
-                yield batch()
+                yield _batch(LINKED, out)
                 out = []
-        yield batch()
+        out.append([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), np.array([least])])
+        yield _batch(LINKED, out)
 
     return run
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, trees: int, recall: float, block: int) -> DataFrame:
+    """One row per document with words and an id: ``doc_id``, ``text_key``,
+    ``lead`` (both of the first of its group), ``n_links`` and ``n_copies``."""
+    floor = floor_depth(threshold, trees, recall=recall)
+    signed = stage(sign(docs, id_col, text_col, Forest(trees, floor)), "signed")
+    classes = stage(
+        signed.groupBy("set").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"), F.max("n_chars").alias("n_chars"), F.first("floors").alias("floors"), F.first("above").alias("above")),
+        "classes",
+    )
+    reps = classes.select("set", "copies", "n_chars", "floors", "above")
+    members = reps.select("set", "n_chars", F.explode("floors").alias("bucket"))
+    met = block_pairs(members, "bucket", F.xxhash64("set"), block, "n_chars", BLOCK_CHARS)
+    keys = ["bucket", "bi", "bj"]
+    met = met.join(reps.select("set", "floors", "above"), "set").select(*keys, "mine", "set", "floors", "above")
+    needed = stage(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_needed, NEEDED), "needed")
+    active = needed.select("set").distinct().join(classes.select("set", "rep.*"), "set")
+    texts = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
+    # Rows of one id and text are equal, any of them will do.
+    texts = active.join(texts, ["doc_id", "text_key"]).dropDuplicates(["set"]).select("set", "text")
+    texts = stage(reps.drop("n_chars").join(texts, "set").select("set", "copies", "floors", "above", "text"), "texts")
+    linked, least = None, 2.0
+    for level in range(LEVELS, -1, -1):
+        ready = needed.filter(F.col("level") == level).join(texts, "set").select(*keys, "mine", "set", "copies", "floors", "above", "text")
+        part = stage(ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold, level), LINKED), "linked")
+        linked = part if linked is None else linked.unionByName(part)
+        least = min(least, part.agg(F.min("least")).first()[0] or 2.0)
+        if least > 1 or found(max(least, threshold), floor + level, trees) >= recall:
+            break
+    edges = linked.filter("a is not null")
+    named = components(edges.select("a", "b"))
+    counts = edges.groupBy("a").agg(F.sum("n").alias("n"))
+    nodes = stage(named.join(classes.select(F.col("set").alias("node"), "rep"), "node"), "near-nodes")
+    leads = stage(nodes.groupBy("component").agg(F.min("rep").alias("lead"), F.count("*").alias("times")), "near-leads")
+    nodes = join_hot(nodes.select("node", "component"), leads, ["component"], "times").select("node", "lead")
+    done = (
+        classes.join(nodes, classes["set"] == nodes["node"], "left")
+        .join(counts, classes["set"] == counts["a"], "left")
+        .select("set", "copies", F.coalesce("lead", "rep").alias("lead"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    )
+    rows = join_hot(signed.select("doc_id", "text_key", "set"), stage(done, "near-classes"), ["set"], "copies")
+    return rows.select("doc_id", "text_key", "lead", "n_links", F.col("copies").alias("n_copies"))
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -245,39 +356,33 @@ def near_groups(
     group), ``n_links`` (other documents linked with it directly), ``n_copies``
     (documents with its shingle set, itself included) and ``kept`` (whether the
     group is named after it)."""
-    forest = Forest(trees, prefix_length(threshold, trees, recall=recall))
-    signed = stage(sign(docs, id_col, text_col, forest), "signed")
-    classes = stage(signed.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_chars").alias("n_chars")), "classes")
-    # A representative's id may be on repeated rows, or on another text too: one row of each set goes on.
-    reps = signed.join(classes.select("set", "rep", "copies"), "set").filter("doc_id = rep").dropDuplicates(["set"])
-    reps = stage(reps.select("rep", "copies", "n_chars", "prefixes"), "reps")
-    members = reps.select("rep", "n_chars", F.explode("prefixes").alias("bucket"))
-    met = block_pairs(members, "bucket", F.xxhash64("rep"), block, "n_chars", BLOCK_CHARS)
-    keys = ["bucket", "bi", "bj"]
-    met = met.join(reps.select("rep", "prefixes"), "rep").select(*keys, "mine", "rep", "prefixes")
-    needed = stage(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_needed, NEEDED), "needed")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).filter("text is not null")
-    active = needed.select("rep").distinct()
-    texts = stage(active.join(reps, "rep").join(texts, "rep").dropDuplicates(["rep"]).select("rep", "copies", "prefixes", "text"), "texts")
-    ready = needed.join(texts, "rep").select(*keys, "mine", "rep", "copies", "prefixes", "text")
-    linked = stage(ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold), LINKED), "linked")
-    groups = components(linked.select("a", "b"))
-    counts = linked.groupBy("a").agg(F.sum("n").alias("n"))
-    named = (
-        classes.join(groups, classes["rep"] == groups["node"], "left")
-        .join(counts, classes["rep"] == counts["a"], "left")
-        .select("set", "copies", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    )
-    found = signed.select("doc_id", "set").join(named, "set").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0).alias("words"))
-    alone = ids.filter("not words or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns."""
-    kept = near_groups(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.withColumn("__row", F.struct("*"))
-    first = rows.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    first = first.join(kept, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    return first.unionByName(rows.filter(F.col(id_col).isNull())).select("__row.*")
+    rows = _grouped(docs, id_col, text_col, threshold, trees, recall, block)
+    rows = rows.select("doc_id", F.col("lead.doc_id").alias("class_id"), "n_links", "n_copies")
+    one = F.lit(1).cast("long")
+    alone = docs.select(F.col(id_col).cast("long").alias("doc_id"), _wordless(text_col).alias("none")).filter("none or doc_id is null")
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), (one - 1).alias("n_links"), one.alias("n_copies"))
+    return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def _wordless(text_col: str) -> Column:
+    return F.coalesce(F.trim(F.col(text_col), F.lit(BLANKS)) == "", F.lit(True))
+
+
+def drop_near(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    trees: int = TREES,
+    recall: float = RECALL,
+    block: int = BLOCK,
+) -> DataFrame:
+    """One row of each group, the first by id, text and other columns, with all
+    its columns, and all rows without words or an id."""
+    kept = _grouped(docs, id_col, text_col, threshold, trees, recall, block).select("lead.*").distinct()
+    rest = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)))
+    rows = docs.select(F.struct("*").alias("row"), *_keys(id_col, text_col), _wordless(text_col).alias("none"), rest.alias("rest"))
+    order = Window.partitionBy("doc_id", "text_key").orderBy("rest")
+    first = rows.filter("doc_id is not null and not none").join(kept, ["doc_id", "text_key"], "left_semi")
+    first = first.withColumn("place", F.row_number().over(order)).filter("place = 1")
+    return first.select("row").unionByName(rows.filter("doc_id is null or none").select("row")).select("row.*")

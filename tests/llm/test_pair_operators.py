@@ -65,14 +65,40 @@ def near_texts():
     return list(enumerate(texts))
 
 
-def test_prefixes_are_shortened_until_the_recall():
-    assert near_join.prefix_length(0.8, 24, 10, 0.999) == 6
-    assert 1 - (1 - 0.8**7) ** 24 < 0.999
+def test_prefixes_are_shortened_to_the_recall():
+    assert near_join.floor_depth(0.8, 24, 10, 0.999) == 6
+    assert near_join.found(0.8, 7, 24) < 0.999 <= near_join.found(0.8, 6, 24)
     with pytest.raises(ValueError):
-        near_join.prefix_length(0.1, 2, 10, 0.999)
-
-
-@pytest.mark.parametrize("block", [512, 20])
+        near_join.floor_depth(0.1, 2, 10, 0.999)
+
+
+def test_a_pair_belongs_to_one_tree_the_deepest():
+    rng = np.random.default_rng(1)
+    floors = rng.integers(0, 3, (60, 5)) + 10 * np.arange(5)
+    above = rng.integers(0, 2, (60, 5, near_join.LEVELS), dtype=np.int64)
+    packed = (above << np.array([48, 32, 16, 0])).sum(2)
+    level = lambda i, j, t: -1 if floors[i, t] != floors[j, t] else int(np.cumprod(above[i, t] == above[j, t]).sum())
+    want = {}
+    for i in range(60):
+        for j in range(i):
+            deep, tree = max((level(i, j, t), -t) for t in range(5))
+            if deep >= 0:
+                want[j, i] = (int(floors[i, -tree]), deep)
+    got = {}
+    for bucket in np.unique(floors).tolist():
+        rows = np.flatnonzero((floors == bucket).any(1))
+        for bi, bj in ((0, 0), (0, 1), (1, 1)):
+            mine = rows % 2
+            some = np.isin(mine, (bi, bj))
+            part = rows[some]
+            for i, j, n in zip(*near_join._meet(bi, bj, mine[some], floors[part], packed[part], bucket), strict=True):
+                key = tuple(sorted((int(part[i]), int(part[j]))))
+                assert key not in got
+                got[key] = (bucket, int(n))
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [1024, 20])
 def test_near_groups_equal_all_pairs(spark, block):
     docs = near_texts()
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, class_id string, rep int")
@@ -80,7 +106,7 @@ def test_near_groups_equal_all_pairs(spark, block):
     got = {r["doc_id"]: r for r in near_join.near_groups(frame, block=block).collect()}
     assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == want
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got.values())
-    if block == 512:
+    if block == 1024:
         kept = near_join.drop_near(frame)
         assert kept.columns == frame.columns
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in want.values()})
@@ -95,6 +121,44 @@ def test_near_groups_of_nothing_and_without_ids(spark):
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 4, 5]
 
 
+def test_one_id_on_different_texts_and_clashing_names(spark):
+    """Links and groups go by texts, not by ids; no row is lost but copies."""
+    rng = random.Random(8)
+    a, b = (" ".join(rng.choices([f"w{k}" for k in range(300)], k=90)) for _ in range(2))
+    docs = [(1, a, 1, "x"), (1, b, 2, "x"), (2, a + " more", 3, None), (3, b + " more", 4, "y"), (4, "alone here", 5, "z"), (4, "also alone", 6, "z"), (None, a, 7, "z"), (None, a, 7, "z"), (3, b + " more", 9, "y")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, row int, set string")
+    for name in ("__id", "text_key", "lead", "rest"):
+        frame = frame.withColumn(name, F.lit(1))
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in near_join.near_groups(frame).collect())
+    assert got == [(0, 0, 0), (0, 0, 0), (1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (3, 1, 2), (4, 4, 0), (4, 4, 0)]
+    kept = near_join.drop_near(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r["row"] for r in kept.collect()) == [1, 2, 5, 6, 7, 7]
+
+
+def test_links_of_the_table_against_all_pairs(spark):
+    """Recall over ``documents``: every pair that shares a shingle is tried."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets, copies, holders = {}, Counter(), {}
+    for r in rows:
+        if s := frozenset(shingle_set(r["text"])):
+            sets[r["doc_id"]] = s
+            copies[s] += 1
+    classes = list(copies)
+    for k, s in enumerate(classes):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    both = Counter((i, j) for ks in holders.values() for n, j in enumerate(ks) for i in ks[:n])
+    links = Counter()
+    for (i, j), n in both.items():
+        if n >= 0.8 * (len(classes[i]) + len(classes[j]) - n) - 1e-9:
+            links[classes[i]] += copies[classes[j]]
+            links[classes[j]] += copies[classes[i]]
+    want = {i: links[s] + copies[s] - 1 for i, s in sets.items()}
+    got = {r["doc_id"]: r["n_links"] for r in near_join.near_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.99 * sum(want.values())
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 201), (201, 200), (7, 7)]
     random.Random(1).shuffle(edges)
