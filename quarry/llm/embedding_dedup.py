@@ -1,26 +1,35 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 Rotations are learned from a bounded sample of different vectors (``FIT_ROWS``
-with the lowest hash of their id): principal axes, then alternately signs and
+with the lowest fingerprint): principal axes, then alternately signs and
 the rotation that fits them best, each from another random start. A vector's
 code has a bit per dimension and rotation. The code is cut into substrings of
 about ``log2(n / BUCKET)`` bits, one hash table each, and as many tables are
 made as it takes to find ``RECALL`` of sample vectors moved to a cosine of
 exactly ``THRESHOLD`` in some table. Where ``MAX_ROTATIONS`` codes don't reach
 that, the substrings get shorter (and buckets larger) until they do; if single
-bits don't either, the call fails. Every vector is indexed in every table.
+bits don't either, or for a dozen vectors, one bucket holds all, so that no pair
+is left out. Every vector is indexed in every table.
 
 Vectors that share a bucket are compared by the Hamming distance of their
 whole codes; those within reach of the threshold are reranked with the
 original vectors in double precision. A pair belongs to the first table where
 it meets. Large buckets are dealt out in pairs of bounded blocks, and a block
 gives counts of links and a spanning forest, never its pairs. Equal vectors
-form a class that goes on with one representative and a count.
-
-Defined results: vectors that are null, empty, zero, hold null or non-finite
-components, or have another length than most, and rows without an id, link
-with nothing and are components of their own; repeated rows are copies; an
-empty table gives an empty result. Extra columns are ignored.
+form a class, named by a fingerprint of the vector, that goes on once with a
+count, so ids may come more than once, on equal or different vectors. Vectors
+of each length have an index of their own.
+
+The distance of codes within reach is ``REACH`` standard deviations above the
+mean of the probes at the threshold, which leaves out less than one pair in a
+million there; what the tables themselves leave out is at most ``1 - RECALL``
+of the pairs at the threshold, and less of nearer ones.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite
+components, and rows without an id, link with nothing and are components of
+their own; repeated rows are copies; cosines within ``TIE`` of the threshold are
+summed again in one order, so that a tie goes one way everywhere; an empty table
+gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.blocks import block_pairs, components, groups, roots
+from quarry.llm.blocks import block_pairs, components, groups, join_hot, roots
 from quarry.llm.shared import stage
 
 THRESHOLD = 0.9
@@ -48,6 +57,8 @@ ROUNDS = 30
 MAX_ROTATIONS = 64
 #: Standard deviations of the code distance at the threshold that still count as near.
 REACH = 6.0
+TIE = 1e-9
+PROBES = 4000
 
 
 @dataclass
@@ -93,12 +104,12 @@ def fit(sample: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float
     centre = sample.mean(0)
     v = sample - centre
     axes = np.linalg.eigh(v.T @ v + 1e-9 * np.eye(dims))[1][:, ::-1]
-    bits = max(1, min(dims, 30, round(math.log2(max(2, n / BUCKET)))))
+    bits = max(0, min(dims, 30, round(math.log2(max(1, n / BUCKET)))))
     # Rotations fit the vectors they are learned from better than others, so the probes are other ones:
-    # sample vectors and, for each, one at the threshold itself.
+    # sample vectors (each more than once if they are few) and, for each, one at the threshold itself.
     order = rng.permutation(len(sample))
     half = len(sample) // 2
-    train, probe = v[order[:half][:5000]], sample[order[half:][:4000]]
+    train, probe = v[order[:half][:5000]], sample[np.resize(order[half:], PROBES)]
     aside = rng.standard_normal(probe.shape)
     aside -= (aside * probe).sum(1, keepdims=True) * probe
     norm = np.linalg.norm(aside, axis=1, keepdims=True)
@@ -108,7 +119,7 @@ def fit(sample: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float
     rotations: list[np.ndarray] = []
     same: list[np.ndarray] = []
     while True:
-        per_code = max(1, dims // bits)
+        per_code = dims // bits if bits else 1
         found = np.zeros(len(probe), bool)
         tables = used = 0
         while found.mean() < recall and used < MAX_ROTATIONS:
@@ -120,15 +131,15 @@ def fit(sample: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float
                     found |= same[used][:, t * bits : (t + 1) * bits].all(1)
                     tables += 1
             used += 1
-        if found.mean() >= recall:
+            if bits == 0:
+                break
+        if found.mean() >= recall or bits == 0:
             break
-        if bits == 1:
-            raise RuntimeError(f"{tables} tables of one bit find {found.mean():.4f} of the vectors at the threshold, not {recall}")
         bits -= 1
     rotations = rotations[:used]
     rotation = np.hstack(rotations)
     apart = (((probe - centre) @ rotation > 0) != ((moved - centre) @ rotation > 0)).sum(1)
-    near = int(min(rotation.shape[1], math.ceil(apart.mean() + REACH * apart.std() + 1)))
+    near = int(min(rotation.shape[1], math.ceil(apart.mean() + REACH * apart.std() + 1))) if bits else rotation.shape[1]
     return Index(centre, rotation, bits, tables, per_code, near)
 
 
@@ -139,9 +150,9 @@ def unit(vectors: list[list[float]]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-CODED = "rep long, copies long, code binary"
-NEEDED = "bucket long, bi int, bj int, mine int, rep long"
-LINKED = "a long, b long, n long"
+CODED = "key binary, copies long, code binary, buckets array<long>"
+NEEDED = "bucket long, bi int, bj int, mine int, key binary"
+LINKED = "a binary, b binary, n long"
 
 
 def _bytes(column: pa.ChunkedArray) -> np.ndarray:
@@ -172,16 +183,18 @@ def _first(pairs: np.ndarray, codes: np.ndarray, bucket: int, index: Index) -> n
     return pairs
 
 
+def _batch(kinds: list[pa.DataType], names: list[str], out: list[list]) -> pa.RecordBatch:
+    """The columns of several parts, one after another."""
+    columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+    arrays = [pa.concat_arrays([pa.array([], k), *(x if isinstance(x, pa.Array) else pa.array(x, k) for x in c)]) for k, c in zip(kinds, columns, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
 def _needed(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index_ = index.value
-        out: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            rows = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.array([], np.int64)] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(rows, kinds, strict=True)], ["bucket", "bi", "bj", "mine", "rep"])
-
+        shape = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()], ["bucket", "bi", "bj", "mine", "key"]
+        out: list[list] = []
         for group in groups(batches, 3):
             if group.num_rows < 2:
                 continue
@@ -192,43 +205,49 @@ def _needed(index):
                 continue
             bucket = group.column(0)[0].as_py()
             pairs = _first(pairs, codes, bucket, index_)
-            some = pairs.any(0) | pairs.any(1)
-            if k := int(some.sum()):
-                out.append((np.full(k, bucket), np.full(k, bi), np.full(k, bj), mine[some], group.column(4).to_numpy()[some]))
+            some = np.flatnonzero(pairs.any(0) | pairs.any(1))
+            if k := len(some):
+                out.append([np.full(k, bucket), np.full(k, bi), np.full(k, bj), mine[some], group.column(4).combine_chunks().take(pa.array(some))])
             if len(out) >= 5000:
-                yield batch()
+                yield _batch(*shape, out)
                 out = []
-        yield batch()
+        yield _batch(*shape, out)
 
     return run
 
 
+def _linked(x: np.ndarray, pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Those pairs of unit vectors that reach the threshold."""
+    cos = x @ x.T
+    links = pairs & (cos >= threshold)
+    i, j = np.nonzero(pairs & (np.abs(cos - threshold) < TIE))
+    links[i, j] = (x[i] * x[j]).sum(1) >= threshold
+    return links
+
+
 def _verify(index, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index_ = index.value
-        out: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            rows = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.array([], np.int64)] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in rows], ["a", "b", "n"])
-
+        shape = [pa.binary(), pa.binary(), pa.int64()], ["a", "b", "n"]
+        out: list[list] = []
         for group in groups(batches, 3):
             if group.num_rows < 2:
                 continue
             bucket, bi, bj = (group.column(k)[0].as_py() for k in range(3))
-            mine, rep, copies = (group.column(k).to_numpy() for k in (3, 4, 5))
+            mine, copies = group.column(3).to_numpy(), group.column(5).to_numpy()
             codes = _bytes(group.column(6))
-            x = unit(group.column(7).to_pylist())
-            links = _first(_near(codes, mine, bi, bj, index_), codes, bucket, index_) & (x @ x.T >= threshold)
+            pairs = _first(_near(codes, mine, bi, bj, index_), codes, bucket, index_)
+            links = _linked(unit(group.column(7).to_pylist()), pairs, threshold)
             links |= links.T
-            some = links.any(1)
-            if some.any():
-                root = roots(links, rep)
-                out.append((rep[some], root[some], (links @ copies)[some]))
+            some = np.flatnonzero(links.any(1))
+            if len(some):
+                keys = group.column(4).combine_chunks()
+                root = roots(links, np.arange(len(links)))
+                out.append([keys.take(pa.array(some)), keys.take(pa.array(root[some])), (links @ copies)[some]])
             if len(out) >= 2000:
-                yield batch()
+                yield _batch(*shape, out)
                 out = []
-        yield batch()
+        yield _batch(*shape, out)
 
     return run
 
@@ -240,7 +259,7 @@ def _code(index):
                 codes = index.value.codes(unit(batch.column(2).to_pylist()))
                 keys = index.value.keys(codes)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), lists], ["rep", "copies", "code", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), lists], ["key", "copies", "code", "buckets"])
 
     return run
 
@@ -256,40 +275,44 @@ def near_vectors(
 ) -> DataFrame:
     """One row per vector: its id, ``n_links`` (other vectors linked directly),
     ``component_id`` (smallest id reachable by links) and ``kept``."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
-    lengths = rows.filter("usable").groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    rows = rows.withColumn("usable", F.col("usable") & (F.size("v") == (lengths["dims"] if lengths else 0)))
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     # 0.0 and -0.0 are one number: adding 0.0 gives them one form.
-    key = F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256)
-    keyed = rows.filter("usable").select("vec_id", "v", key.alias("key"))
-    members = stage(keyed.select("vec_id", "key"), "vector-keys")
-    classes = stage(members.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
-    different = keyed.withColumnRenamed("vec_id", "rep").join(classes.drop("key"), "rep").dropDuplicates(["rep"])
-    different = stage(different.select("rep", "copies", "v"), "vectors")
-    n = different.count()
-    if n < 2:
-        linked = spark.createDataFrame([], LINKED)
-    else:
-        sample = different.orderBy(F.xxhash64("rep"), "rep").limit(fit_rows).select("rep", "v").collect()
-        index = spark.sparkContext.broadcast(fit(unit([r["v"] for r in sorted(sample, key=lambda r: r["rep"])]), n, threshold, recall))
-        coded = stage(different.mapInArrow(_code(index), CODED + ", keys array<long>"), "codes")
-        met = block_pairs(coded.select("rep", "code", F.explode("keys").alias("bucket")), "bucket", F.xxhash64("rep"), block)
-        keys = ["bucket", "bi", "bj"]
-        met = met.select(*keys, "mine", "rep", "code").repartition(*keys).sortWithinPartitions(*keys)
-        needed = stage(met.mapInArrow(_needed(index), NEEDED), "vectors-needed")
-        ready = needed.join(coded.drop("keys").join(different.drop("copies"), "rep"), "rep").select(*keys, "mine", "rep", "copies", "code", "v")
-        linked = stage(ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(index, threshold), LINKED), "vectors-linked")
+    key = F.unhex(F.md5(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")))))
+    members = stage(rows.filter("usable").select("vec_id", key.alias("key"), "v"), "vector-keys")
+    different = stage(members.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "vectors")
+    lengths = different.groupBy(F.size("v").alias("dims")).count().filter("count > 1").orderBy("dims").collect()
+    linked = vectors.sparkSession.createDataFrame([], LINKED)
+    for r in lengths:  # a row for each length that vectors have
+        linked = linked.unionByName(_links(different.filter(F.size("v") == r["dims"]), r["count"], threshold, recall, fit_rows, block))
     named = components(linked.select("a", "b"))
     counts = linked.groupBy("a").agg(F.sum("n").alias("n"))
+    nodes = stage(named.join(different.select(F.col("key").alias("node"), "rep"), "node"), "vector-nodes")
+    leads = stage(nodes.groupBy("component").agg(F.min("rep").alias("lead"), F.count("*").alias("times")), "vector-leads")
+    nodes = join_hot(nodes.select("node", "component"), leads, ["component"], "times").select("node", "lead")
+    classes = different.drop("v")
     results = (
-        classes.join(named, classes["rep"] == named["node"], "left")
-        .join(counts, classes["rep"] == counts["a"], "left")
-        .select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        classes.join(nodes, classes["key"] == nodes["node"], "left")
+        .join(counts, classes["key"] == counts["a"], "left")
+        .select("key", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("lead", "rep").alias("component_id"))
     )
-    found = members.join(results, "key").select("vec_id", "n_links", "component_id").unionByName(alone)
+    found = join_hot(members.select("vec_id", "key"), stage(results, "vector-classes"), ["key"], "copies")
+    found = found.select("vec_id", "n_links", "component_id").unionByName(alone)
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _links(different: DataFrame, n: int, threshold: float, recall: float, fit_rows: int, block: int) -> DataFrame:
+    """Links between ``n`` different vectors of one length, ``key``, ``copies`` and ``v``."""
+    sample = different.orderBy("key").limit(fit_rows).select("key", "v").collect()  # the lowest fingerprints
+    index = different.sparkSession.sparkContext.broadcast(fit(unit([r["v"] for r in sorted(sample, key=lambda r: bytes(r["key"]))]), n, threshold, recall))
+    coded = stage(different.select("key", "copies", "v").mapInArrow(_code(index), CODED), "codes")
+    met = block_pairs(coded.select("key", "code", F.explode("buckets").alias("bucket")), "bucket", F.xxhash64("key"), block)
+    keys = ["bucket", "bi", "bj"]
+    met = met.select(*keys, "mine", "key", "code").repartition(*keys).sortWithinPartitions(*keys)
+    needed = stage(met.mapInArrow(_needed(index), NEEDED), "vectors-needed")
+    vectors = coded.drop("buckets").join(different.select("key", "v"), "key")
+    ready = needed.join(vectors, "key").select(*keys, "mine", "key", "copies", "code", "v")
+    return stage(ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(index, threshold), LINKED), "vectors-linked")
