@@ -60,13 +60,18 @@ class WordEncoder:
     changes nothing, since the tokenizer does so itself. New words of plain
     letters, which the tokenizer's normalizer and pre-tokenizer leave whole,
     go to its model directly; so do the letters before a word's last point or
-    comma.
+    comma. A text with a control string, such as ``<|endoftext|>``, in any case
+    of letters, goes to the tokenizer whole, as it is; so only the words of
+    other texts are taken literally.
     """
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.whole = Tokenizer.from_str(tokenizer_json)
+        self.controls = [t.content.encode("utf-8", "replace").lower() for t in self.whole.get_added_tokens_decoder().values()]
+        # What only becomes a control string by lower-casing is none.
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.plain = Tokenizer(self.tokenizer.model)
@@ -104,16 +109,22 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-        some: list[list[bytes]] = []
+        raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+        control = [any(map(r.__contains__, self.controls)) for r in raw]
+        words = [[] if c else r.split() for r, c in zip(raw, control, strict=True)]
+        del raw
+        some: list[int] = []
         size = 0
         for i, w in enumerate(words):
-            some.append(w)
+            some.append(i)
             size += len(w)
             if size >= 400_000 or i == len(words) - 1:
-                self.learn(set().union(*some))
-                for x in some:
-                    yield b"".join(map(self.memo.__getitem__, x))
+                self.learn(set().union(*(words[k] for k in some)))
+                for k in some:
+                    if control[k]:
+                        yield array("I", self.whole.encode(texts[k], add_special_tokens=False).ids).tobytes()
+                    else:
+                        yield b"".join(map(self.memo.__getitem__, words[k]))
                 some, size = [], 0
 
 

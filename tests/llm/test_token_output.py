@@ -7,7 +7,7 @@ import pytest
 from quarry.llm import token_output as T
 from quarry.llm.queries import tokenizer_path
 
-TEXTS = ["Hello, World. it's 3.14!! ...", None, "", "ÉTÉ déjà-vu ﬁ Ǆ naïve İ ſ", "a b　c ́x", "don't <|endoftext|> stop.", "word, word. word.,", "x" * 5000, "tab\tnew\nline\x0bvt", "日本語 テキスト"]
+TEXTS = ["Hello, World. it's 3.14!! ...", None, "", "ÉTÉ déjà-vu ﬁ Ǆ naïve İ ſ", "a b　c ́x", "don't <|endoftext|> stop.", "é<|endoftext|>x <|startoftext|><|endoftext|>", "<|ENDOFTEXT|> and <|endoftext", "A<|EndOfText|>b <|endoftext|> C",  "word, word. word.,", "x" * 5000, "tab\tnew\nline\x0bvt", "日本語 テキスト"]
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,6 @@ def whole():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
