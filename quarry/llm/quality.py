@@ -9,8 +9,8 @@ calibrated to a probability with a logistic curve on labelled rows that
 trained no dictionary.
 
 Only the fit uses a sample: of each label at most ``FIT_ROWS`` rows, those
-with the lowest hash of their id, and at most ``FIT_SEGMENTS`` segments of
-each, evenly spread. Scores are made from whole texts.
+with the lowest hash of their id, and of those every segment. Scores are made
+from whole texts.
 
 Defined results: a null text counts as empty; an empty text gets the share of
 label 1 among the labelled rows used; without rows of both labels every text
@@ -33,7 +33,6 @@ SEGMENT = 600
 DICTIONARY = 112_640
 LEVEL = 3
 FIT_ROWS = 3000
-FIT_SEGMENTS = 24
 THRESHOLD = 0.3
 SCHEMA = "score double"
 
@@ -112,9 +111,8 @@ def fit(texts: list[tuple[int, list[bytes]]]) -> Model:
     dictionaries = []
     for kind in kinds:
         parts = [p for s in kind[::2] for p in s]
-        step = max(1, len(parts) * SEGMENT // (100 * DICTIONARY))
         try:
-            d = zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, parts)) // 4)), parts[::step], level=LEVEL).as_bytes()
+            d = zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, parts)) // 4)), parts, level=LEVEL).as_bytes()
         except zstandard.ZstdError:  # too few or too short samples: the text itself serves as a raw dictionary
             d = b"".join(parts)[-DICTIONARY:]
         dictionaries.append(d)
@@ -148,17 +146,9 @@ def learn(
         return fit([])
     few = spark.createDataFrame(chosen, few.schema)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(few), "i")
-    # The segments are cut beside the data, so that a long text sends a bounded part of itself.
-    cut = F.udf(_spread, "array<binary>", useArrow=False)
-    rows = texts.select("o0", "o1", "y", cut("t").alias("s")).collect()
-    rows.sort(key=lambda r: (r["o0"], r["o1"], r["y"], [bytes(x) for x in r["s"][:1]]))
-    return fit([(r["y"], [bytes(x) for x in r["s"]]) for r in rows])
-
-
-def _spread(text: str | None) -> list[bytes]:
-    parts = segments(text)
-    step = -(-len(parts) // FIT_SEGMENTS) or 1
-    return parts[::step]
+    rows = texts.select("o0", "o1", "y", "t").collect()  # whole texts of the sample
+    rows.sort(key=lambda r: (r["o0"], r["o1"], r["y"], r["t"] or ""))
+    return fit([(r["y"], segments(r["t"])) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, text: str | Column = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
