@@ -6,14 +6,17 @@ benchmark item (the whole item if it is shorter) go into one automaton over
 word numbers, and each document is scanned once. Word positions are mapped
 back to character offsets in the original text.
 
-The automaton holds at most ``BLOCK_WORDS`` words of benchmark text, so that
-what each executor holds is bounded. A larger benchmark is cut into blocks;
-each block is one more scan over the documents, and the hits are united.
+The items are written once to the shared folder, in blocks of about
+``BLOCK_WORDS`` words, and the workers read them there, so the driver never
+holds them. Nearly every benchmark is one block, whose automaton a worker keeps.
+Of a larger one each worker holds one block's automaton at a time: a batch of
+documents passes them in turn, its hits are united, and the documents are still
+read once.
 
 Defined results: a null or empty text has no words and no hits; an item
 without words has no window; a null item id counts as a hit without a name;
 item ids that come twice count once; an empty benchmark hits nothing. Columns
-of the documents may have any names.
+of the documents may have any names, and rows may be repeated.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.rows import with_columns
-from quarry.llm.shared import stage
+from quarry.llm.shared import new_path
 
 WINDOW = 10
 BLOCK_WORDS = 250_000
@@ -66,38 +69,74 @@ class Scanner:
             self.automaton.make_automaton()
         self.any = bool(owners)
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, int, int]], list[str]]:
-        """The number of words, the runs of hit words (first and last word,
-        start and end in the text) and the items found."""
-        words = words_of(text)
-        if not words or not self.any:
-            return len(words), [], []
-        number = self.numbers.get
-        key = tuple([number(w, 0) for w in words])
+    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
+        """The runs of hit words (first and last) and the items found."""
         runs: list[list[int]] = []
         found: set[str] = set()
-        for last, (n, names) in self.automaton.iter(key):
-            first = last - n + 1
-            found |= names
-            while runs and runs[-1][1] >= first - 1:  # ends come in ascending order
-                first = min(first, runs.pop()[0])
-            runs.append([first, last])
-        if not runs:
-            return len(words), [], []
-        at = [m.span() for m in re.finditer(WORD, text)]
-        return len(words), [(a, b, at[a][0], at[b][1]) for a, b in runs], sorted(found)
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[str | None, str | None]]]:
-    """The items in blocks of bounded size; only one block's items are on the driver's way at a time."""
+        if words and self.any:
+            number = self.numbers.get
+            for last, (n, names) in self.automaton.iter(tuple([number(w, 0) for w in words])):
+                found |= names
+                _add(runs, last - n + 1, last)  # ends come in ascending order
+        return runs, found
+
+
+def _add(runs: list[list[int]], first: int, last: int) -> None:
+    """Put a run after others, of which those that it touches become part of it."""
+    while runs and runs[-1][1] >= first - 1:
+        before = runs.pop()
+        first, last = min(first, before[0]), max(last, before[1])
+    runs.append([first, last])
+
+
+class Benchmark:
+    """Blocks of items in the shared folder, with the scanner that a worker used last."""
+
+    last: tuple[tuple, Scanner] | None = None
+
+    def __init__(self, path: str, blocks: int, window: int):
+        self.path, self.blocks, self.window = path, blocks, window
+
+    def scanner(self, block: int) -> Scanner:
+        key = (self.path, block, self.window)
+        if Benchmark.last is None or Benchmark.last[0] != key:
+            from pyarrow import fs, parquet
+
+            Benchmark.last = None
+            store, path = fs.FileSystem.from_uri(self.path)
+            files = [f.path for f in store.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
+            items = [(r["item"], r["text"]) for f in sorted(files) for r in parquet.read_table(f, columns=["item", "text"], filesystem=store, partitioning=None).to_pylist()]
+            Benchmark.last = key, Scanner(items, self.window)
+        return Benchmark.last[1]
+
+    def find(self, texts: list[str | None]) -> dict[str, list]:
+        words = [words_of(t) for t in texts]
+        runs: list[list[list[int]]] = [[] for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
+        for block in range(self.blocks):
+            scan = self.scanner(block).scan
+            for k, w in enumerate(words):
+                found, names = scan(w)
+                runs[k] += found
+                items[k] |= names
+        hits = []
+        for text, found in zip(texts, runs, strict=True):
+            united: list[list[int]] = []
+            for first, last in sorted(found):
+                _add(united, first, last)
+            at = [m.span() for m in re.finditer(WORD, text)] if united else []
+            hits.append([{"first": a, "last": b, "start": at[a][0], "end": at[b][1]} for a, b in united])
+        return {"n_words": list(map(len, words)), "hits": hits, "items": list(map(sorted, items))}
+
+
+def store_benchmark(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Benchmark:
+    """Write the items to the shared folder in blocks of bounded size."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
     size = F.length("text") / 2 + 1  # words have a character and a separator at least
-    total = items.agg(F.sum(size)).first()[0] or 0
-    n = int(total // BLOCK_WORDS) + 1
-    if n == 1:
-        return [[tuple(r) for r in items.collect()]]
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(2 * n))
-    return [[tuple(r) for r in items.filter(block == k).collect()] for k in range(2 * n)]
+    blocks = int((items.agg(F.sum(size)).first()[0] or 0) // BLOCK_WORDS) + 1
+    path = new_path(benchmark.sparkSession, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(path)
+    return Benchmark(path, blocks, window)
 
 
 def find_benchmark(
@@ -112,50 +151,8 @@ def find_benchmark(
     """One row per document: its columns as the struct ``row``, ``n_words``,
     the runs of hit words ``hits`` and the ids of the ``items`` found."""
     text = F.col(text) if isinstance(text, str) else text
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_col, item_text)
-
-    def scanned(frame: DataFrame, text: Column, block: list, keep: tuple[str, ...] | None) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def make():
-            scan = Scanner(shared.value, window).scan
-
-            def f(texts: list) -> dict[str, list]:
-                n, hits, items = zip(*map(scan, texts), strict=True) if texts else ((), (), ())
-                return {
-                    "n_words": list(n),
-                    "hits": [[{"first": a, "last": b, "start": s, "end": e} for a, b, s, e in h] for h in hits],
-                    "items": list(items),
-                }
-
-            return f
-
-        return with_columns(frame, text, make, SCHEMA, keep)
-
-    if len(blocks) == 1:
-        return scanned(docs, text, blocks[0], keep)
-    row = F.struct("*") if keep is None else F.struct(*(F.col(f"`{c}`") for c in keep))
-    out = docs.select(row.alias("row"), text.alias("__text"), F.lit(None).cast("long").alias("n_words"), *(F.array().cast(c).alias(n) for n, c in (("hits", "array<struct<first:int,last:int,start:int,end:int>>"), ("items", "array<string>"))))
-    for block in blocks:
-        found = scanned(out, F.col("__text"), block, None)
-        out = stage(
-            found.select(
-                "row.row",
-                "row.__text",
-                "n_words",
-                F.concat("row.hits", "hits").alias("hits"),
-                F.array_sort(F.array_union("row.items", "items")).alias("items"),
-            ),
-            "benchmark",
-        )
-    merged = F.expr(
-        """aggregate(array_sort(hits), cast(array() as array<struct<first:int,last:int,start:int,end:int>>),
-        (runs, x) -> if(size(runs) > 0 and element_at(runs, -1).last >= x.first - 1,
-            concat(slice(runs, 1, size(runs) - 1), array(struct(element_at(runs, -1).first as first, greatest(element_at(runs, -1).last, x.last) as last, element_at(runs, -1).start as start, greatest(element_at(runs, -1).end, x.end) as end))),
-            concat(runs, array(x))))"""
-    )
-    return out.select("row", "n_words", merged.alias("hits"), "items")
+    stored = store_benchmark(benchmark, item_col, item_text, window)
+    return with_columns(docs, text, lambda: stored.find, SCHEMA, keep)
 
 
 def n_hit() -> Column:

@@ -1,6 +1,7 @@
 """Chat, lines, decontamination, personal data, quality and mixing on small rows."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -165,6 +166,39 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows_)
 
 
+def test_scores_of_the_table_one_by_one(spark):
+    """Each text compressed by itself with either dictionary, and the curve by hand."""
+    import zstandard
+
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.learn(docs, labels, quality.fold() != 0)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op9_quality"](spark, sf_dir).collect()}
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (m.bad, m.good)]
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        parts = [raw[i : i + 600] for i in range(0, len(raw), 600)]
+        if not parts:
+            assert got[r["doc_id"]] == m.share
+            continue
+        bad, good = (sum(len(p.compress(x)) for x in parts) for p in packers)
+        n = len(raw) + 20 * len(parts)
+        low = math.log(min(bad, good) / n)
+        z = m.weights[3] + sum(w * (v - a) / s for w, v, a, s in zip(m.weights, [(bad - good) / n, low, low * low], m.mean, m.scale, strict=False))
+        assert math.isclose(got[r["doc_id"]], 1 / (1 + math.exp(-z)), abs_tol=1e-9)
+
+
+def test_long_labelled_texts_are_read_whole(spark):
+    """What makes a text good may stand anywhere in it."""
+    rng = random.Random(9)
+    filler = [f"f{k}" for k in range(500)]
+    docs = [(k, " ".join(rng.choices(filler, k=4000)) + (" fine words stand here at the end" if k % 2 else " junk junk sells cheap stuff") * 8) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id long, quality int")
+    model = quality.learn(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    score = model.scorer().score
+    assert score("fine words stand here at the end") > score("junk junk sells cheap stuff")
+
+
 def test_quality_without_text_or_labels(spark):
     docs = spark.createDataFrame([(1, None, 0.0), (2, "", 0.0), (3, "some text", 0.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")
