@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = r"一-鿿"
-TERM = rf"[A-Za-z][A-Za-z0-9-]*|[0-9]+|[{CJK}]+"
+#: Terms of two characters or more; a single one between others is none.
+LONG_TERM = rf"[A-Za-z][A-Za-z0-9-]+|[0-9]{{2,}}|[{CJK}]{{2,}}"
 TOKEN = rf"[a-zA-Z0-9]+|[{CJK}]+"
 SENTENCE_END = r"(?<=[.。!?！？])\s+|\n+"
 
@@ -17,16 +18,21 @@ def _text(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def cased_terms(text: Column | str) -> Column:
+    """The terms of ``search_terms`` in the text's own case. Without higher-order
+    functions, so texts without CJK characters stay in compiled code."""
+    text = _text(text)
+    plain = F.regexp_extract_all(text, F.lit(LONG_TERM), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(rf"[{CJK}]{{2,}}"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.when(text.rlike(f"[{CJK}]"), F.concat(plain, pairs)).otherwise(plain)
+
+
 def search_terms(text: Column | str) -> Column:
     """Terms for lexical search: lower-cased runs of letters (with digits and
     hyphens), digits or CJK characters, of two characters or more, in order.
     CJK runs also give their bigrams, which stand in for a word segmenter."""
-    text = _text(text)
-    plain = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
-    runs = F.regexp_extract_all(text, F.lit(rf"[{CJK}]{{2,}}"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    words = F.when(text.rlike(f"[{CJK}]"), F.concat(plain, pairs)).otherwise(plain)
-    return F.filter(words, lambda t: F.length(t) > 1)
+    return F.transform(cased_terms(text), F.lower)
 
 
 def token_set(text: Column | str) -> Column:

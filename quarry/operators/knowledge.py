@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRUSTED = 0.75
-SENTENCE = r"[^。！？!?\.]+[。！？!?\.]*"
+MARKS = "。！？!?."
+SENTENCE = f"[^{MARKS}]+[{MARKS}]*"
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,13 @@ def relation_of(sentence: Column, cues: dict[str, Sequence[str]]) -> Column:
     return F.coalesce(*[F.when(reduce(lambda a, c: a | low.contains(c.lower()), words, F.lit(False)), F.lit(r)) for r, words in cues.items()])
 
 
-def kg_sentences(text: Column) -> Column:
-    parts = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({SENTENCE})"), F.lit(1)), lambda s: F.trim(s)), lambda s: s != "")
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(lines)
+def kg_sentences(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """A row per ``sentence`` that isn't blank, or per line of a text without any."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    some = text.rlike(f"[^{MARKS} ]|[^{MARKS}][{MARKS}]")
+    parts = F.when(some, F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), F.lit(1))).otherwise(F.split(text, "\n"))
+    # Outer, as Spark would else cut each text twice: once to see whether there is anything to explode.
+    return rows.withColumn("sentence", F.explode_outer(parts)).withColumn("sentence", F.trim("sentence")).filter("sentence <> ''")
 
 
 def confidence(relation: Column, kind: Column, sentence: Column) -> Column:
@@ -72,18 +76,19 @@ def _pair(subject: Column, object_: Column) -> list[Column]:
 def sentence_triples(chunks: DataFrame, entities: Sequence[Entity], cues: dict[str, Sequence[str]]) -> DataFrame:
     """chunks: ``chunk_id``, ``text``, ``source_ids``. For each sentence with a
     cue, the first entity as the subject and each other one as an object."""
-    said = chunks.select("chunk_id", "source_ids", F.posexplode(kg_sentences(F.col("text"))).alias("at", "sentence"))
+    said = kg_sentences(chunks.select("chunk_id", "source_ids", "text")).drop("text")
     said = said.withColumn("relation", relation_of(F.col("sentence"), cues)).filter("relation is not null")
-    said = said.withColumn("found", entities_in(F.col("sentence"), entities)).filter("size(found) > 1")
-    rows = said.withColumn("object", F.explode(F.slice("found", F.lit(2), F.size("found"))))
+    # Patterns are tried once for each sentence: a filter on what they find would try them again.
+    said = said.withColumn("found", entities_in(F.col("sentence"), entities))
+    rows = said.withColumn("object", F.explode_outer(F.slice("found", F.lit(2), F.greatest(F.size("found") - 1, F.lit(0))))).filter("object is not null")
     rows = rows.select(*_pair(F.get("found", F.lit(0)), F.col("object")), "relation", F.col("sentence").alias("evidence_text"), F.concat(F.array("chunk_id"), "source_ids").alias("evidence_source_ids"), F.lit("text").alias("evidence_kind"))
     return rows.withColumn("confidence", confidence(F.col("relation"), F.col("evidence_kind"), F.col("evidence_text")))
 
 
 def mention_triples(pages: DataFrame, entities: Sequence[Entity]) -> DataFrame:
     """pages: ``page_id``, ``text``. Every two entities of a page, the earlier in the list first."""
-    rows = pages.withColumn("found", entities_in(F.col("text"), entities)).select("page_id", "text", "found", F.posexplode("found").alias("i", "subject"))
-    rows = rows.withColumn("object", F.explode(F.slice("found", F.col("i") + 2, F.size("found"))))
+    rows = pages.withColumn("found", entities_in(F.col("text"), entities)).select("page_id", "text", "found", F.posexplode_outer("found").alias("i", "subject"))
+    rows = rows.withColumn("object", F.explode_outer(F.slice("found", F.col("i") + 2, F.size("found")))).filter("object is not null")
     rows = rows.select(*_pair(F.col("subject"), F.col("object")), F.lit("MENTIONS").alias("relation"), F.substring("text", 1, 1000).alias("evidence_text"), F.array("page_id").alias("evidence_source_ids"), F.lit("text").alias("evidence_kind"))
     return rows.withColumn("confidence", F.lit(0.65))
 
