@@ -164,7 +164,7 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str, shared) -> DataFrame
                 flat = list(chain.from_iterable(w + [END] for w in words))
                 place = np.fromiter(map(number, flat, repeat(-1)), np.int64, len(flat))
                 frequent = place >= 0
-                code = place.astype("<u4")
+                code = place.astype(np.int64)
                 rare: list[Counter] = [Counter() for _ in words]
                 numbers: list[dict] = [{} for _ in words]
                 at = np.flatnonzero(~frequent)
@@ -187,7 +187,7 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str, shared) -> DataFrame
                         pa.array(sums[0].astype(np.int64), pa.int64()),
                         pa.array(sums[1], pa.float64()),
                         pa.array(sums[2], pa.float64()),
-                        pa.array([code[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                        pa.array([_packed_codes(code[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
                         pa.array([np.array([u for _, u in r], "<u2").tobytes() for r in rare], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(lengths), items),
                     ],
@@ -219,13 +219,22 @@ def _histories(parts: list[np.ndarray], order: int) -> list[np.ndarray]:
     return out
 
 
+def _packed_codes(codes: np.ndarray) -> bytes:
+    """Codes in two bytes each and one byte more, or in four if one needs them: the length tells which."""
+    return codes.astype("<u4").tobytes() if codes.max() >= 1 << 16 else codes.astype("<u2").tobytes() + b"\0"
+
+
+def _codes(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2", len(x) // 2).astype(np.int64) if len(x) % 2 else np.frombuffer(x, "<u4").astype(np.int64) for x in column.to_pylist()]
+
+
 def _arrays(column: pa.Array, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x, kind).astype(np.int64) for x in column.to_pylist()]
 
 
 def _unit_parts(batch: pa.RecordBatch, unit_of: np.ndarray) -> list[np.ndarray]:
     """The units of the texts, from columns ``codes`` and ``rare_units``."""
-    return [np.concatenate([unit_of, r])[c] for c, r in zip(_arrays(batch.column(0), "<u4"), _arrays(batch.column(1), "<u2"), strict=True)]
+    return [np.concatenate([unit_of, r])[c] for c, r in zip(_codes(batch.column(0)), _arrays(batch.column(1), "<u2"), strict=True)]
 
 
 def _ngrams(texts: DataFrame, order: int, size: int, parts) -> DataFrame:
@@ -274,7 +283,7 @@ def contexts(read: DataFrame, shared, own: int) -> DataFrame:
             return np.concatenate([(keys + after)[some], (keys + k + before)[some], (keys + 2 * k)[some & (np.append(codes[1:], -1) == codes)]])
 
         for batch in _parts(batches):
-            texts = _arrays(batch.column(0), "<u4")
+            texts = _codes(batch.column(0))
             rare = batch.column(2)
             starts = np.cumsum([0, *[len(x) for x in rare]])
             classes = [cls[u] for u in _unit_parts(batch, unit_of)]
@@ -491,7 +500,7 @@ def score_texts(
         # Places and classes; a set, as rows of one key have the same.
         F.collect_set(F.col("at").cast("long") * F.lit(k) + F.coalesce("cls", F.get(of_unit, F.col("unit")))).alias("rare_cls"),
     )
-    # Rows of one key are one text under one id: each of them gets an equal part of the sums.
+    # Rows of one key have one id and the same words in one order: each of them gets an equal part of the sums.
     read_keys = numbered.groupBy(*key).agg(F.count("*").alias("times")).filter("times > 1")
     sums = sums.join(read_keys, key, "left")
     times = F.coalesce("times", F.lit(1))
@@ -501,7 +510,7 @@ def score_texts(
         of_lookup = shared_classes.value
         for batch in _parts(batches):
             out = []
-            for codes, lots in zip(_arrays(batch.column(0), "<u4"), batch.column(1), strict=True):
+            for codes, lots in zip(_codes(batch.column(0)), batch.column(1), strict=True):
                 some = lots.values.to_numpy() if lots.is_valid else np.array([], np.int64)
                 of_rare = np.zeros(len(some), np.int64)
                 of_rare[some // k] = some % k

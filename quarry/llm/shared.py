@@ -34,5 +34,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     lineage ends there and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)

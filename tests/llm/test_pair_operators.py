@@ -275,26 +275,77 @@ def test_scores_on_the_table(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_model_is_a_distribution(spark):
-    """The probabilities of all next words and the unseen ones of each class sum to one."""
+def brute_model(docs, classes, words, suffixes):
+    """The model by plain loops: log10 probability of a text, and of a word in a class, transitions."""
+    texts = [[*class_lm.tokens(t), b""] for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for t in texts for w in t)
+    ranked = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))
+    ends = Counter()
+    for w in ranked[words:]:
+        ends[w[-3:]] += counts[w]
+    ends = sorted(ends, key=lambda e: (-ends[e], e))[:suffixes]
+    own = ranked[:words]
+    size = len(own) + len(ends) + 2
+    unit = lambda w: 0 if not w else own.index(w) + 1 if w in own else len(own) + 1 + ends.index(w[-3:]) if w[-3:] in ends else size - 1
+    pairs = Counter((unit(a), unit(b)) for t in texts for a, b in zip([b"", *t], t, strict=False))
+    left, right, n = (np.array(x) for x in zip(*((a, b, float(n)) for (a, b), n in sorted(pairs.items())), strict=True))
+    cls = class_lm.exchange(left, right, n, size, classes)
+    k = int(cls.max()) + 1
+    table = np.bincount(cls[left] * k + cls[right], n, k * k).reshape(k, k)
+    of = {w: int(cls[unit(w)]) for w in [b"", *own]}
+    for w in ranked[words:]:
+        cells = np.zeros(2 * k + 1, np.int64)
+        for t in texts:
+            for x, now, y in zip([b"", *t], t, [*t[1:], b""], strict=False):
+                if now == w:
+                    cells[cls[unit(y)]] += 1
+                    cells[k + cls[unit(x)]] += 1
+                    cells[2 * k] += x == w
+        of[w] = int(class_lm.best_classes(cells[None], cls[[unit(w)]], table)[0])
+    n1, n2 = (sum(n == k for n in counts.values()) for k in (1, 2))
+    cut = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    inside, types, one, two, three = Counter(), Counter(of.values()), Counter(), Counter(), Counter()
+    for t in texts:
+        c = [0, 0, *(of[w] for w in t)]
+        inside.update(c[2:])
+        one.update(c[2:])
+        two.update(zip(c[1:], c[2:], strict=False))
+        three.update(zip(c, c[1:], c[2:], strict=False))
+
+    def step(a, b, c):
+        p = (one[c] + 0.5) / (sum(one.values()) + 0.5 * k)
+        p = (two[b, c] + 20 * p) / (sum(two[b, x] for x in range(k)) + 20)
+        return (three[a, b, c] + 50 * p) / (sum(three[a, b, x] for x in range(k)) + 50)
+
+    def word(w, c):
+        if not w:
+            return 1.0
+        return (counts[w] - cut) / inside[c] if w in counts else max(cut * types[c], 0.5) / inside[c]
+
+    def score(text):
+        total, history = 0.0, (0, 0)
+        for w in [*class_lm.tokens(text), b""]:
+            c = of.get(w, int(cls[unit(w)]))
+            total += math.log10(step(*history, c) * word(w, c))
+            history = (history[1], c)
+        return total
+
+    mass = {c: sum(word(w, c) for w, x in of.items() if x == c) + (max(cut * types[c], 0.5) / inside[c] if c else 0) for c in range(k)}
+    return score, step, mass, k
+
+
+def test_scores_equal_plain_loops_and_sum_to_one(spark):
     rng = random.Random(4)
-    docs = [(k, " ".join(rng.choices(["a", "b", "c,", "dog", "cat", "frog", f"u{k}x", f"v{k}y"], k=12))) for k in range(60)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    counts = Counter()
-    for i, t in docs:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            counts.update([*class_lm.tokens(t), b""])
-    options = {"classes": 4, "words": 3, "suffixes": 2, "lookup": 5}
-    known = [w.decode() for w in counts if w]
-    unseen = ["zzq"]  # the last unit's unseen word; other units' come below
-    probe = [(10_000 + k, w) for k, w in enumerate(["", *known, *unseen])]
-    ids = [i for i in range(10_000, 200_000) if zlib.crc32(str(i).encode()) % 5 == 1][: len(probe)]
-    both = frame.unionByName(spark.createDataFrame([(i, w) for i, (_, w) in zip(ids, probe, strict=True)], frame.schema))
-    got = {r["doc_id"]: r for r in class_lm.score_texts(both, **options).collect()}
-    assert all(math.isfinite(got[i]["score"]) for i in ids)
-    assert 10 ** got[ids[0]]["score"] < 1
-    one_word = [got[i] for i in ids[1:]]
-    assert sum(10 ** r["score"] for r in one_word) < 1  # texts of one word, of all texts
+    docs = [(k, " ".join(rng.choices(["a", "b", "c,", "dog", "cat", "frog", "hog", "log", f"u{k % 7}x", f"v{k}y"], k=12))) for k in range(90)]
+    docs += [(200, ""), (201, None), (202, "zzq a dog"), (203, "a a a a"), (203, "a a a a"), (203, "b zz")]
+    options = {"classes": 4, "words": 3, "suffixes": 2}
+    score, step, mass, k = brute_model(docs, **options)
+    for lookup in (5, 1000):
+        rows = class_lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), lookup=lookup, **options).collect()
+        assert np.allclose(sorted((r["doc_id"], r["score"]) for r in rows), sorted((i, score(t)) for i, t in docs))
+    for a in range(k):
+        for b in range(k):
+            assert math.isclose(sum(step(a, b, c) * mass[c] for c in range(k)), 1)
 
 
 @pytest.mark.parametrize("lookup", [5, 100])
