@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The patterns of terms, tokens and sentence ends define what searches find.
 CJK = r"一-鿿"
 #: Terms of two characters or more; a single one between others is none.
 LONG_TERM = rf"[A-Za-z][A-Za-z0-9-]+|[0-9]{{2,}}|[{CJK}]{{2,}}"

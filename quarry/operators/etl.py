@@ -29,16 +29,17 @@ def is_reference_page(text: Column) -> Column:
     return text.rlike(r"(?mi)^\s*references\s*$") | (lines >= 3) | ((F.regexp_count(text, F.lit(NUMBERED)) >= 2) & (lines >= 2))
 
 
-def running_header(pages: DataFrame) -> DataFrame:
+def running_header(pages: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
     """The first non-blank line that most pages of an article share, if on
-    enough of them (3, or half): ``article_id``, ``header``, ``n``."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda x: x != "")
-    rows = pages.select("article_id", "pos", F.get(lines, F.lit(0)).alias("header"))
+    enough of them (``least``, and that ``share`` of all): ``article_id``,
+    ``header``, ``n``."""
+    header = F.trim(F.regexp_extract("text", r"^[ \n]*([^\n]*)", 1))
+    rows = pages.select("article_id", "pos", F.nullif(header, F.lit("")).alias("header"))
     total = rows.groupBy("article_id").agg(F.count("*").alias("pages"))
     counts = rows.filter("header is not null").groupBy("article_id", "header").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     best = counts.groupBy("article_id").agg(F.max(F.struct("n", (-F.col("first")).alias("back"), "header")).alias("m"))
     best = best.select("article_id", "m.header", "m.n").join(total, "article_id")
-    return best.filter(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 2))).select("article_id", "header", "n")
+    return best.filter(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("pages") * share))).select("article_id", "header", "n")
 
 
 def carry_forward(rows: DataFrame, group: str, order: list[str], value: Column, name: str, default: str | None = None) -> DataFrame:

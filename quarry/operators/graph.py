@@ -19,6 +19,7 @@ DIGITS = 6
 #: Weights of evidence kinds; others have the last.
 SOURCE_QUALITY = {"guideline": 0.18, "consensus": 0.16, "randomized_trial": 0.15, "cohort_study": 0.10, "discussion": 0.06, "reference_only": 0.03, "text": 0.05}
 OTHER_QUALITY = 0.05
+#: Words of support in a text, and of a first choice.
 SUPPORT_WORDS = ("recommended", "should", "preferred", "indicated", "guideline")
 CUE_WORDS = ("first-line", "一线", "r-chop", "pola-r-chp", "preferred")
 

@@ -18,10 +18,10 @@ WEAK_TYPES = ("case reports", "letter", "editorial", "comment", "news", "publish
 PENALTY_TYPES = ("editorial", "letter", "comment", "news", "published erratum", "retracted publication")
 #: Names of registration trials.
 TRIALS = ("ZUMA[-\\s]?\\d*", "JULIET", "TRANSCEND", "TRANSFORM", "BELINDA", "EPCORE", "POLARIX", "GOYA", "PHOENIX", "ROSEWOOD", "LOTIS", "STARGLO", "ALEXANDER", "PILOT", "ELARA", "CARTITUDE", "KARMA")
-SINGLE_ARM = r"(?i)\b(single[- ](arm|center)|open[- ]label|pivotal|registrational|seamless|phase\s*(1b/?2|i/?ii|ib/?ii))\b"
-REAL_WORLD = r"(?i)\b(real[- ]world|retrospective|observational|chart review)\b"
-PROSPECTIVE = r"(?i)\b(prospective|cohort|non-?randomi[sz]ed|investigator-initiated)\b"
-PHASE_TWO = r"(?i)\bphase\s*(ii|2|1b/?2|i/?ii|ib/?ii)\b"
+#: Patterns of single-arm and registration trials, of evidence from practice, and of phase two.
+SINGLE_ARM = ("single[- ]arm", "single[- ]center", "open[- ]label", "pivotal", "registrational", "seamless", r"phase\s*1b/?2", r"phase\s*i/?ii", r"phase\s*ib/?ii")
+REAL_WORLD = ("real[- ]world", "retrospective", "observational", "chart review", r"multicen(?:ter|tre)\s+retrospective")
+PHASE_TWO = r"phase\s*(ii|2|1b/?2|i/?ii|ib/?ii)"
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,11 @@ def mentions(text: Column, term: str) -> Column:
     return text.contains(term) | _squashed(text).contains(term.replace("-", "").replace(" ", ""))
 
 
+def _said(text: Column, *patterns: str) -> Column:
+    """Whether a pattern is found as a word or words, in any case."""
+    return text.rlike(rf"(?i)\b({'|'.join(patterns)})\b")
+
+
 def evidence_tier(title: Column, abstract: Column, pub_types: Column, in_guideline: Column) -> Column:
     """E1 (strongest) to E5. The order of the cases is the rule; publication
     types are searched as one text, so phase i also finds phase ii."""
@@ -57,9 +62,9 @@ def evidence_tier(title: Column, abstract: Column, pub_types: Column, in_guideli
     types = F.lower(F.array_join(pub_types, " | "))
     has = lambda *needles: contains_any(types, needles)
     weak = has(*WEAK_TYPES) | (has("review") & ~has("systematic review", "meta-analysis"))
-    phase_two = has("clinical trial, phase ii", "clinical trial, phase 2") | text.rlike(PHASE_TWO)
+    phase_two = has("clinical trial, phase ii", "clinical trial, phase 2") | _said(text, PHASE_TWO)
     phase_one = has("clinical trial, phase i", "clinical trial, phase 1")
-    pivotal = text.rlike(rf"(?i)\b({'|'.join(TRIALS)})\b") | text.rlike(SINGLE_ARM)
+    pivotal = _said(text, *TRIALS, *SINGLE_ARM)
     strong = has("meta-analysis", "systematic review", "guideline", "randomized controlled trial", "clinical trial, phase iii", "clinical trial, phase 3")
     named = text.rlike(r"(?i)\bphase\s*(iii|3)\b") & text.rlike(r"(?i)\brandomi[sz]ed\b|\brct\b")
     return (
@@ -67,7 +72,7 @@ def evidence_tier(title: Column, abstract: Column, pub_types: Column, in_guideli
         .when(weak, "E5")
         .when(strong | named | in_guideline, "E1")
         .when(pivotal & (phase_two | phase_one | has("clinical trial")), "E2")
-        .when(text.rlike(REAL_WORLD) | has("retrospective studies", "case-control studies"), "E4")
+        .when(_said(text, *REAL_WORLD) | has("retrospective studies", "case-control studies"), "E4")
         .otherwise("E3")
     )
 
@@ -79,17 +84,27 @@ def journal_index(journals: DataFrame) -> DataFrame:
     return keys.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("pos", "at"))).filter("n = 1").drop("n", "name")
 
 
+#: Characters that two keys must share at the start of the shorter one before they are compared.
+STEM = 8
+
+
 def join_journals(articles: DataFrame, index: DataFrame, id_col: str = "pmid", name_col: str = "journal") -> DataFrame:
     """Each article's journal: by its key, else the first whose key contains the
-    article's or is contained in it. The containment test runs over the
-    different names that no key equals, not over articles."""
+    article's or is contained in it. Containment is tried for the different
+    names that no key equals, where the first ``STEM`` characters of the one
+    (all of a shorter one) stand somewhere in the other."""
     rows = articles.withColumn("key", journal_key(name_col))
     index = index.select("key", "at", F.col("pos").alias("journal_pos"), F.col("tier").alias("journal_tier"))
     exact = rows.select("key").distinct().join(index, "key", "left")
     open_ = exact.filter("journal_pos is null and key <> ''").select("key")
-    test = F.col("o.key").contains(F.col("i.key")) | F.col("i.key").contains(F.col("o.key"))
-    soft = open_.alias("o").join(index.alias("i"), test).groupBy(F.col("o.key").alias("key"))
-    soft = soft.agg(F.min(F.struct("i.journal_pos", "i.at", "i.journal_tier")).alias("m")).select("key", "m.journal_pos", "m.journal_tier")
+    stem = lambda key: F.substring(key, 1, STEM)
+    # Of a name, what a stem could be: STEM characters from every place, or the start or less of them for short ones.
+    pieces = lambda key: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(STEM)), lambda n: F.substring(key, i, n)))))
+    known = index.select(F.struct("journal_pos", "at", "journal_tier").alias("journal"), F.col("key").alias("other"))
+    inside = open_.withColumn("piece", F.explode(pieces(F.col("key")))).join(known.withColumn("piece", stem(F.col("other"))), "piece").filter(F.col("key").contains(F.col("other")))
+    around = open_.withColumn("piece", stem(F.col("key"))).join(known.withColumn("piece", F.explode(pieces(F.col("other")))), "piece").filter(F.col("other").contains(F.col("key")))
+    soft = inside.select("key", "journal").unionByName(around.select("key", "journal")).groupBy("key").agg(F.min("journal").alias("m"))
+    soft = soft.select("key", "m.journal_pos", "m.journal_tier")
     found = exact.filter("journal_pos is not null").select("key", "journal_pos", "journal_tier").unionByName(soft)
     return rows.join(found, "key", "left").drop("key")
 

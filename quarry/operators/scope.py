@@ -95,11 +95,16 @@ def box_union(rows: DataFrame, by: str) -> DataFrame:
     return out.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
 
 
-def best_overlap(links: DataFrame, blocks: DataFrame, page: str = "page") -> DataFrame:
-    """For each link box, the block on its page that covers most of it (more than nothing)."""
-    a, b = links.alias("a"), blocks.alias("b")
-    side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(F.col(f"a.{hi}"), F.col(f"b.{hi}")) - F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}")))
-    rows = a.join(b, F.col(f"a.{page}") == F.col(f"b.{page}")).select("a.link_id", "b.block_id", (side("x0", "x1") * side("y0", "y1")).alias("area")).filter("area > 0")
+def best_overlap(links: DataFrame, blocks: DataFrame, page: str = "page", cell: float = 50.0) -> DataFrame:
+    """For each link box, the block on its page that covers most of it (more
+    than nothing; of equal ones that with the smallest id). Boxes meet in the
+    cells of a grid of ``cell`` that they reach into, so a link isn't compared
+    with all of its page."""
+    steps = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.greatest(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))))
+    cells = lambda rows, name: rows.select(F.col(page).alias("page"), F.col(name), F.struct("x0", "y0", "x1", "y1").alias(name[0])).filter(F.col("page").isNotNull()).withColumn("cx", steps(f"{name[0]}.x0", f"{name[0]}.x1")).withColumn("cy", steps(f"{name[0]}.y0", f"{name[0]}.y1"))
+    rows = cells(links, "link_id").join(cells(blocks, "block_id"), ["page", "cx", "cy"])
+    side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(F.col(f"l.{hi}"), F.col(f"b.{hi}")) - F.greatest(F.col(f"l.{lo}"), F.col(f"b.{lo}")))
+    rows = rows.select("link_id", "block_id", (side("x0", "x1") * side("y0", "y1")).alias("area")).filter("area > 0")
     best = F.max(F.struct("area", (-F.col("block_id")).alias("back"), "block_id"))
     return rows.groupBy("link_id").agg(best.alias("m")).select("link_id", "m.block_id", "m.area")
 

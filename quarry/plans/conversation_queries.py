@@ -10,8 +10,9 @@ from quarry.plans.search_queries import table
 
 
 def flat(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
-    return rows.select("conv_id", F.col("turn").alias("id"), F.col("turn").alias("pos"), "role", "text")
+    """One message for each turn: of repeated ones the first by role and text."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
+    return rows.select("conv_id", F.col("turn").alias("id"), F.col("turn").alias("pos"), "m.role", "m.text")
 
 
 def tree(spark, sf_dir):
@@ -116,7 +117,7 @@ def provider_status(spark, sf_dir):
     return A.provider_status(rows.select(F.col("event_type").alias("provider"), (F.col("value") < 5).alias("failed"), F.floor("value").cast("long").alias("records")))
 
 
-_FLAT = "f AS (SELECT DISTINCT ON (conv_id, turn) conv_id, turn AS id, role, text FROM conversations)"
+_FLAT = "f AS (SELECT conv_id, turn AS id, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) = 1)"
 _TREE = f"{_FLAT}, t AS (SELECT *, CASE WHEN id > 0 THEN (id - 1) // 2 END AS parent_id, CASE WHEN id % 3 = 0 THEN id * 2 + 1 END AS active_child_id FROM f)"
 
 QUERIES = {

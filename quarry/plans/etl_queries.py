@@ -24,18 +24,16 @@ def page_kinds(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", E.is_toc(text).alias("toc"), E.is_reference_page(text).alias("refs"), (F.size(X.paragraphs(text))).alias("paragraphs"))
 
 
+def _source_pages(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("article_id"), F.col("doc_id").alias("pos"), "text")
+
+
 def running_headers(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("article_id"), F.col("doc_id").alias("pos"), "text")
-    rows = pages.select("article_id", "pos", F.trim(F.split_part("text", F.lit("\n"), F.lit(1))).alias("header")).filter("header <> ''")
-    return rows.groupBy("article_id", "header").agg(F.count("*").alias("n"), F.min("pos").alias("first")).groupBy("article_id").agg(
-        F.max(F.struct("n", (-F.col("first")).alias("b"), "header")).alias("m")
-    ).select("article_id", "m.header", "m.n")
+    return E.running_header(_source_pages(spark, sf_dir), least=1, share=0.0)
 
 
 def shared_headers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").startswith("The "))
-    pages = docs.select(F.col("lang").alias("article_id"), F.col("doc_id").alias("pos"), F.concat(F.substring("text", 1, 7), F.lit("\nbody")).alias("text"))
-    return E.running_header(pages)
+    return E.running_header(_source_pages(spark, sf_dir), share=0.001)
 
 
 def section_numbers(spark, sf_dir):
@@ -99,7 +97,7 @@ def markdown_tables(spark, sf_dir):
 
 def reading_order(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
-    return rows.select("doc_id", X.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title_key"), X.slug(F.substring("text", 1, 60)).alias("slug"), X.snippet("text").alias("snippet"))
+    return rows.select("doc_id", X.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title_key"), X.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"), X.snippet("text").alias("snippet"))
 
 
 _PIECES = "p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
@@ -140,6 +138,11 @@ QUERIES = {
     "reading_order": reading_order,
 }
 
+_HEADERS = r"""
+h AS (SELECT source AS article_id, doc_id, trim(regexp_extract(text, '^[ \n]*([^\n]*)', 1), ' ') AS header, count(*) OVER (PARTITION BY source) AS pages FROM documents),
+c AS (SELECT article_id, header, count(*) AS n, min(doc_id) AS first, any_value(pages) AS pages FROM h WHERE header <> '' GROUP BY article_id, header),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY n DESC, first) = 1)"""
+
 ORACLE_SQL = {
     "cleaned_pages": r"""
 SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ')),
@@ -149,16 +152,8 @@ SELECT doc_id, len(regexp_extract_all(text, '(?m)^(.+?)\.{3,}\s*(?:MS-)?(\d+)\s*
   regexp_matches(text, '(?mi)^\s*references\s*$') OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)(ncbi\.nlm\.nih\.gov|doi\.org|pubmed)'))) >= 3
     OR (len(regexp_extract_all(text, '(?m)^\s*\d{1,3}\.\s+[A-Z]')) >= 2 AND len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)(ncbi\.nlm\.nih\.gov|doi\.org|pubmed)'))) >= 2) AS refs,
   CAST(len(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS INT) AS paragraphs FROM documents""",
-    "running_headers": """
-WITH h AS (SELECT source AS article_id, doc_id, trim(split_part(text, chr(10), 1), ' ') AS header FROM documents),
-c AS (SELECT article_id, header, count(*) AS n, min(doc_id) AS first FROM h WHERE header <> '' GROUP BY ALL)
-SELECT article_id, header, n FROM c QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY n DESC, first) = 1""",
-    "shared_headers": """
-WITH h AS (SELECT lang AS article_id, doc_id, trim(substr(text, 1, 7), ' ') AS header FROM documents WHERE starts_with(text, 'The ')),
-x AS (SELECT *, trim(split_part(header, chr(10), 1), ' ') AS line, count(*) OVER (PARTITION BY article_id) AS pages FROM h),
-c AS (SELECT article_id, line AS header, count(*) AS n, min(doc_id) AS first, any_value(pages) AS pages FROM x GROUP BY ALL),
-b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY n DESC, first) = 1)
-SELECT article_id, header, n FROM b WHERE n >= greatest(3, pages // 2)""",
+    "running_headers": f"WITH {_HEADERS} SELECT article_id, header, n FROM b",
+    "shared_headers": f"WITH {_HEADERS} SELECT article_id, header, n FROM b WHERE n >= greatest(3, floor(pages * 0.001))",
     "section_numbers": f"WITH {_SECTIONS} SELECT doc_id, pos, section_no, section FROM s",
     "packed_chunks": f"""
 WITH RECURSIVE {_PIECES},
@@ -196,7 +191,7 @@ WITH r AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER
 SELECT c_nationkey, string_agg(CASE WHEN i = 1 THEN line || chr(10) || '| --- | --- |' ELSE line END, chr(10) ORDER BY i) AS "table" FROM r GROUP BY c_nationkey""",
     "reading_order": r"""
 SELECT doc_id, substr(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9一-鿿]+', ' ', 'g'), ' '), 1, 160) AS title_key,
-  trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, substr(replace(text, chr(10), ' '), 1, 320) AS snippet FROM documents""",
+  trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, substr(replace(text, chr(10), ' '), 1, 320) AS snippet FROM documents""",
     "overlap_tails": f"WITH {_tails('documents', 'doc_id', 'text')} SELECT d.doc_id, coalesce(tail, '') AS tail FROM documents d LEFT JOIN tails USING (doc_id)",
     "section_chunks": f"""
 WITH RECURSIVE {_SECTIONS},

@@ -38,7 +38,7 @@ def _answers(spark, sf_dir):
     """An answer for each question, with marks that its hits decide."""
     asked = questions(spark, sf_dir)
     a, b = F.col("query_id") % 7, F.col("query_id") % 4 + 2
-    text = F.concat(F.substring("query", 1, 20), F.lit(" [S"), a.cast("string"), F.lit("] , "), F.substring("query", 21, 20), F.lit(" [s"), b.cast("string"), F.lit("][S99] ."))
+    text = F.concat(F.substring("query", 1, 20), F.lit(" [S"), a.cast("string"), F.lit("] , "), F.substring("query", 21, 1 << 30), F.lit(" [s"), b.cast("string"), F.lit("][S99] ."))
     return asked.withColumn("answer", F.when(F.col("query_id") % 5 == 0, F.col("query")).otherwise(text))
 
 
@@ -52,7 +52,7 @@ def verified_answers(spark, sf_dir):
     hits = S.bm25_search(docs, questions(spark, sf_dir), 2)
     texts = hits.join(docs.select("doc_id", "text"), "doc_id").groupBy("query_id").agg(F.count("*").alias("n_hits"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("evidence"))
     rows = _answers(spark, sf_dir).join(texts, "query_id", "left").fillna(0, ["n_hits"])
-    rows = rows.withColumns({"entities": F.slice(X.search_terms("query"), 1, 4), "n_figures": F.lit(0), "kind": F.when(F.col("query_id") % 11 == 3, "chitchat").otherwise("guideline")})
+    rows = rows.withColumns({"entities": X.search_terms("query"), "n_figures": F.lit(0), "kind": F.when(F.col("query_id") % 11 == 3, "chitchat").otherwise("guideline")})
     out = C.verify_answers(rows)
     return out.select("query_id", "citation_count", "raw_citation_count", F.array_join("uncovered", ",").alias("uncovered"), F.array_join("issues", ",").alias("issues"), "ok")
 
@@ -104,7 +104,7 @@ def evidence_tiers(spark, sf_dir):
 
 def journal_lookup(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    journals = parts.filter("p_partkey <= 60").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("full_name"), F.col("p_brand").alias("iso_abbr"), F.array("p_type").alias("aliases"), F.col("p_brand").alias("tier"))
+    journals = parts.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("full_name"), F.col("p_brand").alias("iso_abbr"), F.array("p_type").alias("aliases"), F.col("p_brand").alias("tier"))
     rows = parts.select(F.col("p_partkey").alias("pmid"), F.concat(F.lit("The "), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" & Co")))).alias("journal"))
     return R.join_journals(rows, R.journal_index(journals)).select("pmid", "journal_pos")
 
@@ -141,7 +141,7 @@ SELECT d.doc_id, coalesce(refs, '') AS refs FROM documents d LEFT JOIN z USING (
 
 
 _ANS = """ans AS (
-  SELECT item_id AS query_id, text AS query, CASE WHEN item_id % 5 = 0 THEN text ELSE substr(text, 1, 20) || ' [S' || item_id % 7 || '] , ' || substr(text, 21, 20) || ' [s' || (item_id % 4 + 2) || '][S99] .' END AS answer FROM benchmark)"""
+  SELECT item_id AS query_id, text AS query, CASE WHEN item_id % 5 = 0 THEN text ELSE substr(text, 1, 20) || ' [S' || item_id % 7 || '] , ' || substr(text, 21) || ' [s' || (item_id % 4 + 2) || '][S99] .' END AS answer FROM benchmark)"""
 _SENT = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.。!?！？])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, ' ')), lambda s: s <> '')"
 
 QUERIES = {
@@ -168,7 +168,7 @@ CASE WHEN k IN (0, 2) AND g THEN 'E1' WHEN k IN (0, 2) THEN 'E5' WHEN g OR (rege
   WHEN (regexp_matches(t, '(?i)\b(ZUMA[-\s]?\d*|JULIET|TRANSCEND|TRANSFORM|BELINDA|EPCORE|POLARIX|GOYA|PHOENIX|ROSEWOOD|LOTIS|STARGLO|ALEXANDER|PILOT|ELARA|CARTITUDE|KARMA)\b')
     OR regexp_matches(t, '(?i)\b(single[- ](arm|center)|open[- ]label|pivotal|registrational|seamless|phase\s*(1b/?2|i/?ii|ib/?ii))\b'))
     AND (k = 1 OR regexp_matches(t, '(?i)\bphase\s*(ii|2|1b/?2|i/?ii|ib/?ii)\b')) THEN 'E2'
-  WHEN regexp_matches(t, '(?i)\b(real[- ]world|retrospective|observational|chart review)\b') THEN 'E4' ELSE 'E3' END"""
+  WHEN regexp_matches(t, '(?i)\b(real[- ]world|retrospective|observational|chart review|multicen(?:ter|tre)\s+retrospective)\b') THEN 'E4' ELSE 'E3' END"""
 _MUST = "(contains({0}, 'than-d') OR contains(regexp_replace({0}, '[- ]', '', 'g'), 'thand'))", "(contains({0}, 'erin') OR contains(regexp_replace({0}, '[- ]', '', 'g'), 'erin'))"
 _BONUS = " + ".join(f"CASE WHEN {m.format('lower(title)')} THEN 0.25 WHEN {m.format('blob')} THEN 0.12 ELSE -0.18 END" for m in _MUST)
 _TOK = "list_distinct(list_transform(regexp_extract_all({0}, '[a-zA-Z0-9]+'), lambda t: lower(t)))"
@@ -211,7 +211,7 @@ WITH {_bm25(2)}, {_ANS},
 v AS (SELECT query_id, count(*) AS n_hits, lower(string_agg(text, chr(10) ORDER BY rank)) AS ev FROM h JOIN documents USING (doc_id) GROUP BY query_id),
 m AS (
   SELECT query_id, regexp_extract_all(answer, '\\[S\\d+\\]') AS marks, coalesce(n_hits, 0) AS n_hits, coalesce(ev, '') AS ev, query_id % 11 <> 3 AS g,
-    list_filter(list_transform(regexp_extract_all(coalesce(query, ''), '[A-Za-z][A-Za-z0-9-]*|[0-9]+'), lambda t: lower(t)), lambda t: length(t) > 1)[1:4] AS ents FROM ans LEFT JOIN v USING (query_id)),
+    list_filter(list_transform(regexp_extract_all(coalesce(query, ''), '[A-Za-z][A-Za-z0-9-]*|[0-9]+'), lambda t: lower(t)), lambda t: length(t) > 1) AS ents FROM ans LEFT JOIN v USING (query_id)),
 u AS (SELECT *, list_filter(ents, lambda e: NOT contains(ev, e)) AS open FROM m),
 i AS (
   SELECT *, CASE WHEN g THEN list_filter([CASE WHEN len(marks) = 0 THEN 'answer_missing_source_citations' END, CASE WHEN len(open) > 0 THEN 'uncovered_entities_without_boundary_statement' END,
@@ -248,7 +248,7 @@ SELECT query_id, pmid, tier, population, relevance, recency, round(penalty, 6)::
     "journal_lookup": r"""
 WITH n AS (
   SELECT p_partkey AS pos, j, trim(regexp_replace(regexp_replace(replace(lower([p_name, p_brand, p_type][j]), '&', ' and '), '\bthe\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key
-  FROM part, (SELECT unnest([1, 2, 3]) AS j) WHERE p_partkey <= 60),
+  FROM part, (SELECT unnest([1, 2, 3]) AS j)),
 x AS (SELECT key, pos, j FROM n WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos, j) = 1),
 a AS (
   SELECT p_partkey AS pmid, trim(regexp_replace(regexp_replace(replace(lower('The ' || CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' & Co' END), '&', ' and '), '\bthe\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM part),

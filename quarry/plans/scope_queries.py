@@ -38,8 +38,7 @@ def _hits(spark, sf_dir, k):
 
 
 def gated_hits(spark, sf_dir):
-    rows = _hits(spark, sf_dir, 8).withColumn("query", F.substring("query", 1, 6))
-    return P.lexical_gate(rows).select("query_id", "doc_id", "rank", "overlap")
+    return P.lexical_gate(_hits(spark, sf_dir, 8)).select("query_id", "doc_id", "rank", "overlap")
 
 
 def guarded_hits(spark, sf_dir):
@@ -86,9 +85,10 @@ def box_unions(spark, sf_dir):
 
 def box_overlaps(spark, sf_dir):
     rows = _boxes(spark, sf_dir)
-    links = rows.filter("l_linenumber = 1").groupBy("page").agg(F.min_by(F.struct("box", "x0", "y0", "x1", "y1"), "box").alias("b")).select("page", F.col("b.box").alias("link_id"), "b.x0", "b.y0", "b.x1", "b.y1")
-    blocks = rows.filter("l_linenumber > 1").dropDuplicates(["box"]).withColumnRenamed("box", "block_id")
-    return P.best_overlap(links, blocks).groupBy("link_id").agg(F.round(F.max("area"), 4).alias("area"))
+    links = rows.filter("l_linenumber = 1").withColumnRenamed("box", "link_id")
+    blocks = rows.filter("l_linenumber > 1").withColumnRenamed("box", "block_id")
+    out = P.best_overlap(links, blocks, cell=10.0)
+    return out.select("link_id", "block_id", F.round("area", 4).alias("area"))
 
 
 def box_qualities(spark, sf_dir):
@@ -97,7 +97,7 @@ def box_qualities(spark, sf_dir):
 
 
 def display_lines(spark, sf_dir):
-    title = F.substring("text", 1, 30)
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
     year = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 30 + 1990).cast("string"))
     kind = F.when(F.col("lang") == "en", "reference").otherwise("page")
     return table(spark, sf_dir, "documents").select("doc_id", P.display_title(kind, title, F.col("source"), year).alias("line"))
@@ -130,7 +130,7 @@ SELECT doc_id, i AS "at", CASE WHEN i = 0 THEN source END AS article, CASE WHEN
     "scope_verdicts": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' WHEN source IN ('src1', 'src2') OR lang = 'de' THEN 'true' ELSE 'false' END AS verdict FROM documents",
     "gated_hits": f"""
 WITH {_bm25(8)},
-t AS (SELECT item_id AS query_id, list_distinct(list_transform(regexp_extract_all(substr(text, 1, 6), '[a-zA-Z0-9]+'), lambda x: lower(x))) AS qs FROM benchmark),
+t AS (SELECT item_id AS query_id, list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x))) AS qs FROM benchmark),
 o AS (SELECT query_id, doc_id, rank, round(len(list_intersect(qs, list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x))))) / greatest(len(qs), 1), 6)::DOUBLE AS overlap FROM h JOIN documents USING (doc_id) JOIN t USING (query_id))
 SELECT * FROM o WHERE overlap > 0 OR rank <= 2""",
     "guarded_hits": f"""
@@ -157,13 +157,12 @@ SELECT doc_id, md5(label) AS figure, CAST(min(i) AS INT) AS anchor FROM l, (SELE
     "box_unions": f"WITH {_B} SELECT page, round(min(x0), 6) AS x0, round(min(y0), 6) AS y0, round(max(x1), 6) AS x1, round(max(y1), 6) AS y1, round((max(x1) - min(x0)) * (max(y1) - min(y0)), 6) AS area FROM b GROUP BY page",
     "box_overlaps": f"""
 WITH {_B},
-l AS (SELECT * FROM b WHERE ln = 1 QUALIFY row_number() OVER (PARTITION BY page ORDER BY box) = 1),
-k AS (SELECT DISTINCT ON (box) * FROM b WHERE ln > 1),
-o AS (SELECT l.box AS link_id, greatest(0, least(l.x1, k.x1) - greatest(l.x0, k.x0)) * greatest(0, least(l.y1, k.y1) - greatest(l.y0, k.y0)) AS area FROM l JOIN k ON l.page = k.page)
-SELECT link_id, round(max(area), 4) AS area FROM o WHERE area > 0 GROUP BY link_id""",
+o AS (
+  SELECT l.box AS link_id, k.box AS block_id, greatest(0, least(l.x1, k.x1) - greatest(l.x0, k.x0)) * greatest(0, least(l.y1, k.y1) - greatest(l.y0, k.y0)) AS area FROM b l JOIN b k ON l.page = k.page WHERE l.ln = 1 AND k.ln > 1)
+SELECT link_id, block_id, round(area, 4) AS area FROM o WHERE area > 0 QUALIFY row_number() OVER (PARTITION BY link_id ORDER BY area DESC, block_id) = 1""",
     "box_qualities": f"""
 WITH {_B}, n AS (SELECT x0 / 60 AS x0, y0 / 120 AS y0, x1 / 60 AS x1, y1 / 120 AS y1 FROM b)
 SELECT CASE WHEN x1 - x0 <= 0 OR y1 - y0 <= 0 OR least(x0, y0) < 0 OR greatest(x1, y1) > 1 THEN 'invalid' WHEN (x1 - x0) * (y1 - y0) > 0.9 THEN 'full_page' WHEN least(x1 - x0, y1 - y0) < 0.05 THEN 'narrow' ELSE 'good' END AS quality, count(*) AS n FROM n GROUP BY ALL""",
     "display_lines": """
-SELECT doc_id, CASE WHEN lang = 'en' THEN concat_ws(' · ', source, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 30 + 1990 AS VARCHAR) END, substr(text, 1, 30)) ELSE concat_ws(' · ', substr(text, 1, 30), source) END AS line FROM documents""",
+SELECT doc_id, CASE WHEN lang = 'en' THEN concat_ws(' · ', source, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 30 + 1990 AS VARCHAR) END, split_part(text, chr(10), 1)) ELSE concat_ws(' · ', split_part(text, chr(10), 1), source) END AS line FROM documents""",
 }
