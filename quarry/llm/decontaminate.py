@@ -8,8 +8,8 @@ back to character offsets in the original text.
 
 The items are written once to the shared folder, in blocks of about
 ``BLOCK_WORDS`` words, and the workers read them there, so the driver never
-holds them. Nearly every benchmark is one block, whose automaton a worker keeps.
-Of a larger one each worker holds one block's automaton at a time: a batch of
+holds them. Nearly every benchmark is one block, whose automaton a task makes
+once. Of a larger one it holds one block's automaton at a time: a batch of
 documents passes them in turn, its hits are united, and the documents are still
 read once.
 
@@ -90,24 +90,22 @@ def _add(runs: list[list[int]], first: int, last: int) -> None:
 
 
 class Benchmark:
-    """Blocks of items in the shared folder, with the scanner that a worker used last."""
-
-    last: tuple[tuple, Scanner] | None = None
+    """Blocks of items in the shared folder, with the scanner that a task used last."""
 
     def __init__(self, path: str, blocks: int, window: int):
         self.path, self.blocks, self.window = path, blocks, window
+        self.last: tuple[int, Scanner] | None = None
 
     def scanner(self, block: int) -> Scanner:
-        key = (self.path, block, self.window)
-        if Benchmark.last is None or Benchmark.last[0] != key:
+        if self.last is None or self.last[0] != block:
             from pyarrow import fs, parquet
 
-            Benchmark.last = None
+            self.last = None  # one automaton at a time
             store, path = fs.FileSystem.from_uri(self.path)
             files = [f.path for f in store.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
             items = [(r["item"], r["text"]) for f in sorted(files) for r in parquet.read_table(f, columns=["item", "text"], filesystem=store, partitioning=None).to_pylist()]
-            Benchmark.last = key, Scanner(items, self.window)
-        return Benchmark.last[1]
+            self.last = block, Scanner(items, self.window)
+        return self.last[1]
 
     def find(self, texts: list[str | None]) -> dict[str, list]:
         words = [words_of(t) for t in texts]
@@ -152,7 +150,7 @@ def find_benchmark(
     the runs of hit words ``hits`` and the ids of the ``items`` found."""
     text = F.col(text) if isinstance(text, str) else text
     stored = store_benchmark(benchmark, item_col, item_text, window)
-    return with_columns(docs, text, lambda: stored.find, SCHEMA, keep)
+    return with_columns(docs, text, lambda: Benchmark(stored.path, stored.blocks, stored.window).find, SCHEMA, keep)
 
 
 def n_hit() -> Column:

@@ -27,6 +27,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ RANK_BYTES = 64
 END_ID = 1
 #: A shard is closed at the first document end after so many tokens.
 SHARD_TOKENS = 1 << 23
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, and words of texts that it takes at a time.
 MEMO_WORDS = 400_000
+LEARN_WORDS = 400_000
 
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -69,11 +71,11 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_str(tokenizer_json)
-        self.controls = [t.content.encode("utf-8", "replace").lower() for t in self.whole.get_added_tokens_decoder().values()]
+        self.json = tokenizer_json
         # What only becomes a control string by lower-casing is none.
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.controls = [t.content.encode("utf-8", "replace").lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.memo: dict[bytes, bytes] = {}
@@ -109,23 +111,28 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
-        control = [any(map(r.__contains__, self.controls)) for r in raw]
-        words = [[] if c else r.split() for r, c in zip(raw, control, strict=True)]
-        del raw
-        some: list[int] = []
+        some: list[tuple[str | None, list[bytes]]] = []  # a text that goes whole, or words
         size = 0
-        for i, w in enumerate(words):
-            some.append(i)
-            size += len(w)
-            if size >= 400_000 or i == len(words) - 1:
-                self.learn(set().union(*(words[k] for k in some)))
-                for k in some:
-                    if control[k]:
-                        yield array("I", self.whole.encode(texts[k], add_special_tokens=False).ids).tobytes()
-                    else:
-                        yield b"".join(map(self.memo.__getitem__, words[k]))
+        for text in texts:
+            raw = (text or "").encode("utf-8", "replace").lower()
+            some.append((text, []) if any(map(raw.__contains__, self.controls)) else (None, raw.split()))
+            size += len(some[-1][1])
+            if size >= LEARN_WORDS:
+                yield from self._encoded(some)
                 some, size = [], 0
+        yield from self._encoded(some)
+
+    def _encoded(self, some: list[tuple[str | None, list[bytes]]]) -> Iterator[bytes]:
+        self.learn(set().union(*(words for _, words in some)))
+        for text, words in some:
+            yield b"".join(map(self.memo.__getitem__, words)) if text is None else array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is, loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.json)
 
 
 def encoder(tokenizer_json) -> WordEncoder:
