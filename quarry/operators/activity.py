@@ -48,7 +48,7 @@ def rate_limited(rows: DataFrame, limit: int, seconds: int, id_col: str = "event
     the times of at most ``limit`` allowed calls."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, recent = None, []
+        key, recent = object(), []  # no key yet, which is not the null key
         for batch in batches:
             allowed = []
             for k, at in zip(batch["key"].tolist(), batch["at"].tolist(), strict=True):
@@ -60,7 +60,7 @@ def rate_limited(rows: DataFrame, limit: int, seconds: int, id_col: str = "event
                     recent.append(at)
             yield pd.DataFrame({id_col: batch[id_col], "allowed": allowed})
 
-    calls = rows.select(id_col, "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    calls = rows.select(id_col, F.col("key").cast("string"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     dealt = calls.repartition("key").sortWithinPartitions("key", "at", id_col)
     return dealt.mapInPandas(scan, f"{id_col} long, allowed boolean")
 
@@ -70,7 +70,7 @@ def cache_hits(rows: DataFrame, ttl_seconds: int, id_col: str = "event_id") -> D
     ``ttl_seconds`` from the request that stored them; a miss stores anew."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, stored = None, None
+        key, stored = object(), None
         for batch in batches:
             hits = []
             for k, at in zip(batch["key"].tolist(), batch["at"].tolist(), strict=True):
@@ -81,7 +81,7 @@ def cache_hits(rows: DataFrame, ttl_seconds: int, id_col: str = "event_id") -> D
                     stored = at
             yield pd.DataFrame({id_col: batch[id_col], "hit": hits})
 
-    calls = rows.select(id_col, "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    calls = rows.select(id_col, F.col("key").cast("string"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return calls.repartition("key").sortWithinPartitions("key", "at", id_col).mapInPandas(scan, f"{id_col} long, hit boolean")
 
 

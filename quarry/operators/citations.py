@@ -33,10 +33,12 @@ def resolve_references(hits: DataFrame, entries: DataFrame, max_attached: int =
     numbers = F.array_intersect(resolver_refs(best_sentence(F.col("text"), F.col("keywords"))), F.col("reference_ids"))
     cited = hits.select("query_id", "rank", "source_id", "article_id", F.posexplode(numbers).alias("at", "ref_number"))
     found = cited.join(entries.select("article_id", "ref_number", "entry_id"), ["article_id", "ref_number"])
-    order = Window.partitionBy("query_id").orderBy("rank", "at")
-    again = Window.partitionBy("query_id", "article_id", "ref_number").orderBy("rank", "at")
-    found = found.withColumn("new", (F.row_number().over(again) == 1).cast("int"))
-    found = found.withColumn("place", F.sum("new").over(order)).filter(F.col("place") <= max_attached)
+    # Where a question's first references are first named, up to one too many; no task orders all that it cites.
+    firsts = found.groupBy("query_id", "article_id", "ref_number").agg(F.min(F.struct("rank", "at")).alias("first"))
+    firsts = firsts.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).filter(F.col("n") <= max_attached + 1)
+    firsts = firsts.groupBy("query_id").agg(F.collect_list("first").alias("firsts"))
+    before = F.size(F.filter("firsts", lambda x: x <= F.struct("rank", "at"))).cast("long")
+    found = found.join(firsts, "query_id").withColumn("place", before).filter(F.col("place") <= max_attached)
     return found.select("query_id", "source_id", "ref_number", "entry_id", "place")
 
 

@@ -173,7 +173,10 @@ def navigate(pages: DataFrame, links: DataFrame, starts: DataFrame, fanout: int
         part = step.select("query_id", "src", "dst", "score")
         steps = part if steps is None else steps.unionByName(part).distinct()
         front = step.select("query_id", "query", "module", F.col("dst").alias("src")).distinct()
-    best = steps.groupBy("query_id", "src", "dst").agg(F.max("score").alias("score")).join(first, "query_id")
+    best = steps.groupBy("query_id", "src", "dst").agg(F.max("score").alias("score"))
+    # A page's links beyond these are never followed: no more than budget + 1 pages are seen already.
+    order = Window.partitionBy("query_id", "src").orderBy(F.desc("score"), "dst")
+    best = best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= fanout + budget + 1).drop("n").join(first, "query_id")
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ways: dict[str, list[str]] = {}

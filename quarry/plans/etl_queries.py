@@ -91,8 +91,9 @@ def continued_rows(spark, sf_dir):
 
 def markdown_tables(spark, sf_dir):
     row = F.array(F.col("c_name"), F.col("c_mktsegment"))
-    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    return rows.select("c_nationkey", E.table_markdown(F.col("rows")).alias("table"))
+    # A table for each 1,000 customers of a nation, so that none grows with the data.
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 1000).alias("part")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return rows.select("c_nationkey", "part", E.table_markdown(F.col("rows")).alias("table"))
 
 
 def reading_order(spark, sf_dir):
@@ -187,8 +188,8 @@ WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER B
 i AS (SELECT *, CAST(sum(CASE WHEN name <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row_no FROM r)
 SELECT l_orderkey, row_no, max(CASE WHEN name <> '' THEN name END) AS name, string_agg(cell, ' ' ORDER BY n, cell) AS cell FROM i GROUP BY l_orderkey, row_no""",
     "markdown_tables": """
-WITH r AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_mktsegment) AS i, '| ' || c_name || ' | ' || c_mktsegment || ' |' AS line FROM customer)
-SELECT c_nationkey, string_agg(CASE WHEN i = 1 THEN line || chr(10) || '| --- | --- |' ELSE line END, chr(10) ORDER BY i) AS "table" FROM r GROUP BY c_nationkey""",
+WITH r AS (SELECT c_nationkey, c_custkey // 1000 AS part, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_name, c_mktsegment) AS i, '| ' || c_name || ' | ' || c_mktsegment || ' |' AS line FROM customer)
+SELECT c_nationkey, part, string_agg(CASE WHEN i = 1 THEN line || chr(10) || '| --- | --- |' ELSE line END, chr(10) ORDER BY i) AS "table" FROM r GROUP BY c_nationkey, part""",
     "reading_order": r"""
 SELECT doc_id, substr(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9一-鿿]+', ' ', 'g'), ' '), 1, 160) AS title_key,
   trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, substr(replace(text, chr(10), ' '), 1, 320) AS snippet FROM documents""",

@@ -188,3 +188,13 @@ def test_tree_walks_have_no_row_limit_and_end_on_circles(spark):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     with pytest.raises(ValueError):
         conversations.subtrees(messages.filter("conv_id = 2"), spark.createDataFrame([(2, 5)], "conv_id long, head_id long"))
+
+
+def test_calls_of_the_null_key_share_its_limit(spark):
+    from quarry.operators import activity
+
+    rows = spark.createDataFrame([(k, None, f"2024-01-01 00:00:0{k}") for k in range(3)] + [(k, 7, f"2024-01-01 00:00:0{k}") for k in (5, 6)], "event_id long, key long, ts string")
+    got = {r["event_id"]: r["allowed"] for r in activity.rate_limited(rows, 1, 60).collect()}
+    assert got == {0: True, 1: False, 2: False, 5: True, 6: False}
+    hits = {r["event_id"]: r["hit"] for r in activity.cache_hits(rows, 60).collect()}
+    assert hits == {0: False, 1: True, 2: True, 5: False, 6: True}
