@@ -108,3 +108,29 @@ def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
 def hits_of(text: Column, needles: tuple[str, ...]) -> Column:
     """The needles that the text contains, as an array."""
     return F.filter(F.array(*map(F.lit, needles)), lambda n: text.contains(n))
+
+
+def plain_spaces(text: Column | str) -> Column:
+    """Without soft hyphens, with plain hyphens, single spaces and at most one blank line."""
+    text = F.regexp_replace(F.translate(_text(text), "‐‑–­", "---"), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def wide_tildes(text: Column | str) -> Column:
+    """Tildes between letters or digits as wide ones, so that Markdown strikes nothing out."""
+    return F.regexp_replace(_text(text), r"([0-9A-Za-z])\s*~\s*(?=[0-9A-Za-z])", "$1～")
+
+
+def repaired_dashes(text: Column | str) -> Column:
+    """Dashes that a wrong encoding left as a replacement mark and C."""
+    return F.replace(_text(text), F.lit("�C"), F.lit("–"))
+
+
+def is_safe_image(name: Column) -> Column:
+    """A PNG's bare file name, without folders, climbing or control characters."""
+    return F.coalesce(F.lower(name).endswith(".png") & ~name.contains("..") & ~name.rlike(r"[/\\\x00-\x1f]"), F.lit(False))
+
+
+def is_noise_label(label: Column) -> Column:
+    """A node's label that tells nothing: blank, a number, or a kind with a number."""
+    return F.trim(_text(label)).rlike(r"(?i)^(\d*|\[\d+\]|(node|edge|entity|item|page|triple)[:_-]?\d*)$")

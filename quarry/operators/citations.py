@@ -101,3 +101,12 @@ def display_index(groups: list[DataFrame]) -> DataFrame:
         part = g.select("query_id", "key", "place", F.lit(k).alias("list"))
         rows = part if rows is None else rows.unionByName(part)
     return rows.withColumn("number", F.row_number().over(Window.partitionBy("query_id").orderBy("list", "place", "key")))
+
+
+def place_tables(paragraphs: DataFrame, tables: DataFrame) -> DataFrame:
+    """Where the tables among an answer's sources are shown: at the first
+    paragraph that cites them, or behind all (null). paragraphs: ``query_id``,
+    ``at``, ``text``; tables: ``query_id``, ``number`` (of the source). Adds ``at``."""
+    numbers = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?i)\[S(\d+)\]"), F.lit(1)), lambda n: n.cast("int")))
+    cited = paragraphs.select("query_id", "at", F.explode(numbers).alias("number")).groupBy("query_id", "number").agg(F.min("at").alias("at"))
+    return tables.join(cited, ["query_id", "number"], "left")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import new_path, stage
+from quarry.tables import new_path, stage
 
 
 def _walk(heads: DataFrame, links: DataFrame) -> DataFrame:
@@ -114,3 +114,18 @@ def age_bucket(at: Column, now: Column) -> Column:
     """today, week, month or older, by days before ``now``."""
     days = F.datediff(now, at)
     return F.when(days < 1, "today").when(days < 7, "week").when(days < 30, "month").otherwise("older")
+
+
+def conversation_list(conversations: DataFrame, messages: DataFrame, user: Column | None = None) -> DataFrame:
+    """Conversations (``conv_id``, ``user_id``, ``updated_at``), of one user if
+    given, with their number of messages; the last changed one has ``place`` 1 of its user's."""
+    rows = conversations if user is None else conversations.filter(F.col("user_id") == user)
+    counts = messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"))
+    order = Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "conv_id")
+    return rows.join(counts, "conv_id", "left").withColumns({"n_messages": F.coalesce("n_messages", F.lit(0)), "place": F.row_number().over(order)})
+
+
+def shared_paths(shares: DataFrame, messages: DataFrame) -> DataFrame:
+    """shares: ``token``, ``conv_id``. What each shared link shows: the active path of its conversation."""
+    wanted = messages.join(shares.select("conv_id").distinct(), "conv_id", "left_semi")
+    return shares.join(active_paths(wanted), "conv_id").select("token", "conv_id", "depth", "id")

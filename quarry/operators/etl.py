@@ -157,3 +157,8 @@ def merge_continuations(rows: DataFrame, group: str, order: list[str], first: st
     place = F.struct(*order, F.col(other).alias("cell"))
     out = rows.groupBy(group, "row_no").agg(F.max(F.when(F.trim(F.coalesce(first, F.lit(""))) != "", F.col(first))).alias(first), F.sort_array(F.collect_list(place)).alias("cells"))
     return out.select(group, "row_no", first, F.array_join(F.filter(F.transform("cells", lambda c: F.trim(F.coalesce(c["cell"], F.lit("")))), lambda c: c != ""), " ").alias(other))
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """Chunks of each ``article_id`` and how many are tables (by ``content_type``)."""
+    return chunks.groupBy("article_id").agg(F.count("*").alias("chunks"), F.count_if(F.coalesce("content_type", F.lit("text")) == "table").alias("tables"))

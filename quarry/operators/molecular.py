@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import contains_any
+
 #: One-letter and three-letter names of amino acids.
 AMINO = {"A": "Ala", "R": "Arg", "N": "Asn", "D": "Asp", "C": "Cys", "E": "Glu", "Q": "Gln", "G": "Gly", "H": "His", "I": "Ile", "L": "Leu", "K": "Lys", "M": "Met", "F": "Phe", "P": "Pro", "S": "Ser", "T": "Thr", "W": "Trp", "Y": "Tyr", "V": "Val"}
 GENE = r"[A-Z][A-Z0-9]{1,9}"
@@ -114,3 +117,48 @@ def cache_key(*parts: Column) -> Column:
 def missing_information(blocking: Column, advisory: Column) -> Column:
     """What is still to be asked, blocking questions first, each once."""
     return F.array_distinct(F.concat(blocking, advisory))
+
+
+#: How closely a card's disease is met.
+DIRECT, NEAR = "DLBCL直接证据", "LBCL近似证据"
+
+
+def card_counts(cards: DataFrame) -> DataFrame:
+    """Cards by ``provider``: all, and those whose ``disease_match`` is direct, near or neither."""
+    match = F.coalesce("disease_match", F.lit(""))
+    return cards.groupBy("provider").agg(
+        F.count("*").alias("cards"), F.count_if(match == DIRECT).alias("direct"), F.count_if(match == NEAR).alias("near"), F.count_if(~match.isin(DIRECT, NEAR)).alias("proxy")
+    )
+
+
+def clinvar_level(classification: Column, review: Column) -> Column:
+    """L4 or L5 from a variant's classifications and review states (each joined to one text)."""
+    said = lambda *words: contains_any(F.lower(F.coalesce(classification, F.lit(""))), words)
+    stars = contains_any(F.coalesce(review, F.lit("")), ("3", "4"))
+    return (
+        F.when(said("pathogenic"), F.when(said("somatic", "oncogenic"), "L4").otherwise("L5"))
+        .when(said("oncogenic"), "L4")
+        .when(said("conflicting", "vus", "uncertain"), "L5")
+        .when(stars, "L4")
+        .otherwise("L5")
+    )
+
+
+def civic_level(level: Column, kind: Column, direction: Column) -> Column:
+    """L2 to L4 from an evidence item's level, type and direction."""
+    level, kind, direction = F.upper(F.coalesce(level, F.lit(""))), F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(direction, F.lit("")))
+    high = level.isin("A", "B")
+    return (
+        F.when(high & direction.isin("supports", "relevant", "druggable"), "L2")
+        .when(level.isin("C", "D"), "L3")
+        .when(contains_any(kind, ("predictive", "diagnostic", "prognostic", "oncogenic")), F.when(high, "L2").otherwise("L3"))
+        .otherwise("L4")
+    )
+
+
+def annotate(variants: DataFrame, lookups: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Facts about each variant's gene. lookups: by the name of the new column, a
+    table of ``gene`` and ``value``, one each, and what holds for other genes."""
+    for name, (table, default) in lookups.items():
+        variants = variants.join(table.select("gene", F.col("value").alias(name)), "gene", "left").withColumn(name, F.coalesce(name, F.lit(default)))
+    return variants

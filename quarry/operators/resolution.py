@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import token_set
+from quarry.functions.text import is_decision_page, page_code, token_set
 from quarry.operators.knowledge import Entity
 from quarry.operators.scope import ordered_union
 
@@ -162,3 +162,73 @@ def chunk_sources(chunks: DataFrame, references: DataFrame) -> DataFrame:
     found = cited.groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "entry_id"))), lambda x: x["entry_id"]).alias("entries"))
     rows = chunks.select("chunk_id").join(found, "chunk_id", "left")
     return rows.select("chunk_id", F.concat(F.array("chunk_id"), F.coalesce("entries", F.array().cast("array<string>"))).alias("source_ids"))
+
+
+def entry_page(text: Column, rules: Sequence[tuple[Sequence[str], str]]) -> Column:
+    """The page of the first rule (words, page) of which a text has a word, in any case; null without."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    cases = [F.when(reduce(lambda a, w: a | low.contains(w.lower()), words, F.lit(False)), F.lit(page)) for words, page in rules]
+    return F.coalesce(*cases) if cases else F.lit(None).cast("string")
+
+
+def seed_pages(queries: DataFrame, hits: DataFrame, rules: Sequence[tuple[Sequence[str], str]], page_type: str = "clinical_guideline") -> DataFrame:
+    """The page where a question's walk begins: by ``rules``, else the best hit
+    (``query_id``, ``rank``, ``page_type``, ``code``) that is a decision page.
+    ``seed`` and ``origin``: intent_map, hit_fallback or none."""
+    decisions = hits.filter((F.col("page_type") == page_type) & is_decision_page("code"))
+    best = decisions.groupBy("query_id").agg(F.min_by(page_code("code"), F.struct("rank", "code")).alias("best"))
+    rows = queries.join(best, "query_id", "left").withColumn("intent", entry_page(F.col("query"), rules))
+    origin = F.when(F.col("intent").isNotNull(), "intent_map").when(F.col("best").isNotNull(), "hit_fallback").otherwise("none")
+    return rows.select("query_id", F.coalesce("intent", "best").alias("seed"), origin.alias("origin"))
+
+
+def source_triples(hits: DataFrame, seeds: DataFrame, needed: int = 2, chars: int = 240) -> DataFrame:
+    """Stand-ins where a graph has too little: the first seed of each question
+    mentions the sources of its best hits. hits: ``query_id``, ``rank``,
+    ``source_id``, ``code``, ``text``; seeds: ``query_id``, ``item``, ``position``."""
+    name = F.coalesce(F.nullif(F.trim("code"), F.lit("")), "source_id")
+    rows = hits.withColumn("object_name", name).join(seeds.filter("position = 1").select("query_id", "item"), "query_id", "left")
+    rows = rows.join(hits.filter("rank = 1").select("query_id", name.alias("own")), "query_id", "left").filter(F.col("rank") <= needed)
+    rows = rows.withColumn("subject_name", F.coalesce("item", "own"))
+    confidence = F.round(0.58 + 0.03 * F.col("rank"), DIGITS)
+    return rows.select(
+        "query_id",
+        F.concat_ws(":", F.lit("synth"), "rank", "subject_name", "object_name").alias("triple_id"),
+        "subject_name",
+        F.lit("MENTIONS").alias("relation"),
+        "object_name",
+        confidence.alias("confidence"),
+        confidence.alias("score"),
+        F.substring("text", 1, chars).alias("evidence_text"),
+    )
+
+
+def node_focus(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges (``source``, ``relation``, ``target``) that touch each seed (``query_id``, ``entity``), each once."""
+    keep = ["query_id", "source", "relation", "target"]
+    ends = [edges.join(seeds.select("query_id", F.col("entity").alias(side)), side).select(*keep) for side in ("source", "target")]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
+def merged_concepts(nodes: DataFrame) -> DataFrame:
+    """nodes: ``node``, ``label``, ``kind``. Nodes with one name are one concept:
+    ``concept``, the ``kind`` and ``label`` of the first by id, and how many
+    (``n``) and which (``nodes``, sorted) it joins. Triple nodes are none."""
+    key = F.nullif(F.trim(F.regexp_replace(F.lower(F.coalesce("label", F.lit(""))), r"\s+", " ")), F.lit(""))
+    rows = nodes.filter(F.lower(F.coalesce("kind", F.lit(""))) != "triple").withColumn("concept", F.coalesce(key, F.col("node")))
+    first = F.min(F.struct("node", "kind", "label"))
+    return rows.groupBy("concept").agg(first["kind"].alias("kind"), first["label"].alias("label"), F.count_distinct("node").alias("n"), F.array_sort(F.collect_set("node")).alias("nodes"))
+
+
+def graph_statistics(triples: DataFrame, candidates: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row: candidates, rejected ones, triples and those that are trusted."""
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    trusted = triples.agg(F.count("*").alias("triples"), F.count_if(F.col("validation_status") == "trusted").alias("trusted"))
+    return trusted.crossJoin(count(candidates, "candidates")).crossJoin(count(rejected, "rejected"))  # rows of one
+
+
+def chapter_of(text: Column, chapters: Sequence[tuple[str, str]]) -> Column:
+    """chapters: title and id. The id of the longest title that a line has, spaces apart."""
+    squashed = F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit(" "), F.lit(""))
+    ordered = sorted(chapters, key=lambda c: -len(c[0]))
+    return F.coalesce(*[F.when(squashed.contains(t.replace(" ", "")), F.lit(i)) for t, i in ordered])

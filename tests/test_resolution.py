@@ -3,7 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import text as X_
+from quarry.operators import citations as C
+from quarry.operators import conversations as V
+from quarry.operators import etl as E
 from quarry.operators import layout as L
+from quarry.operators import molecular as M
 from quarry.operators import resolution as X
 from quarry.operators import search as S
 from quarry.operators.knowledge import Entity
@@ -113,3 +118,63 @@ def test_superscripts_offsets_and_footers(spark):
 @pytest.mark.parametrize("x0, x1, lane", [(5.0, 95.0, "full"), (5.0, 45.0, "left"), (55.0, 95.0, "right")])
 def test_lanes(spark, x0, x1, lane):
     assert spark.range(1).select(L.lane(F.lit(x0), F.lit(x1), F.lit(50.0)).alias("l")).first()["l"] == lane
+
+
+def of(spark, value, column):
+    return spark.createDataFrame([(value,)], "x string").select(column(F.col("x"))).first()[0]
+
+
+def test_text_repairs_and_predicates(spark):
+    assert of(spark, " a­b \t c‑d\n\n\n\ne ", X_.plain_spaces) == "ab c-d\n\ne"
+    assert of(spark, "1 ~ 2 and a~b~c ~", X_.wide_tildes) == "1～2 and a～b～c ~" and of(spark, "x�Cy", X_.repaired_dashes) == "x–y"
+    assert [of(spark, n, X_.is_safe_image) for n in ("a：b.PNG", "a/b.png", "..png", "a.jpg", "a\n.png", None)] == [True, False, False, False, False, False]
+    assert [of(spark, n, X_.is_noise_label) for n in ("", None, "12", "[3]", "Node_4", "edge", "R-CHOP", "page one")] == [True] * 6 + [False] * 2
+
+
+def test_seed_pages_by_rule_then_by_hit(spark):
+    asked = spark.createDataFrame([(1, "Relapsed disease"), (2, "other"), (3, "none")], "query_id int, query string")
+    hits = spark.createDataFrame([(1, 1, "clinical_guideline", "BCEL-9"), (2, 1, "clinical_guideline", "BCEL-A 1 OF 3"), (2, 2, "discussion", "BCEL-1"), (2, 3, "clinical_guideline", "bcel-7"), (2, 4, "clinical_guideline", "BCEL-8")], "query_id int, rank int, page_type string, code string")
+    got = {r["query_id"]: (r["seed"], r["origin"]) for r in X.seed_pages(asked, hits, [(("relapse", "refractory"), "BCEL-5"), (("disease",), "BCEL-1")]).collect()}
+    assert got == {1: ("BCEL-5", "intent_map"), 2: ("BCEL-7", "hit_fallback"), 3: (None, "none")}
+    assert of(spark, "弥漫大 B 细胞淋巴瘤 12", lambda c: X.chapter_of(c, [("淋巴瘤", "all"), ("弥漫大B细胞淋巴瘤", "dlbcl")])) == "dlbcl"
+
+
+def test_stand_ins_focus_and_concepts(spark):
+    hits = spark.createDataFrame([(1, 1, "s1", "P-1", "t1"), (1, 2, "s2", "", "t2"), (1, 3, "s3", "P-3", "t3"), (2, 1, "s4", None, None)], "query_id int, rank int, source_id string, code string, text string")
+    seeds = spark.createDataFrame([(1, "seed", 1), (1, "more", 2)], "query_id int, item string, position int")
+    got = {r["triple_id"]: r["score"] for r in X.source_triples(hits, seeds).collect()}
+    assert got == {"synth:1:seed:P-1": 0.61, "synth:2:seed:s2": 0.64, "synth:1:s4:s4": 0.61}
+    edges = spark.createDataFrame([("a", "r", "b"), ("b", "r", "a"), ("b", "r", "c"), ("a", "r", "a")], "source string, relation string, target string")
+    found = X.node_focus(edges, spark.createDataFrame([(1, "a")], "query_id int, entity string")).collect()
+    assert sorted((r["source"], r["target"]) for r in found) == [("a", "a"), ("a", "b"), ("b", "a")]
+    nodes = spark.createDataFrame([("n2", "R-CHOP", "Regimen"), ("n1", " r-chop ", "Drug"), ("n3", None, "Page"), ("n4", "x", "Triple")], "node string, label string, kind string")
+    assert {r["concept"]: (r["kind"], r["n"], r["nodes"]) for r in X.merged_concepts(nodes).collect()} == {"r-chop": ("Drug", 2, ["n1", "n2"]), "n3": ("Page", 1, ["n3"])}
+    row = X.graph_statistics(spark.createDataFrame([("trusted",), ("needs_review",)], "validation_status string"), spark.range(5), spark.range(0)).first()
+    assert (row["triples"], row["trusted"], row["candidates"], row["rejected"]) == (2, 1, 5, 0)
+
+
+def test_tables_shares_and_counts(spark):
+    paragraphs = spark.createDataFrame([(1, 0, "no"), (1, 1, "see [S2][s3]"), (1, 2, "[S2] again")], "query_id int, at int, text string")
+    tables = spark.createDataFrame([(1, 2), (1, 9)], "query_id int, number int")
+    assert {r["number"]: r["at"] for r in C.place_tables(paragraphs, tables).collect()} == {2: 1, 9: None}
+    messages = spark.createDataFrame([(1, 0, 0, None, 1), (1, 1, 1, 0, None), (1, 2, 2, 0, None), (2, 0, 0, None, None)], "conv_id int, id int, pos int, parent_id int, active_child_id int")
+    shares = spark.createDataFrame([("t", 1), ("gone", 7)], "token string, conv_id int")
+    assert [(r["token"], r["id"]) for r in V.shared_paths(shares, messages).orderBy("depth").collect()] == [("t", 0), ("t", 1)]
+    conversations = spark.createDataFrame([(1, 5, "2024-01-01"), (2, 5, "2024-02-01"), (3, 6, "2024-01-01")], "conv_id int, user_id int, updated_at string")
+    assert sorted((r["conv_id"], r["n_messages"], r["place"]) for r in V.conversation_list(conversations, messages, F.lit(5)).collect()) == [(1, 3, 2), (2, 1, 1)]
+    chunks = spark.createDataFrame([("a", "table"), ("a", None), ("b", "text")], "article_id string, content_type string")
+    assert {r["article_id"]: (r["chunks"], r["tables"]) for r in E.chunk_counts(chunks).collect()} == {"a": (2, 1), "b": (1, 0)}
+
+
+def test_molecular_levels_counts_and_annotations(spark):
+    levels = [("Likely pathogenic", "", "L5"), ("Pathogenic somatic", "", "L4"), ("Oncogenic", "", "L4"), ("Uncertain", "4 stars", "L5"), ("benign", "3 stars", "L4"), (None, None, "L5")]
+    rows = spark.createDataFrame(levels, "c string, r string, want string").withColumn("got", M.clinvar_level(F.col("c"), F.col("r"))).collect()
+    assert all(r["got"] == r["want"] for r in rows)
+    items = [("a", "x", "Supports", "L2"), ("B", "Predictive", "no", "L2"), ("c", None, None, "L3"), ("E", "prognostic", "", "L3"), (None, None, None, "L4")]
+    rows = spark.createDataFrame(items, "l string, k string, d string, want string").withColumn("got", M.civic_level(F.col("l"), F.col("k"), F.col("d"))).collect()
+    assert all(r["got"] == r["want"] for r in rows)
+    cards = spark.createDataFrame([("p", M.DIRECT), ("p", None), ("q", M.NEAR)], "provider string, disease_match string")
+    assert {r["provider"]: (r["cards"], r["direct"], r["near"], r["proxy"]) for r in M.card_counts(cards).collect()} == {"p": (2, 1, 0, 1), "q": (1, 0, 1, 0)}
+    genes = spark.createDataFrame([("TP53", "suppressor")], "gene string, value string")
+    got = M.annotate(spark.createDataFrame([("TP53",), ("XYZ",), (None,)], "gene string"), {"role": (genes, "unknown")}).collect()
+    assert {r["gene"]: r["role"] for r in got} == {"TP53": "suppressor", "XYZ": "unknown", None: "unknown"}
