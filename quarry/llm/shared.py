@@ -1,38 +1,5 @@
 """Places that every executor and the driver can reach."""
 
-from __future__ import annotations
+from quarry.tables import new_path, shared_dir, stage
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, a local
-    session gets a temporary one and any other session is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith(
-            "local-cluster"
-        ):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the
-    lineage ends there and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+__all__ = ["new_path", "shared_dir", "stage"]
