@@ -19,8 +19,9 @@ Counts of words are made over all training texts and stay in a table. What the
 driver holds is bounded by the number of units: their bigrams, at most
 ``(WORDS + SUFFIXES + 2) ** 2`` counts, and class trigrams. Counts of the
 ``LOOKUP`` most frequent words and their classes go to the executors; for all
-others, words and documents meet in a join, so no frequent word makes a hot key
-there.
+others, words and texts meet in a join by word, and go back by the number that
+each row has in the written table, so no frequent word makes a hot key there and
+rows with one id or one text stay apart.
 
 Defined results: a null text counts as empty and has the end token alone; rows
 without an id are for training; without training tokens the score is the base
@@ -138,15 +139,19 @@ def lexicon(counts: DataFrame, words: int, suffixes: int, lookup: int) -> Lexico
     )
 
 
-READ = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, codes binary, rare_units binary, rare array<struct<word:binary,unit:int,n:int>>"
+READ = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, codes binary, rare_units binary, rare array<struct<word:binary,unit:int,n:int>>"
 
 
 def read_texts(docs: DataFrame, id_col: str, text_col: str, shared) -> DataFrame:
     """Each text as codes, places in the lookup and after these places among its
     own other words, with sums over frequent words, and the other words with
-    their units and counts, which the join needs."""
+    their units and counts, which the join needs. ``row`` numbers the rows by
+    task and place; the table must be written before it is used twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         lex: Lexicon = shared.value
         other, frequent_words = lex.units - 1, len(lex.lookup)
         base, known = lex.base(lex.counts), lex.counts > 0
@@ -181,6 +186,7 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str, shared) -> DataFrame
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.arange(row, row + len(words))),
                         pa.array(ids[i : i + READ_ROWS], pa.int64()),
                         pa.array(held[i : i + READ_ROWS], pa.bool_()),
                         pa.array(size, pa.int64()),
@@ -193,6 +199,7 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str, shared) -> DataFrame
                     ],
                     [f.split()[0] for f in READ.split(", ")],
                 )
+                row += len(words)
 
     rows = docs.select(F.col(id_col).cast("long"), held_out(id_col), F.col(text_col))
     return rows.mapInArrow(run, READ)
@@ -259,11 +266,18 @@ CONTEXTS = "place int, word binary, unit int, cells binary"
 
 
 def _packed(keys: np.ndarray, n: np.ndarray, cells: int) -> tuple[np.ndarray, pa.Array]:
-    """Sorted keys (owner times ``cells`` plus cell) and counts as the owners and, for each, its cells and counts in one value."""
+    """Sorted keys (owner times ``cells`` plus cell) and counts as the owners and, for each, its cells and counts in one
+    value: pairs of two bytes each, a count above that as several."""
+    if (n >= 1 << 16).any():
+        times = -(-n // 0xFFFF)
+        last = np.cumsum(times) - 1
+        keys, whole = np.repeat(keys, times), np.full(times.sum(), 0xFFFF)
+        whole[last] = n - (times - 1) * 0xFFFF
+        n = whole
     owner = keys // cells
     first = np.flatnonzero(np.diff(owner, prepend=-1))
-    values = np.stack([keys % cells, n], 1).astype("<u4")
-    offsets = (np.append(first, len(keys)) * 8).astype(np.int32)
+    values = np.stack([keys % cells, n], 1).astype("<u2")
+    offsets = (np.append(first, len(keys)) * 4).astype(np.int32)
     return owner[first], pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
@@ -365,8 +379,8 @@ def word_classes(found: DataFrame, shared) -> DataFrame:
                 new = np.append(True, (places[1:] != places[:-1]) | (words[1:] != words[:-1]))
                 first = np.flatnonzero(new)
                 group = np.cumsum(new) - 1
-                values = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
-                lengths = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // 8
+                values = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, 2).astype(np.int64)
+                lengths = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // 4
                 cells = np.bincount(np.repeat(group, lengths) * size + values[:, 0], values[:, 1], len(first) * size).astype(np.int64).reshape(-1, size)
                 places, words, units = places[first], words[first], batch.column(2).to_numpy()[first]
                 if held is not None:
@@ -483,9 +497,7 @@ def score_texts(
     # An unseen word of a class gets what its seen words are discounted by; a class without words, half a token.
     unseen = np.log10(np.maximum(lex.discount * types, 0.5))[cls]
 
-    key = ["id", "key"]
-    numbered = read.withColumns({"id": F.coalesce("doc_id", F.lit(-1)), "key": F.xxhash64("doc_id", "codes", "rare")})
-    rare = numbered.select(*key, F.posexplode("rare").alias("at", "r")).select(*key, "at", "r.word", "r.unit", "r.n")
+    rare = read.select("row", F.posexplode("rare").alias("at", "r")).select("row", "at", "r.word", "r.unit", "r.n")
     lots = F.array(*[F.lit(float(x)) for x in unseen])
     of_unit = F.array(*[F.lit(int(x)) for x in cls])
     found = rare.join(classed.filter("place < 0").select("word", F.col("n").alias("c"), "cls"), "word", "left")
@@ -493,17 +505,12 @@ def score_texts(
     held = F.col("n").cast("double")
     den = lex.total + 0.5 * (lex.distinct + 1)
     logs = F.when(c > 0, F.log10(c - F.lit(lex.discount))).otherwise(F.get(lots, F.col("unit")))
-    sums = found.groupBy(*key).agg(
+    sums = found.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).cast("long").alias("rare_known"),
         F.sum(held * F.log10((c + 0.5) / F.lit(den))).alias("rare_base"),
         F.sum(held * logs).alias("rare_emitted"),
-        # Places and classes; a set, as rows of one key have the same.
-        F.collect_set(F.col("at").cast("long") * F.lit(k) + F.coalesce("cls", F.get(of_unit, F.col("unit")))).alias("rare_cls"),
+        F.collect_list((F.col("at") * F.lit(k) + F.coalesce("cls", F.get(of_unit, F.col("unit")))).cast("int")).alias("rare_cls"),  # places and classes
     )
-    # Rows of one key have one id and the same words in one order: each of them gets an equal part of the sums.
-    read_keys = numbered.groupBy(*key).agg(F.count("*").alias("times")).filter("times > 1")
-    sums = sums.join(read_keys, key, "left")
-    times = F.coalesce("times", F.lit(1))
     shared_classes = share(of_lookup)
 
     def to_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,15 +518,15 @@ def score_texts(
         for batch in _parts(batches):
             out = []
             for codes, lots in zip(_codes(batch.column(0)), batch.column(1), strict=True):
-                some = lots.values.to_numpy() if lots.is_valid else np.array([], np.int64)
+                some = lots.values.to_numpy().astype(np.int64) if lots.is_valid else np.array([], np.int64)
                 of_rare = np.zeros(len(some), np.int64)
                 of_rare[some // k] = some % k
                 out.append(np.concatenate([of_lookup, of_rare])[codes].astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(2)], ["classes", "row"])
 
     kept = ["doc_id", "held_out", "n_tokens", "n_known", "base", "emitted"]
-    row = F.struct(*kept, "rare_known", "rare_base", "rare_emitted", times.alias("times")).alias("row")
-    joined = numbered.drop("rare", "rare_units").join(sums, key, "left").select("codes", "rare_cls", row)
+    row = F.struct(*kept, "rare_known", "rare_base", "rare_emitted").alias("row")
+    joined = read.drop("rare", "rare_units").join(sums, "row", "left").select("codes", "rare_cls", row)
     texts = stage(joined.mapInArrow(to_classes, f"classes binary, row {joined.schema['row'].dataType.simpleString()}"), "text-classes")
     grams, n = collected(_ngrams(texts.filter("not row.held_out").select("classes"), 3, k, lambda batch: _arrays(batch.column(0), "<u2")))
     steps = transitions(grams, n, k) if lex.total else np.zeros(k**3)
@@ -537,15 +544,14 @@ def score_texts(
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.add.reduceat(each, np.concatenate([[0], ends[:-1]])))], ["row", "walked"])
 
     done = texts.mapInArrow(walk, f"row {texts.schema['row'].dataType.simpleString()}, walked double").select("row.*", "walked")
-    times = F.col("times")
     zero = F.lit(0.0)
-    base = F.col("base") + F.coalesce(F.col("rare_base") / times, zero)
-    score = F.col("walked") + F.col("emitted") + F.coalesce(F.col("rare_emitted") / times, zero)
+    base = F.col("base") + F.coalesce("rare_base", zero)
+    score = F.col("walked") + F.col("emitted") + F.coalesce("rare_emitted", zero)
     return done.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce(F.col("rare_known") / times, zero).cast("long")).alias("n_known"),
+        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         (score if lex.total else base).alias("score"),
