@@ -427,3 +427,33 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.STAGES[3][1](spark, docs, sf_dir)
     assert mixed.columns == columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     assert corpus_pipeline.STAGES[4][1](spark, mixed, sf_dir).count() == mixed.count()
+
+
+EXTRA = ("row", "score", "n_words", "hits", "set", "text_key", "lead", "rest", "size", "draw", "start", "__id", "__text", "i", "t")
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_take_odd_rows(spark, empty):
+    """Nulls, repeated rows and ids, rows without words and clashing names in every stage; and no rows at all."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 80").first()["text"]
+    odd = [(None, "no id here", "en", None, 1), (9001, None, None, None, None), (9002, "", "en", "src1", 0), (9003, " \n ", "en", "src1", 3)]
+    odd += [(9004, "same id, this text", "en", "src2", 1), (9004, "same id but another text", "en", "src2", 1), (9005, "word " * 50_000, "en", "src2", 1), (9006, f"x {passage} y", "en", "src2", 1)] + [(9007, "a repeated row", "de", "src3", 1)] * 2
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for name in EXTRA:
+        docs = docs.withColumn(name, F.lit(1))
+    docs = docs.limit(0) if empty else docs
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {}
+    for name in list(stages)[:4]:
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        kept[name] = Counter(r["text"] for r in out.filter("doc_id > 9000 or doc_id is null").collect())
+    n = stages["token_output"](spark, docs, sf_dir).count()
+    if empty:
+        assert n == 0 and not any(kept.values())
+        return
+    assert n == 40
+    assert kept["ngram_jaccard_join"] == Counter({t for _, t, *_ in odd})  # of the repeated row, one
+    assert kept["benchmark_decontamination"] == Counter(t for i, t, *_ in odd if i != 9006)
