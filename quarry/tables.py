@@ -1,4 +1,7 @@
-"""Tables in a folder that every executor and the driver can reach."""
+"""Tables in a folder that every executor and the driver can reach.
+
+Operators leave their tables there, as a DataFrame that they return may still
+read them. ``clear`` deletes what a job has written once its result is saved."""
 
 from __future__ import annotations
 
@@ -24,9 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many paths this process has named so far; see ``clear``."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the tables named after ``since`` (a value of ``made``), but those of ``keep``."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _made[since:] if p not in keep]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _made.remove(path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.sources import documents as S
@@ -88,3 +89,17 @@ def test_upsert_and_build_once(spark, tmp_path):
         out = S.build_once(spark, str(tmp_path / "t"), lambda: made.append(1) or table)
         assert out.count() == 2
     assert made == [1]
+
+
+def test_tables_are_cleared_but_those_that_are_kept(spark):
+    from quarry import tables
+
+    mark = tables.made()
+    first, second = tables.stage(spark.range(3), "one"), tables.new_path(spark, "two")
+    spark.range(2).write.parquet(second)
+    assert first.count() == 3
+    tables.clear(spark, mark, (second,))
+    assert tables.made() == mark + 1 and spark.read.parquet(second).count() == 2
+    tables.clear(spark, mark)
+    with pytest.raises(Exception):
+        spark.read.parquet(second).count()
