@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANES = ("full", "left", "right")
+#: How far a wide box reaches on either side of the middle; the height of a row of words; how much
+#: smaller and higher a superscript is; the lowest part and right half of a page that hold its code.
+WIDE = (0.55, 1.35)
 ROW_TOLERANCE = 8.0
+SMALLER, HIGHER = 0.85, 0.6
+CORNER = (0.5, 0.85)
 CODE = r"^[A-Z]+(-[A-Z])?(-\d+[A-Z]?)?( \d+ OF \d+)?$"
 
 
 def lane(x0: Column, x1: Column, middle: Column) -> Column:
     """full for a box that spans both columns of a page, else left or right by its centre."""
-    wide = (x0 < middle * 0.55) & (x1 > middle * 1.35)
+    wide = (x0 < middle * WIDE[0]) & (x1 > middle * WIDE[1])
     return F.when(wide, "full").when((x0 + x1) / 2 <= middle, "left").otherwise("right")
 
 
@@ -73,7 +78,7 @@ def merge_headings(units: DataFrame, longest: int = 60) -> DataFrame:
     return merged.select("doc_id", "pos", "page", "is_heading", text.alias("text"))
 
 
-def superscripts(spans: DataFrame, smaller: float = 0.85, higher: float = 0.6) -> DataFrame:
+def superscripts(spans: DataFrame, smaller: float = SMALLER, higher: float = HIGHER) -> DataFrame:
     """spans: ``line_id``, ``span_id``, ``size``, ``y``, ``text``. Those that are
     clearly smaller than most of their line, stand above its base and read as numbers."""
     line = Window.partitionBy("line_id")
@@ -97,5 +102,5 @@ def footer_codes(blocks: DataFrame, width: Column, height: Column, code: str = C
     """blocks: ``page``, ``block_id``, ``x0``, ``y0``, ``text``. A page's code: the
     first block in its lower right corner (lowest 15 %, right half) that reads as one."""
     text = F.regexp_replace(F.trim("text"), r"\s+", " ")
-    corner = (F.col("y0") >= height * 0.85) & (F.col("x0") >= width * 0.5) & text.rlike(code)
+    corner = (F.col("y0") >= height * CORNER[1]) & (F.col("x0") >= width * CORNER[0]) & text.rlike(code)
     return blocks.filter(corner).groupBy("page").agg(F.min_by(text, "block_id").alias("code"))

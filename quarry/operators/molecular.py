@@ -119,8 +119,11 @@ def missing_information(blocking: Column, advisory: Column) -> Column:
     return F.array_distinct(F.concat(blocking, advisory))
 
 
-#: How closely a card's disease is met.
+#: How closely a card's disease is met; words of a variant's classification, and of an evidence item.
 DIRECT, NEAR = "DLBCL直接证据", "LBCL近似证据"
+UNSURE = ("conflicting", "vus", "uncertain")
+SUPPORTING = ("supports", "relevant", "druggable")
+EVIDENCE_KINDS = ("predictive", "diagnostic", "prognostic", "oncogenic")
 
 
 def card_counts(cards: DataFrame) -> DataFrame:
@@ -138,7 +141,7 @@ def clinvar_level(classification: Column, review: Column) -> Column:
     return (
         F.when(said("pathogenic"), F.when(said("somatic", "oncogenic"), "L4").otherwise("L5"))
         .when(said("oncogenic"), "L4")
-        .when(said("conflicting", "vus", "uncertain"), "L5")
+        .when(said(*UNSURE), "L5")
         .when(stars, "L4")
         .otherwise("L5")
     )
@@ -149,9 +152,9 @@ def civic_level(level: Column, kind: Column, direction: Column) -> Column:
     level, kind, direction = F.upper(F.coalesce(level, F.lit(""))), F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(direction, F.lit("")))
     high = level.isin("A", "B")
     return (
-        F.when(high & direction.isin("supports", "relevant", "druggable"), "L2")
+        F.when(high & direction.isin(*SUPPORTING), "L2")
         .when(level.isin("C", "D"), "L3")
-        .when(contains_any(kind, ("predictive", "diagnostic", "prognostic", "oncogenic")), F.when(high, "L2").otherwise("L3"))
+        .when(contains_any(kind, EVIDENCE_KINDS), F.when(high, "L2").otherwise("L3"))
         .otherwise("L4")
     )
 

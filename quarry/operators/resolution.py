@@ -13,6 +13,12 @@ from quarry.operators.knowledge import Entity
 from quarry.operators.scope import ordered_union
 
 DIGITS = 6
+#: Confidence of edges with a general relation and with another, and what a name in the question adds.
+GENERAL_RELATIONS = ("RELATED_TO", "EDGE")
+GENERAL, NAMED, SAID = 0.66, 0.8, 0.08
+#: Score of triples around the best hits, and for each hop up to two; confidence of stand-ins, and for each rank.
+AROUND, HOP = 0.72, 0.12
+STAND_IN, RANK = 0.58, 0.03
 
 
 def mentions(text: Column, pattern: str, terms: Sequence[str]) -> Column:
@@ -89,12 +95,12 @@ def edge_triples(edges: DataFrame, nodes: DataFrame, queries: DataFrame, near: D
     rows = edges.join(who("source"), "source").join(who("target"), "target")
     own = lambda side: F.coalesce(F.trim(f"{side}_name"), F.lit("")) != ""
     rows = rows.filter(own("source") & own("target") & (F.col("source_name") != F.col("source")) & (F.col("target_name") != F.col("target")))
-    rows = rows.withColumn("confidence", F.when(F.col("relation").isin("RELATED_TO", "EDGE"), 0.66).otherwise(0.8))
+    rows = rows.withColumn("confidence", F.when(F.col("relation").isin(*GENERAL_RELATIONS), GENERAL).otherwise(NAMED))
     ends = near.select("query_id", "entity")
     asked = rows.join(ends.withColumnRenamed("entity", "source"), "source").unionByName(rows.join(ends.withColumnRenamed("entity", "target"), "target")).dropDuplicates(["query_id", "edge_id"])
     low = F.lower(F.coalesce("query", F.lit("")))
     said = low.contains(F.lower("source_name")) | low.contains(F.lower("target_name"))
-    asked = asked.join(queries, "query_id").withColumn("score", F.round(F.col("confidence") + F.when(said, 0.08).otherwise(0.0), DIGITS))
+    asked = asked.join(queries, "query_id").withColumn("score", F.round(F.col("confidence") + F.when(said, SAID).otherwise(0.0), DIGITS))
     return asked.select(
         "query_id",
         F.concat(F.lit("edge:"), "edge_id").alias("triple_id"),
@@ -120,7 +126,7 @@ def merge_hits(lists: Sequence[DataFrame], top_k: int) -> DataFrame:
 
 def expanded_hits(subgraph: DataFrame, triples: DataFrame, depth: int = 1) -> DataFrame:
     """Triples of a subgraph around the best hits (``graph.subgraph``) as hits of one score, by the depth walked."""
-    score = round(0.72 + 0.12 * min(2, depth), DIGITS)
+    score = round(AROUND + HOP * min(2, depth), DIGITS)
     return subgraph.select("query_id", "triple_id").join(triples.select("triple_id", "confidence"), "triple_id").select("query_id", "triple_id", F.lit(score).alias("score"), "confidence")
 
 
@@ -190,7 +196,7 @@ def source_triples(hits: DataFrame, seeds: DataFrame, needed: int = 2, chars: in
     rows = hits.withColumn("object_name", name).join(seeds.filter("position = 1").select("query_id", "item"), "query_id", "left")
     rows = rows.join(hits.filter("rank = 1").select("query_id", name.alias("own")), "query_id", "left").filter(F.col("rank") <= needed)
     rows = rows.withColumn("subject_name", F.coalesce("item", "own"))
-    confidence = F.round(0.58 + 0.03 * F.col("rank"), DIGITS)
+    confidence = F.round(STAND_IN + RANK * F.col("rank"), DIGITS)
     return rows.select(
         "query_id",
         F.concat_ws(":", F.lit("synth"), "rank", "subject_name", "object_name").alias("triple_id"),
