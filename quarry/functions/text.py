@@ -110,6 +110,14 @@ def hits_of(text: Column, needles: tuple[str, ...]) -> Column:
     return F.filter(F.array(*map(F.lit, needles)), lambda n: text.contains(n))
 
 
+def pieces(text: Column, longest: int, shortest: int = 1) -> Column:
+    """The different parts of a text of ``shortest`` to ``longest`` characters. A
+    word stands in a text only if its first ``longest`` characters are one of
+    them, so that containment can be joined by key and then tested."""
+    at = lambda i: F.transform(F.sequence(F.lit(shortest), F.lit(longest)), lambda n: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), at)))
+
+
 def plain_spaces(text: Column | str) -> Column:
     """Without soft hyphens, with plain hyphens, single spaces and at most one blank line."""
     text = F.regexp_replace(F.translate(_text(text), "‐‑–­", "---"), r"[ \t]+", " ")

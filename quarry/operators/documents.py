@@ -59,8 +59,12 @@ def append_summaries(docs: DataFrame, summaries: DataFrame) -> DataFrame:
 def exact_or_prefix(rows: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
     """``value`` of the cache for each key: of an equal key, else of the first key that starts with it."""
     exact = rows.join(cache.select(F.col("key").alias(key), "value"), key, "left")
-    open_ = exact.filter("value is null").select(key).distinct().alias("o")
-    near = open_.join(cache.alias("c"), F.col("c.key").startswith(F.col(f"o.{key}"))).groupBy(F.col(f"o.{key}").alias(key)).agg(F.min_by("c.value", "c.key").alias("near"))
+    open_ = exact.filter("value is null").select(key).distinct()
+    starts = F.transform(F.sequence(F.lit(0), F.length("key")), lambda n: F.substring("key", 1, n))
+    # For each start of a cached key, the first key that has it: one row, whatever the number of keys.
+    first = cache.select(F.explode(starts).alias("start"), "key", "value").groupBy("start").agg(F.min_by("value", "key").alias("near"))
+    first = first.withColumnRenamed("start", key)
+    near = open_.join(first, key)
     return exact.join(near, key, "left").withColumn("value", F.coalesce("value", "near")).drop("near")
 
 

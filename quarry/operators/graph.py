@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import contains_any, module_of, overlap, page_code, token_set
+from quarry.functions.text import contains_any, module_of, overlap, page_code, pieces, token_set
 
 DIGITS = 6
+#: Characters of a word's start by which texts that may contain it are found.
+STEM = 4
 #: Weights of evidence kinds; others have the last.
 SOURCE_QUALITY = {"guideline": 0.18, "consensus": 0.16, "randomized_trial": 0.15, "cohort_study": 0.10, "discussion": 0.06, "reference_only": 0.03, "text": 0.05}
 OTHER_QUALITY = 0.05
@@ -109,7 +111,9 @@ def lexical_fallback(triples: DataFrame, queries: DataFrame, top_k: int = 8) ->
     """For queries without seeds: triples whose text has any of the question's words."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower("query"), r"\s+"))).alias("word")).filter(F.length("word") > 1)
     text = F.lower(F.concat_ws(" ", "subject_name", "relation", "object_name", "evidence_text"))
-    rows = triples.select("triple_id", "confidence", text.alias("text")).join(words, F.col("text").contains(F.col("word")))
+    # A word's start is a key: every part of that length of a triple's text is looked up, then the word itself.
+    parts = triples.select("triple_id", "confidence", text.alias("text")).withColumn("piece", F.explode(pieces(F.col("text"), STEM, 2)))
+    rows = parts.join(words.withColumn("piece", F.substring("word", 1, STEM)), "piece").filter(F.col("text").contains(F.col("word")))
     rows = rows.select("query_id", "triple_id", "confidence").distinct().withColumn("score", F.round(F.col("confidence") * 0.8 + 0.2, DIGITS))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "triple_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)

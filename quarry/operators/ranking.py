@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import contains_any, doi_key, journal_key, overlap, title_key, token_set
+from quarry.functions.text import contains_any, doi_key, journal_key, overlap, pieces, title_key, token_set
 
 #: Scores of journal tiers; a journal that isn't known has the last.
 JOURNAL_SCORES = {"T0": 1.0, "T1": 0.9, "T2G": 0.85, "T2": 0.75, "T3": 0.4}
@@ -98,11 +98,9 @@ def join_journals(articles: DataFrame, index: DataFrame, id_col: str = "pmid", n
     exact = rows.select("key").distinct().join(index, "key", "left")
     open_ = exact.filter("journal_pos is null and key <> ''").select("key")
     stem = lambda key: F.substring(key, 1, STEM)
-    # Of a name, what a stem could be: STEM characters from every place, or the start or less of them for short ones.
-    pieces = lambda key: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(STEM)), lambda n: F.substring(key, i, n)))))
     known = index.select(F.struct("journal_pos", "at", "journal_tier").alias("journal"), F.col("key").alias("other"))
-    inside = open_.withColumn("piece", F.explode(pieces(F.col("key")))).join(known.withColumn("piece", stem(F.col("other"))), "piece").filter(F.col("key").contains(F.col("other")))
-    around = open_.withColumn("piece", stem(F.col("key"))).join(known.withColumn("piece", F.explode(pieces(F.col("other")))), "piece").filter(F.col("other").contains(F.col("key")))
+    inside = open_.withColumn("piece", F.explode(pieces(F.col("key"), STEM))).join(known.withColumn("piece", stem(F.col("other"))), "piece").filter(F.col("key").contains(F.col("other")))
+    around = open_.withColumn("piece", stem(F.col("key"))).join(known.withColumn("piece", F.explode(pieces(F.col("other"), STEM))), "piece").filter(F.col("other").contains(F.col("key")))
     soft = inside.select("key", "journal").unionByName(around.select("key", "journal")).groupBy("key").agg(F.min("journal").alias("m"))
     soft = soft.select("key", "m.journal_pos", "m.journal_tier")
     found = exact.filter("journal_pos is not null").select("key", "journal_pos", "journal_tier").unionByName(soft)
