@@ -60,7 +60,9 @@ LEVELS = 4
 #: Candidates so little below the threshold count as pairs at it when the recall is judged.
 SLACK = 0.1
 #: Documents and characters of a block.
-BLOCK, BLOCK_CHARS = 1024, 8_000_000
+BLOCK, BLOCK_CHARS = 512, 8_000_000
+#: Cells of a membership matrix that a task holds at once.
+MATRIX_CELLS = 4_000_000
 BLANKS = " \t\n\v\f\r"
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -251,7 +253,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((n, n), np.float32)  # whole numbers, exact up to 2 ** 24 words
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    width = 8192
+    width = max(256, MATRIX_CELLS // n)
     for lo in range(0, int(often.sum()), width):
         a, b = np.searchsorted(place, (lo, lo + width))
         m = np.zeros((n, width), np.float32)
