@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, class_lm, decontaminate, embedding_dedup, line_dedup, mixing, near_join, pii, quality, token_output
+from quarry.llm import (
+    chat,
+    class_lm,
+    decontaminate,
+    embedding_dedup,
+    line_dedup,
+    mixing,
+    near_join,
+    packing,
+    pii,
+    quality,
+    token_output,
+    vector_clusters,
+    vector_codes,
+)
 from quarry.llm.shared import new_path
 
 
@@ -12,10 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +73,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_chat": op2_chat,
@@ -70,6 +96,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_vector_clusters": op12_vector_clusters,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +106,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op12_vector_clusters": vector_clusters.ORACLE_SQL,
 }
