@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, mixing, near_join, quality, token_output
 from quarry.llm.queries import tokenizer_path
-from quarry.tables import clear, made, new_path
+from quarry.tables import new_path, scope
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,11 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     what a stage wrote on its way is deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        mark = made()
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = new_path(spark, name)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-            clear(spark, mark, (path,))
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        path = new_path(spark, name)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)

@@ -97,12 +97,33 @@ def box_union(rows: DataFrame, by: str) -> DataFrame:
 
 def best_overlap(links: DataFrame, blocks: DataFrame, page: str = "page", cell: float = 50.0) -> DataFrame:
     """For each link box, the block on its page that covers most of it (more
-    than nothing; of equal ones that with the smallest id). Boxes meet in the
-    cells of a grid of ``cell`` that they reach into, so a link isn't compared
-    with all of its page."""
-    steps = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.greatest(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))))
-    cells = lambda rows, name: rows.select(F.col(page).alias("page"), F.col(name), F.struct("x0", "y0", "x1", "y1").alias(name[0])).filter(F.col("page").isNotNull()).withColumn("cx", steps(f"{name[0]}.x0", f"{name[0]}.x1")).withColumn("cy", steps(f"{name[0]}.y0", f"{name[0]}.y1"))
-    rows = cells(links, "link_id").join(cells(blocks, "block_id"), ["page", "cx", "cy"])
+    than nothing; of equal ones that with the smallest id).
+
+    Boxes meet in the cells of grids, each twice as coarse as the one before. A
+    box belongs to the first grid whose cells are at least as long as its
+    longer side, so it reaches into few cells; two boxes meet in the grid of the
+    larger one. Boxes that are empty or not finite overlap with nothing."""
+    sides = ("x0", "y0", "x1", "y1")
+
+    def boxes(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select(F.col(page).alias("page"), F.col(name), *(F.col(c).cast("double").alias(c) for c in sides))
+        rows = rows.filter(F.col("page").isNotNull() & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+        rows = rows.filter(" and ".join(f"abs({c}) < double('infinity')" for c in sides))  # nor NaN, which is larger
+        longer = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+        return rows.select("page", name, F.struct(*sides).alias(name[0]), F.greatest(F.lit(0), F.ceil(F.log2(longer / cell))).cast("int").alias("own"))
+
+    links, blocks = boxes(links, "link_id"), boxes(blocks, "block_id")
+    top = links.select("own").union(blocks.select("own")).agg(F.max("own")).first()[0] or 0
+
+    def cells(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.withColumn("grid", F.explode(F.sequence("own", F.lit(top))))
+        width = F.lit(cell) * F.pow(F.lit(2.0), F.col("grid"))
+        for axis in "xy":
+            reach = F.sequence(F.floor(F.col(f"{name}.{axis}0") / width), F.floor(F.col(f"{name}.{axis}1") / width))
+            rows = rows.withColumn("c" + axis, F.explode(reach))
+        return rows.withColumnRenamed("own", f"{name}_own")
+
+    rows = cells(links, "l").join(cells(blocks, "b"), ["page", "grid", "cx", "cy"]).filter("grid = greatest(l_own, b_own)")
     side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(F.col(f"l.{hi}"), F.col(f"b.{hi}")) - F.greatest(F.col(f"l.{lo}"), F.col(f"b.{lo}")))
     rows = rows.select("link_id", "block_id", (side("x0", "x1") * side("y0", "y1")).alias("area")).filter("area > 0")
     best = F.max(F.struct("area", (-F.col("block_id")).alias("back"), "block_id"))

@@ -88,7 +88,7 @@ def box_overlaps(spark, sf_dir):
     links = rows.filter("l_linenumber = 1").withColumnRenamed("box", "link_id")
     blocks = rows.filter("l_linenumber > 1").withColumnRenamed("box", "block_id")
     out = P.best_overlap(links, blocks, cell=10.0)
-    return out.select("link_id", "block_id", F.round("area", 4).alias("area"))
+    return out.select("link_id", "block_id", F.round("area", 6).alias("area"))
 
 
 def box_qualities(spark, sf_dir):
@@ -159,7 +159,7 @@ SELECT doc_id, md5(label) AS figure, CAST(min(i) AS INT) AS anchor FROM l, (SELE
 WITH {_B},
 o AS (
   SELECT l.box AS link_id, k.box AS block_id, greatest(0, least(l.x1, k.x1) - greatest(l.x0, k.x0)) * greatest(0, least(l.y1, k.y1) - greatest(l.y0, k.y0)) AS area FROM b l JOIN b k ON l.page = k.page WHERE l.ln = 1 AND k.ln > 1)
-SELECT link_id, block_id, round(area, 4) AS area FROM o WHERE area > 0 QUALIFY row_number() OVER (PARTITION BY link_id ORDER BY area DESC, block_id) = 1""",
+SELECT link_id, block_id, round(area, 6) AS area FROM o WHERE area > 0 QUALIFY row_number() OVER (PARTITION BY link_id ORDER BY area DESC, block_id) = 1""",
     "box_qualities": f"""
 WITH {_B}, n AS (SELECT x0 / 60 AS x0, y0 / 120 AS y0, x1 / 60 AS x1, y1 / 120 AS y1 FROM b)
 SELECT CASE WHEN x1 - x0 <= 0 OR y1 - y0 <= 0 OR least(x0, y0) < 0 OR greatest(x1, y1) > 1 THEN 'invalid' WHEN (x1 - x0) * (y1 - y0) > 0.9 THEN 'full_page' WHEN least(x1 - x0, y1 - y0) < 0.05 THEN 'narrow' ELSE 'good' END AS quality, count(*) AS n FROM n GROUP BY ALL""",

@@ -110,9 +110,15 @@ def json_list(text: Column) -> Column:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with doubled quotes and a byte order mark before the header."""
-    first, *rest = rows.columns
-    rows.withColumnRenamed(first, "﻿" + first).select("﻿" + first, *rest).write.csv(path, header=True, quote='"', escape='"')
+    """CSV with doubled quotes, in the order of ``rows``, as one or more files:
+    put together in the order of their names they are one CSV file, whose only
+    header is its first line, after a byte order mark."""
+    names = rows.columns
+    text = ", ".join(f"c{k} string" for k in range(len(names)))
+    first = rows.sparkSession.createDataFrame([(0, 0, "\ufeff" + names[0], *names[1:])], f"body int, at long, {text}")
+    body = rows.select(F.lit(1), F.monotonically_increasing_id(), *(F.col(f"`{c}`").cast("string") for c in names))
+    lines = first.union(body).repartitionByRange("body", "at").sortWithinPartitions("body", "at")
+    lines.drop("body", "at").write.csv(path, header=False, quote='"', escape='"')
 
 
 def write_markdown(pages: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,10 @@ def test_writers(spark, tmp_path):
     S.write_csv(rows, str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("*.csv")).read_text(encoding="utf-8")
     assert text.splitlines() == ["﻿id,text", '1,"say ""x"""']
+    many = spark.range(1000).select("id", F.concat(F.lit("a,\n"), "id").alias("text")).repartitionByRange(7, "id").sortWithinPartitions("id")
+    S.write_csv(many, str(tmp_path / "many"))
+    joined = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "many").glob("part-*.csv")))
+    assert joined == "\ufeffid,text\n" + "".join(f'{k},"a,\n{k}"\n' for k in range(1000))
     pages = spark.createDataFrame([(2, None, "two"), (1, "A-1", "one")], "pdf_page int, printed_page_code string, clean_text string")
     S.write_markdown(pages.coalesce(1), str(tmp_path / "md"))
     assert "## Page 1 · A-1\n\none" in "".join(p.read_text() for p in sorted((tmp_path / "md").glob("part-*")))
@@ -91,15 +96,24 @@ def test_upsert_and_build_once(spark, tmp_path):
     assert made == [1]
 
 
-def test_tables_are_cleared_but_those_that_are_kept(spark):
+def test_tables_of_a_scope_are_deleted_and_no_others(spark):
     from quarry import tables
 
-    mark = tables.made()
-    first, second = tables.stage(spark.range(3), "one"), tables.new_path(spark, "two")
-    spark.range(2).write.parquet(second)
-    assert first.count() == 3
-    tables.clear(spark, mark, (second,))
-    assert tables.made() == mark + 1 and spark.read.parquet(second).count() == 2
-    tables.clear(spark, mark)
-    with pytest.raises(Exception):
-        spark.read.parquet(second).count()
+    kept, other = tables.new_path(spark, "kept"), []
+    with tables.scope(spark) as folder:
+        first = tables.stage(spark.range(3), "one")
+        thread = threading.Thread(target=lambda: other.append(tables.stage(spark.range(5), "other")))
+        thread.start()
+        thread.join()
+        with pytest.raises(ZeroDivisionError), tables.scope(spark) as inner:
+            assert inner.startswith(folder)
+            second = tables.stage(spark.range(4), "two")
+            1 / 0
+        assert first.count() == 3
+        with pytest.raises(Exception, match="(?i)not exist|no such"):
+            second.count()
+        first.write.parquet(kept)
+    with pytest.raises(Exception, match="(?i)not exist|no such"):
+        first.count()
+    # What was saved outside, and what another job wrote meanwhile, is still there.
+    assert spark.read.parquet(kept).count() == 3 and other[0].count() == 5
