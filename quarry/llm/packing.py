@@ -52,9 +52,11 @@ CAPACITY, PIECE = 2048, 512
 END_ID = 1
 #: Ids of the pieces of one group, on average.
 GROUP_TOKENS = 250_000
-#: Runs whose ids a worker remembers, and characters of texts that it encodes at a time.
-MEMO_RUNS = 800_000
-BLOCK_CHARS = 2_000_000
+#: Runs whose ids a worker remembers, and characters that it takes at a time.
+MEMO_RUNS = 1_000_000
+BLOCK_CHARS = 500_000
+#: Pieces that a task sends at a time.
+PIECES_AT_ONCE = 1000
 
 #: White space of the pre-tokenizer's pattern (Unicode's White_Space).
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -90,74 +92,70 @@ class RunEncoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(256) if re.match(f"[ {LETTERS}]", chr(c))]
         self.bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
-        self.memo: dict[str, bytes] = {}
-        self.line_end = self._whole(["\n"])[0]
+        self.line_end = self._whole("\n")
+        self.memo = _Memo(self)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def run(self, key: str) -> bytes:
+        """The ids of a key that the memo doesn't have. Marks after a word that
+        is new itself aren't remembered with it."""
+        memo = self.memo
+        if found := WORD(key):
+            line, letters, marks = found.groups()
+            word = line + letters
+            ids = memo.get(word)
+            seen = ids is not None
+            if not seen:
+                bare = letters if line else " " + letters
+                ids = array("I", [t.id for t in self.tokenize(bare.translate(self.bytes))]).tobytes()
+                memo[word] = ids = self.line_end + ids if line else ids
+            if marks:
+                ids += memo["\t" + marks]
+                if seen:
+                    memo[key] = ids
+            return ids
+        memo[key] = ids = self._whole(key[1:] if key[:1] == "\t" else key if key[:1] == "\n" else " " + key)
+        return ids
 
     def _keys(self, text: str) -> list[str]:
         """The keys of a text's runs after a line end that it doesn't have."""
-        plain = text.replace("\n", " ")
-        if " ".join(plain.split()) == plain:  # single spaces and line ends between words, no other white space
-            return f"\n{text}".replace("\n", " \n").split(" ")[1:]
-        return ["\t\n", *(r[1:] if r[0] == " " and WORD_SPACE.match(r) else "\t" + r for r in RUNS.findall(text))]
-
-    def _learn(self, keys: set[str]) -> None:
-        memo = self.memo
-        new = keys.difference(memo)
-        if len(memo) + 2 * len(new) > MEMO_RUNS and memo:
-            memo.clear()
-            new = keys
-        other, marked = [], []
-        for key in new:
-            if found := WORD(key):
-                line, letters, marks = found.groups()
-                if marks:
-                    marked.append((key, line + letters, "\t" + marks))
-                    if "\t" + marks not in memo:
-                        memo["\t" + marks] = self._whole([marks])[0]
-                if line + letters not in memo:
-                    word = letters if line else " " + letters
-                    ids = array("I", [t.id for t in self.tokenize(word.translate(self.bytes))]).tobytes()
-                    memo[line + letters] = self.line_end + ids if line else ids
-            else:
-                other.append(key)
-        for key, word, marks in marked:
-            memo[key] = memo[word] + memo[marks]
-        for i in range(0, len(other), 20_000):
-            part = other[i : i + 20_000]
-            texts = [k[1:] if k[:1] == "\t" else k if k[:1] == "\n" else " " + k for k in part]
-            memo.update(zip(part, self._whole(texts), strict=True))
-
-    def _blocks(self, text: str) -> Iterator[str]:
-        at = 0
-        while at < len(text) or not at:
-            end = WORD_SPACE.search(text, at + BLOCK_CHARS)
-            yield text[at : end.start() if end else len(text)]
-            if not end:
-                return
+        keys: list[str] = []
+        for line in text.split("\n"):
+            words = line.split()
+            if not words or " ".join(words) != line:  # other white space than single spaces and line ends between words
+                return ["\t\n", *(r[1:] if r[0] == " " and WORD_SPACE.match(r) else "\t" + r for r in RUNS.findall(text))]
+            words[0] = "\n" + words[0]
+            keys += words
+        return keys
+
+    def _block(self, text: str) -> bytes:
+        if len(self.memo) > MEMO_RUNS:
+            self.memo.clear()
+        return b"".join(map(self.memo.__getitem__, self._keys(text)))[len(self.line_end) :]
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
+        text = text or ""
+        if any(map(text.__contains__, self.controls)):
+            return self._whole(text)
+        out, at = [], 0
+        while end := WORD_SPACE.search(text, at + BLOCK_CHARS):
+            out.append(self._block(text[at : end.start()]))
             at = end.start()
+        return b"".join([*out, self._block(text[at:])])
+
+
+class _Memo(dict):
+    """Ids of keys; what it doesn't have it gets from the encoder."""
+
+    def __init__(self, encoder: RunEncoder):
+        super().__init__()
+        self.encoder = encoder
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        some: list[str] = []
-        for text in texts:
-            some.append(text or "")
-            if sum(map(len, some)) >= BLOCK_CHARS:
-                yield from self._encoded(some)
-                some = []
-        yield from self._encoded(some)
-
-    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [None if any(map(t.__contains__, self.controls)) else [self._keys(b) for b in self._blocks(t)] if len(t) > BLOCK_CHARS else [self._keys(t)] for t in texts]
-        self._learn({k for blocks in cut if blocks for keys in blocks for k in keys})
-        skip = len(self.line_end)
-        for text, blocks in zip(texts, cut, strict=True):
-            if blocks is None:
-                yield self._whole([text])[0]
-            else:
-                yield b"".join(b"".join(map(self.memo.__getitem__, keys))[skip:] for keys in blocks)
+    def __missing__(self, key: str) -> bytes:
+        return self.encoder.run(key)
 
 
 def encoder(source: TokenizerFile) -> RunEncoder:
@@ -202,8 +200,8 @@ def encode_pieces(
 
         doc_ids, starts, lengths, whole, ids = [], [], [], [], []
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
-                raw = memoryview(raw + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = memoryview(enc.encode(text) + end)
                 at = cuts(len(raw) // 4, capacity, piece)
                 for lo, hi in zip(at, at[1:], strict=False):
                     doc_ids.append(doc_id)
@@ -211,7 +209,7 @@ def encode_pieces(
                     lengths.append(hi - lo)
                     whole.append(at[-1])
                     ids.append(raw[4 * lo : 4 * hi])
-                if len(ids) >= 4000:
+                if len(ids) >= PIECES_AT_ONCE:
                     yield done()
                     doc_ids, starts, lengths, whole, ids = [], [], [], [], []
         yield done()
