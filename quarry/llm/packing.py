@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.blocks import groups
+from quarry.llm.rows import small_batches
 from quarry.llm.shared import stage
 from quarry.llm.token_output import TokenizerFile
 
@@ -53,8 +54,10 @@ END_ID = 1
 #: Ids of the pieces of one group, on average.
 GROUP_TOKENS = 250_000
 #: Runs whose ids a worker remembers, and characters that it takes at a time.
-MEMO_RUNS = 1_000_000
+MEMO_RUNS = 600_000
 BLOCK_CHARS = 500_000
+#: The ids are most of a worker's table: row groups of 16 MB keep little of it in memory.
+ROW_GROUP = {"parquet.block.size": 16 << 20}
 #: Pieces that a task sends at a time.
 PIECES_AT_ONCE = 1000
 
@@ -314,7 +317,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Pieces of all documents with their ids, and the place of each piece, both written tables."""
-    pieces = stage(encode_pieces(docs, tokenizer_path, id_col, text_col, capacity=capacity, piece=max(1, capacity // 4)), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stage(encode_pieces(docs, tokenizer_path, id_col, text_col, capacity=capacity, piece=max(1, capacity // 4)), "pieces", **ROW_GROUP)
     return pieces, stage(place(pieces, capacity, group_tokens), "places")
 
 

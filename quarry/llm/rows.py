@@ -1,15 +1,33 @@
-"""Run a function over a text column and keep the rest of each row beside it."""
+"""Python functions over texts: a column with the rest of each row beside it, and batches of bounded size."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows and bytes of an Arrow batch; the JVM and a worker each hold a few.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that start inside send rows to Python in small batches."""
+    before = {k: spark.conf.get(k, None) for k in SMALL_BATCHES}
+    for k, v in SMALL_BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def with_columns(
     docs: DataFrame,
     text: Column,
