@@ -6,27 +6,29 @@ documents link if their shingle sets have a Jaccard similarity of
 ``THRESHOLD`` or more.
 
 Candidates come from a MinHash LSH forest: ``TREES`` prefix tries, each over
-its own sequence of min-hashes. A document's label in a tree is a sorted prefix:
-the ``floor`` first min-hashes as one value, which rows are grouped by, then
-``LEVELS`` more, by which two documents of a group have a depth in common. A
-pair belongs to the tree where its prefixes agree longest, so it is verified
-once. Matching begins at full depth and the prefixes are shortened a level at a
-time, each level verifying the pairs whose longest agreement that is, until
-pairs as little alike as any seen (from ``SLACK`` below the threshold on, taken
-as at the threshold) are found with probability ``RECALL`` at that depth. The
-floor is where a pair at the threshold itself is, so no level below is needed.
+its own sequence of min-hashes. Matched prefixes are shortened from ``DEPTH``
+min-hashes on until a pair at the threshold shares one with probability
+``RECALL`` (``floor_depth``). Shortening never ends by what has been found
+before, since pairs that haven't met yet may be less alike. A document's label
+in a tree is a sorted prefix: the ``floor`` first min-hashes as one value, which
+rows are grouped by, then ``LEVELS`` more, by which two documents of a group
+have a depth in common. A pair belongs to the tree where its prefixes agree
+longest (of those to the first), so it is verified once.
 
 1. A scan makes each document's shingle set, its fingerprint and its labels.
    Documents with equal sets (exact copies above all) form one class; classes
    go on with one representative and a count.
 2. Representatives with equal floors meet. Large groups are dealt out in pairs
-   of bounded blocks.
-3. The texts of those with a pair of the level are brought to their blocks and
+   of bounded blocks. Near copies that all differ would meet in most trees,
+   so large groups that share a document are taken together (``herds``) where
+   that makes fewer rows: the documents of a herd meet once, not once a tree,
+   and aren't compared again in the small groups that they also share.
+3. The texts of those with a pair of their own are brought to their blocks and
    every pair is verified on whole shingle sets, as a product of membership
    matrices. A block gives counts of links and the edges of a spanning forest,
    never its pairs. Components of those edges name the groups.
 
-Of a group of n near copies that all differ, n / ``BLOCK`` texts reach a block
+Of a herd of n near copies that all differ, n / ``BLOCK`` texts reach a block
 for each of its rows: every pair is compared, and a task holds two blocks.
 
 Classes are named by the fingerprints of their sets, so ids may come more than
@@ -48,6 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.blocks import block_pairs, components, groups, join_hot, roots
+from quarry.llm.rows import small_batches
 from quarry.llm.shared import stage
 
 SHINGLE = 5
@@ -57,8 +60,6 @@ DEPTH = 10
 RECALL = 0.999
 #: Levels of a trie above its floor, each of 16 bits.
 LEVELS = 4
-#: Candidates so little below the threshold count as pairs at it when the recall is judged.
-SLACK = 0.1
 #: Documents and characters of a block.
 BLOCK, BLOCK_CHARS = 512, 8_000_000
 #: Cells of a membership matrix that a task holds at once.
@@ -163,17 +164,32 @@ def _keys(id_col: str, text_col: str) -> list:
     return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key")]
 
 
-def _meet(bi: int, bj: int, mine: np.ndarray, floors: np.ndarray, above: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of a block pair (of rows in different blocks, unless it is
-    one) that belong to this bucket: both rows and the levels above the floor
-    on which they agree. A pair belongs to the tree where it agrees on most,
-    of those to the first."""
-    tree = int(np.argmax(floors[0] == bucket))
+def _meet(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a block pair (of rows in different blocks, unless it is one)
+    that belong to this bucket, as the numbers of their rows.
+
+    In a herd those are all pairs with equal floors in some tree. Elsewhere, a
+    pair of one herd is left to that, and any other belongs to the tree where it
+    agrees on most, of those to the first."""
+    bucket, bi, bj = (group.column(k)[0].as_py() for k in range(3))
+    mine, floors, above = group.column("mine").to_numpy(), _matrix(group.column("floors")), _matrix(group.column("above"))
+    herd = group.column("herd").combine_chunks()
+    inside, herd = herd.is_valid().to_numpy(zero_copy_only=False), herd.fill_null(0).to_numpy()
     if bi == bj:
-        i, j = np.triu_indices(len(mine), 1)
+        left = right = np.arange(len(mine))
     else:
         left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
-        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+    if inside[0] and herd[0] == bucket:
+        meets = np.zeros((len(left), len(right)), bool)
+        for t in range(floors.shape[1]):
+            meets |= floors[left, t][:, None] == floors[right, t][None, :]
+    else:
+        meets = ~((herd[left][:, None] == herd[right][None, :]) & inside[left][:, None] & inside[right][None, :])
+    i, j = np.nonzero(np.triu(meets, 1) if bi == bj else meets)
+    i, j = left[i], right[j]
+    if inside[0] and herd[0] == bucket:
+        return i, j
+    tree = int(np.argmax(floors[0] == bucket))
     # A tree's label down to each level; that of the last level is the whole one.
     labels = [floors.view(np.uint64)]
     for k in range(1, LEVELS + 1):
@@ -193,7 +209,7 @@ def _meet(bi: int, bj: int, mine: np.ndarray, floors: np.ndarray, above: np.ndar
             at = at[x[i[at]] != x[j[at]]]
         own.append(at)
     own = np.concatenate(own)
-    return i[own], j[own], level[own]
+    return i[own], j[own]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -201,11 +217,11 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-NEEDED = "bucket long, bi int, bj int, mine int, set binary, level int"
-LINKED = "a binary, b binary, n long, least double"
+NEEDED = "bucket long, bi int, bj int, mine int, set binary"
+LINKED = "a binary, b binary, n long"
 
 
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def _batch(schema: str, out: list[list]) -> pa.RecordBatch:
@@ -218,20 +234,16 @@ def _batch(schema: str, out: list[list]) -> pa.RecordBatch:
 
 
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block pair and level, the rows that have a pair of their own there."""
+    """Of each block pair, the rows that have a pair of their own there."""
     out: list[list] = []
     for group in groups(batches, 3):
         if group.num_rows < 2:
             continue
-        bucket, bi, bj = (group.column(k)[0].as_py() for k in range(3))
-        mine = group.column(3).to_numpy()
-        i, j, level = _meet(bi, bj, mine, _matrix(group.column(5)), _matrix(group.column(6)), bucket)
-        names = group.column(4).combine_chunks()
-        for k in np.unique(level).tolist():
-            at = level == k
-            rows = np.unique(np.concatenate([i[at], j[at]]))
-            n = len(rows)
-            out.append([np.full(n, bucket), np.full(n, bi, np.int32), np.full(n, bj, np.int32), mine[rows], names.take(pa.array(rows)), np.full(n, k, np.int32)])
+        rows = np.unique(np.concatenate(_meet(group)))
+        if n := len(rows):
+            bucket, bi, bj = (group.column(k)[0].as_py() for k in range(3))
+            names = group.column("set").combine_chunks()
+            out.append([np.full(n, bucket), np.full(n, bi, np.int32), np.full(n, bj, np.int32), group.column("mine").to_numpy()[rows], names.take(pa.array(rows))])
         if len(out) >= 5000:
             yield _batch(NEEDED, out)
             out = []
@@ -262,75 +274,99 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(threshold: float, at: int):
-    """Links and the least similarity of the pairs of one level."""
+def _verify(threshold: float):
+    """The links of each block pair: a link to the first of its rows that each
+    row reaches, and how many documents it links with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = []
-        least = 2.0
         for group in groups(batches, 3):
             if group.num_rows < 2:
                 continue
-            bucket, bi, bj = (group.column(k)[0].as_py() for k in range(3))
-            mine, copies = group.column(3).to_numpy(), group.column(5).to_numpy()
-            i, j, level = _meet(bi, bj, mine, _matrix(group.column(6)), _matrix(group.column(7)), bucket)
-            i, j = i[level == at], j[level == at]
+            i, j = _meet(group)
             if not len(i):
                 continue
-            sets = [shingles(t) for t in group.column(8).to_pylist()]
+            sets = [shingles(t) for t in group.column("text").to_pylist()]
             size = np.array([len(s) for s in sets], float)
             both = shared_counts(sets)[i, j].astype(float)
-            either = size[i] + size[j] - both
-            like = both / either
-            close = like[like >= threshold - SLACK]
-            if len(close):
-                least = min(least, float(close.min()))
-            near = both >= threshold * either - 1e-9
+            near = both >= threshold * (size[i] + size[j] - both) - 1e-9
             if near.any():
                 links = np.zeros((len(sets), len(sets)), bool)
                 links[i[near], j[near]] = links[j[near], i[near]] = True
                 some = np.flatnonzero(links.any(1))
-                names = group.column(4).combine_chunks()
+                names = group.column("set").combine_chunks()
                 root = roots(links, np.arange(len(sets)))
-                out.append([names.take(pa.array(some)), names.take(pa.array(root[some])), (links @ copies)[some], pa.nulls(len(some), pa.float64())])
+                out.append([names.take(pa.array(some)), names.take(pa.array(root[some])), (links @ group.column("copies").to_numpy())[some]])
             if len(out) >= 2000:
                 yield _batch(LINKED, out)
                 out = []
-        out.append([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), np.array([least])])
         yield _batch(LINKED, out)
 
     return run
 
 
+def herds(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame] | None:
+    """Large groups to take together. members: ``set``, ``n_chars``, ``bucket``.
+
+    Groups of more than one block that share a document, directly or over
+    others, are a herd, if dealing out its documents once makes fewer rows than
+    dealing out each of its groups. Returns the documents of the herds (``set``,
+    ``herd``; a document has one at most) and the buckets that they replace; a
+    herd is named after one of these. None if no group is that large."""
+    blocks = lambda n, chars: F.ceil(F.greatest(F.col(n) / F.lit(block), F.col(chars) / F.lit(BLOCK_CHARS), F.lit(1)))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).filter("n > 1")
+    large = stage(sizes.withColumn("nb", blocks("n", "chars")).filter("nb > 1"), "large")
+    if large.isEmpty():
+        return None
+    rows = stage(members.join(large.select("bucket"), "bucket").select("set", "n_chars", "bucket"), "large-members")
+    first = rows.groupBy("set").agg(F.min("bucket").alias("a"), F.first("n_chars").alias("n_chars"))
+    named = components(rows.join(first.select("set", "a"), "set").select("a", F.col("bucket").alias("b")).filter("a < b").distinct())
+    buckets = stage(large.join(named, large["bucket"] == named["node"], "left").select("bucket", F.coalesce("component", "bucket").alias("herd"), (F.col("n") * F.col("nb")).alias("apart")), "herd-buckets")
+    docs = stage(first.join(buckets.select(F.col("bucket").alias("a"), "herd"), "a").select("set", "n_chars", "herd"), "herd-documents")
+    whole = docs.groupBy("herd").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).withColumn("together", F.col("n") * blocks("n", "chars"))
+    chosen = stage(buckets.groupBy("herd").agg(F.sum("apart").alias("apart")).join(whole, "herd").filter("together < apart").select("herd"), "herds")
+    return docs.join(chosen, "herd", "left_semi").select("set", "herd"), buckets.join(chosen, "herd", "left_semi").select("bucket")
+
+
+def _met(reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that meet in a bucket or herd (``bucket``, ``bi``, ``bj``, the row's
+    block ``mine``, ``set``), and what is known of each ``set``: its ``copies``,
+    labels and ``herd``."""
+    members = reps.select("set", "n_chars", F.explode("floors").alias("bucket"))
+    found = herds(members, block)
+    if found is None:
+        labels = reps.drop("n_chars").withColumn("herd", F.lit(None).cast("long"))
+    else:
+        docs, replaced = found
+        together = reps.select("set", "n_chars").join(docs, "set").select("set", "n_chars", F.col("herd").alias("bucket"))
+        members = members.join(replaced, "bucket", "left_anti").select("set", "n_chars", "bucket").unionByName(together)
+        labels = reps.drop("n_chars").join(docs, "set", "left")
+    return block_pairs(members, "bucket", F.xxhash64("set"), block, "n_chars", BLOCK_CHARS), labels
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, trees: int, recall: float, block: int) -> DataFrame:
     """One row per document with words and an id: ``doc_id``, ``text_key``,
     ``lead`` (both of the first of its group), ``n_links`` and ``n_copies``."""
     floor = floor_depth(threshold, trees, recall=recall)
-    signed = stage(sign(docs, id_col, text_col, Forest(trees, floor)), "signed")
+    with small_batches(docs.sparkSession):
+        signed = stage(sign(docs, id_col, text_col, Forest(trees, floor)), "signed")
     classes = stage(
         signed.groupBy("set").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"), F.max("n_chars").alias("n_chars"), F.first("floors").alias("floors"), F.first("above").alias("above")),
         "classes",
     )
     reps = classes.select("set", "copies", "n_chars", "floors", "above")
-    members = reps.select("set", "n_chars", F.explode("floors").alias("bucket"))
-    met = block_pairs(members, "bucket", F.xxhash64("set"), block, "n_chars", BLOCK_CHARS)
     keys = ["bucket", "bi", "bj"]
-    met = met.join(reps.select("set", "floors", "above"), "set").select(*keys, "mine", "set", "floors", "above")
+    met, labels = _met(reps, block)
+    met = met.join(labels, "set").select(*keys, "mine", "set", "floors", "above", "herd")
     needed = stage(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_needed, NEEDED), "needed")
     active = needed.select("set").distinct().join(classes.select("set", "rep.*"), "set")
     texts = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
     # Rows of one id and text are equal, any of them will do.
     texts = active.join(texts, ["doc_id", "text_key"]).dropDuplicates(["set"]).select("set", "text")
-    texts = stage(reps.drop("n_chars").join(texts, "set").select("set", "copies", "floors", "above", "text"), "texts")
-    linked, least = None, 2.0
-    for level in range(LEVELS, -1, -1):
-        ready = needed.filter(F.col("level") == level).join(texts, "set").select(*keys, "mine", "set", "copies", "floors", "above", "text")
-        part = stage(ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold, level), LINKED), "linked")
-        linked = part if linked is None else linked.unionByName(part)
-        least = min(least, part.agg(F.min("least")).first()[0] or 2.0)
-        if least > 1 or found(max(least, threshold), floor + level, trees) >= recall:
-            break
-    edges = linked.filter("a is not null")
+    texts = stage(labels.join(texts, "set").select("set", "copies", "floors", "above", "herd", "text"), "texts")
+    ready = needed.join(texts, "set").select(*keys, "mine", "set", "copies", "floors", "above", "herd", "text")
+    with small_batches(docs.sparkSession):
+        edges = stage(ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold), LINKED), "linked")
     named = components(edges.select("a", "b"))
     counts = edges.groupBy("a").agg(F.sum("n").alias("n"))
     nodes = stage(named.join(classes.select(F.col("set").alias("node"), "rep"), "node"), "near-nodes")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +73,26 @@ def test_prefixes_are_shortened_to_the_recall():
         near_join.floor_depth(0.1, 2, 10, 0.999)
 
 
-def test_a_pair_belongs_to_one_tree_the_deepest():
+def met_pairs(floors, packed, herd, buckets):
+    """Where ``_meet`` finds each pair of rows; none may come twice."""
+    got = {}
+    lists = lambda m: pa.array(m.tolist(), pa.list_(pa.int64()))
+    for bucket, rows in buckets:
+        for bi, bj in ((0, 0), (0, 1), (1, 1)):
+            part = rows[np.isin(rows % 2, (bi, bj))]
+            n = len(part)
+            if not n:
+                continue
+            numbers = [pa.array([bucket] * n, pa.int64()), pa.array([bi] * n, pa.int32()), pa.array([bj] * n, pa.int32()), pa.array(part % 2, pa.int32())]
+            group = pa.table([*numbers, lists(floors[part]), lists(packed[part]), pa.array([herd[k] for k in part], pa.int64())], ["bucket", "bi", "bj", "mine", "floors", "above", "herd"])
+            for i, j in zip(*near_join._meet(group), strict=True):
+                key = tuple(sorted((int(part[i]), int(part[j]))))
+                assert key not in got
+                got[key] = bucket
+    return got
+
+
+def test_a_pair_belongs_to_one_tree_the_deepest_or_to_its_herd():
     rng = np.random.default_rng(1)
     floors = rng.integers(0, 3, (60, 5)) + 10 * np.arange(5)
     above = rng.integers(0, 2, (60, 5, near_join.LEVELS), dtype=np.int64)
@@ -83,19 +103,54 @@ def test_a_pair_belongs_to_one_tree_the_deepest():
         for j in range(i):
             deep, tree = max((level(i, j, t), -t) for t in range(5))
             if deep >= 0:
-                want[j, i] = (int(floors[i, -tree]), deep)
-    got = {}
-    for bucket in np.unique(floors).tolist():
-        rows = np.flatnonzero((floors == bucket).any(1))
-        for bi, bj in ((0, 0), (0, 1), (1, 1)):
-            mine = rows % 2
-            some = np.isin(mine, (bi, bj))
-            part = rows[some]
-            for i, j, n in zip(*near_join._meet(bi, bj, mine[some], floors[part], packed[part], bucket), strict=True):
-                key = tuple(sorted((int(part[i]), int(part[j]))))
-                assert key not in got
-                got[key] = (bucket, int(n))
-    assert got == want
+                want[j, i] = int(floors[i, -tree])
+    buckets = [(b, np.flatnonzero((floors == b).any(1))) for b in np.unique(floors).tolist()]
+    assert met_pairs(floors, packed, [None] * 60, buckets) == want
+    # All rows with a floor of 0 in the first tree are a herd in place of that bucket.
+    herd = [0 if f == 0 else None for f in floors[:, 0].tolist()]
+    inside = {k for k in range(60) if herd[k] == 0}
+    assert met_pairs(floors, packed, herd, buckets) == {(i, j): 0 if {i, j} <= inside else b for (i, j), b in want.items()}
+
+
+def jaccard_pair(rng, apart):
+    """Two texts of 200 different shingles each whose sets share so many that the similarity is 0.8 or little more."""
+    words = [f"v{rng.randrange(10**9)}" for _ in range(204)]
+    other = list(words)
+    for k in range(apart):  # each new word near an end takes few shingles
+        other[k] = f"u{rng.randrange(10**9)}"
+    return " ".join(words), " ".join(other)
+
+
+@pytest.mark.parametrize("beside", [False, True])
+def test_pairs_that_share_only_a_short_prefix_are_found(spark, beside):
+    """Also where no pair shares a longer one, or only much nearer pairs do."""
+    rng = random.Random(5)
+    floor = near_join.floor_depth()
+    forest = near_join.Forest(near_join.TREES, floor)
+    pairs = []
+    while len(pairs) < 6:
+        a, b = jaccard_pair(rng, rng.choice((16, 18, 21)))
+        (fa, da), (fb, db) = (forest.labels(near_join.shingles(t)) for t in (a, b))
+        if (fa == fb).any() and not ((fa == fb) & (da == db)).any():
+            pairs.append((a, b))
+    for a, b in pairs[: 1 if not beside else None]:
+        like = len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+        assert 0.8 <= like <= 0.86
+        rows = [(1, a), (2, b)] + [(10 + k, f"{pairs[0][0]} {k}") for k in range(4) if beside and a != pairs[0][0]]
+        got = {r["doc_id"]: r["n_links"] for r in near_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[1] == got[2] == 1 and (len(rows) == 2 or got[10] == 3)
+
+
+def test_herds_take_large_groups_together(spark):
+    """Near copies share most of their groups; two families that share none stay apart, small groups are left."""
+    rows = [(f"{f}{k}".encode(), 10, 100 * f + t) for f in (1, 2) for k in range(40) for t in range(6) if (k + t) % 4] + [(b"x", 10, 7), (b"y", 10, 7)]
+    members = spark.createDataFrame([(bytes(a), b, c) for a, b, c in rows], "set binary, n_chars long, bucket long")
+    docs, replaced = near_join.herds(members, 8)
+    assert {r["bucket"] for r in replaced.collect()} == {100 * f + t for f in (1, 2) for t in range(6)}
+    assert sorted((bytes(r["set"]), r["herd"]) for r in docs.collect()) == sorted({(s, 100 * int(s[:1])) for s, _, b in rows if b != 7})
+    assert near_join.herds(members, 1000) is None
+    one = members.filter("bucket = 100")  # a single large group gains nothing
+    assert near_join.herds(one, 8)[0].count() == 0
 
 
 @pytest.mark.parametrize("block", [1024, 20])
@@ -149,11 +204,20 @@ def test_links_of_the_table_against_all_pairs(spark):
         for x in s:
             holders.setdefault(x, []).append(k)
     both = Counter((i, j) for ks in holders.values() for n, j in enumerate(ks) for i in ks[:n])
-    links = Counter()
+    links, banded = Counter(), {k: Counter() for k in (80, 85, 90, 95)}
     for (i, j), n in both.items():
-        if n >= 0.8 * (len(classes[i]) + len(classes[j]) - n) - 1e-9:
+        either = len(classes[i]) + len(classes[j]) - n
+        if n >= 0.8 * either - 1e-9:
             links[classes[i]] += copies[classes[j]]
             links[classes[j]] += copies[classes[i]]
+            banded[min(95, int(100 * n / either + 1e-9) // 5 * 5)][i, j] = 1
+    # Recall by similarity: of the pairs of each band, those that share a prefix in some tree.
+    forest = near_join.Forest(near_join.TREES, near_join.floor_depth())
+    text = {sets[r["doc_id"]]: r["text"] for r in rows if r["doc_id"] in sets}
+    floors = [forest.labels(near_join.shingles(text[s]))[0] for s in classes]
+    for band, pairs in banded.items():
+        met = sum((floors[i] == floors[j]).any() for i, j in pairs)
+        assert met >= 0.99 * len(pairs), (band, met, len(pairs))
     want = {i: links[s] + copies[s] - 1 for i, s in sets.items()}
     got = {r["doc_id"]: r["n_links"] for r in near_join.near_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
     assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.99 * sum(want.values())
