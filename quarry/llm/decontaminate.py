@@ -27,7 +27,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.rows import with_columns
+from quarry.llm.rows import ROWS_AT_ONCE, with_columns
 from quarry.llm.shared import new_path
 
 WINDOW = 10
@@ -150,7 +150,9 @@ def find_benchmark(
     the runs of hit words ``hits`` and the ids of the ``items`` found."""
     text = F.col(text) if isinstance(text, str) else text
     stored = store_benchmark(benchmark, item_col, item_text, window)
-    return with_columns(docs, text, lambda: Benchmark(stored.path, stored.blocks, stored.window).find, SCHEMA, keep)
+    # Several blocks are read again for each list of texts, so lists are as long as batches then.
+    rows_at_once = ROWS_AT_ONCE if stored.blocks == 1 else 1 << 30
+    return with_columns(docs, text, lambda: Benchmark(stored.path, stored.blocks, stored.window).find, SCHEMA, keep, rows_at_once)
 
 
 def n_hit() -> Column:

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.blocks import block_pairs, components, groups, join_hot, roots
-from quarry.llm.rows import small_batches
+from quarry.llm.rows import slices, small_batches, trim
 from quarry.llm.shared import stage
 
 SHINGLE = 5
@@ -139,7 +139,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, forest: Forest) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             some, sets, chars, floors, above = [], [], [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 h = shingles(text)
@@ -248,6 +248,7 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(NEEDED, out)
             out = []
     yield _batch(NEEDED, out)
+    trim()
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -301,6 +302,7 @@ def _verify(threshold: float):
                 yield _batch(LINKED, out)
                 out = []
         yield _batch(LINKED, out)
+        trim()
 
     return run
 

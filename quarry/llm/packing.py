@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.blocks import groups
-from quarry.llm.rows import small_batches
+from quarry.llm.rows import slices, small_batches
 from quarry.llm.shared import stage
 from quarry.llm.token_output import TokenizerFile
 
@@ -202,7 +202,7 @@ def encode_pieces(
             return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), pa.array(whole, pa.int64()), pa.array(turn), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "turn", "ids"])
 
         doc_ids, starts, lengths, whole, ids = [], [], [], [], []
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = memoryview(enc.encode(text) + end)
                 at = cuts(len(raw) // 4, capacity, piece)

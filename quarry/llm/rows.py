@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -28,16 +29,38 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Rows of a batch whose texts and words a worker holds as Python objects.
+ROWS_AT_ONCE = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows. After the last one, freed memory goes
+    back to the system, since a worker outlives its tasks."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if trimmed := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trimmed(0)
+
+
 def with_columns(
     docs: DataFrame,
     text: Column,
     make: Callable[[], Callable[[list], dict[str, list]]],
     schema: str,
     keep: tuple[str, ...] | None = None,
+    rows_at_once: int = ROWS_AT_ONCE,
 ) -> DataFrame:
     """``docs`` as a struct column ``row`` (its columns ``keep``, or all of
     them, whatever their names) and the columns of ``schema``, which ``make()``
-    computes from lists of ``text``. ``make`` runs once in each task."""
+    computes from lists of ``text``, of ``rows_at_once`` texts at most. ``make``
+    runs once in each task."""
     kind = T._parse_datatype_string(schema)
     row = F.struct("*") if keep is None else F.struct(*(F.col(f"`{c}`") for c in keep))
     rows = docs.select(row.alias("row"), text.alias("__text"))
@@ -48,7 +71,7 @@ def with_columns(
 
         types = [to_arrow_type(f.dataType) for f in kind.fields]
         f = make()
-        for batch in batches:
+        for batch in slices(batches, rows_at_once):
             found = f(batch.column(1).to_pylist())
             arrays = [pa.array(found[x.name], t) for x, t in zip(kind.fields, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", *kind.names])

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.rows import slices
+
 MAGIC, VERSION, HEADER = b"DAC1", 1, "<4sHHQQ"
 CHUNK_BITS = 8
 RANK_BYTES = 64
@@ -304,7 +306,7 @@ def write_tokens(
             doc_ids, lengths, held, size, seq = [], [0], [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-        for batch in batches:
+        for batch in slices(batches):
             for i, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(i)
                 held += (raw, end)
