@@ -1,7 +1,7 @@
 """Conversation trees: messages (``conv_id``, ``id``, ``parent_id``, ``pos``) and their paths.
 
-``pos`` orders siblings; a message without a parent is a root. Walks go down one
-level a round, each written as a table, and stop when a level is empty. Trees may
+``pos`` orders siblings; a message without a parent is a root. Walks double
+their pointers, so their rounds grow with the logarithm of the depth. Trees may
 be of any size and depth; messages whose parents go round in a circle are an error.
 """
 
@@ -10,28 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.tables import new_path, stage
+from quarry.tables import stage
 
 
 def _walk(heads: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of ``heads`` (``conv_id``, ``id``, ``depth`` and others) and all
-    that come below them by ``links`` (``conv_id``, ``id``, ``next_id``)."""
-    links = stage(links.filter("id is not null and next_id is not null"), "links")
-    most = links.count()
-    base = new_path(heads.sparkSession, "walk")
-    schema, depth = heads.schema, 0
-    level = heads
-    while True:
-        path = f"{base}/{depth}"
-        level.select(*schema.names).write.parquet(path)
-        level = heads.sparkSession.read.schema(schema).parquet(path)
-        if level.isEmpty():
-            break
-        if depth > most:
+    that come below them by ``links`` (``conv_id``, ``id``, ``next_id``).
+
+    Pointers are doubled: each round knows every message's ancestor 1, 2, 4 ...
+    levels up, adds the messages whose ancestor is found already, and joins the
+    pointers with themselves. Rounds are as many as the depth has binary digits."""
+    kind = heads.schema["id"].dataType
+    up = links.filter("id is not null and next_id is not null").select("conv_id", F.col("next_id").cast(kind).alias("id"), F.col("id").cast(kind).alias("above")).distinct()
+    up, found, step = stage(up, "pointers"), stage(heads, "walk"), 1
+    most = up.count()
+    while not up.isEmpty():
+        if step > most:
             raise ValueError("messages whose parents go round in a circle")
-        depth += 1
-        level = level.join(links, ["conv_id", "id"]).withColumn("id", F.col("next_id").cast(schema["id"].dataType)).withColumn("depth", F.lit(depth))
-    return heads.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(base)
+        below = up.select("conv_id", F.col("above").alias("id"), F.col("id").alias("below"))
+        more = found.join(below, ["conv_id", "id"]).withColumns({"id": F.col("below"), "depth": (F.col("depth") + step).cast(heads.schema["depth"].dataType)})
+        found = stage(found.unionByName(more.select(*found.columns)), "walk")
+        higher = up.select("conv_id", F.col("id").alias("above"), F.col("above").alias("higher"))
+        up = stage(up.join(higher, ["conv_id", "above"]).select("conv_id", "id", F.col("higher").alias("above")), "pointers")
+        step *= 2
+    return found
 
 
 def backfill_links(messages: DataFrame, order: list[str]) -> DataFrame:

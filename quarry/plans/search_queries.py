@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import search as S
+from quarry.operators.index import TextIndex
+from quarry.tables import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,25 @@ def bm25_filtered(spark, sf_dir):
     return S.bm25_search(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 10, where).select("query_id", "doc_id", "score", "rank")
 
 
+def index_topk(spark, sf_dir):
+    """The documents of each language are a batch of a stored index."""
+    docs = table(spark, sf_dir, "documents")
+    index = TextIndex(spark, new_path(spark, "index"), keep=("lang", "source"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    index.add(docs.filter(english))
+    index.add(docs.filter(~english))
+    return index.search(questions(spark, sf_dir), 10)
+
+
+def index_filtered(spark, sf_dir):
+    """A language is deleted from the index, and searches are bound to others."""
+    docs = table(spark, sf_dir, "documents")
+    index = TextIndex(spark, new_path(spark, "index"), keep=("lang", "source"))
+    index.add(docs)
+    index.delete(docs.filter("lang = 'de'").select("doc_id"))
+    return index.search(questions(spark, sf_dir), 10, FILTERS.column(page_type="lang", article="source"))
+
+
 def search_cascade(spark, sf_dir):
     hits = S.cascade(table(spark, sf_dir, "documents"), questions(spark, sf_dir))
     return hits.select("query_id", "doc_id", "pre_rerank_score", "lexical_overlap", "score", "rank")
@@ -80,9 +101,9 @@ TERMS = "list_filter(list_transform(regexp_extract_all(coalesce({0}, ''), '[A-Za
 TOKENS = "list_distinct(list_transform(regexp_extract_all(coalesce({0}, ''), '[a-zA-Z0-9]+'), lambda t: lower(t)))"
 
 
-def _bm25(k: int, where: str = "true") -> str:
+def _bm25(k: int, where: str = "true", corpus: str = "true") -> str:
     return f"""
-d AS (SELECT doc_id, lang, source, text, {TERMS.format('text')} AS ts FROM documents),
+d AS (SELECT doc_id, lang, source, text, {TERMS.format('text')} AS ts FROM documents WHERE {corpus}),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark),
 st AS (SELECT count(*) AS n, greatest(sum(len(ts)) / greatest(count(*), 1), 1) AS avgdl FROM d),
 e AS (SELECT doc_id, lang, source, greatest(len(ts), 1) AS dl, unnest(ts) AS term FROM d),
@@ -106,6 +127,8 @@ _BOTH = f"WITH {_bm25(16)}, {_DENSE.format('item_id FROM benchmark', 16)}"
 QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_filtered": bm25_filtered,
+    "index_topk": index_topk,
+    "index_filtered": index_filtered,
     "search_cascade": search_cascade,
     "term_statistics": term_statistics,
     "corpus_statistics": corpus_statistics,
@@ -119,6 +142,8 @@ QUERIES = {
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_bm25(10)} SELECT query_id, doc_id, score, rank FROM h",
     "bm25_filtered": f"""WITH {_bm25(10, "lang IN ('en', 'fr') AND (lang <> 'en' OR source IN ('src1', 'src2', 'src3'))")} SELECT query_id, doc_id, score, rank FROM h""",
+    "index_topk": f"WITH {_bm25(10)} SELECT query_id, doc_id, score, rank FROM h",
+    "index_filtered": f"""WITH {_bm25(10, "lang IN ('en', 'fr') AND (lang <> 'en' OR source IN ('src1', 'src2', 'src3'))", "lang IS DISTINCT FROM 'de'")} SELECT query_id, doc_id, score, rank FROM h""",
     "search_cascade": f"""
 WITH {_bm25(40)},
 o AS (
