@@ -20,6 +20,39 @@ def best_sentence(text: Column, keywords: Column) -> Column:
     return F.coalesce(F.array_max(scored)["s"], F.lit(""))
 
 
+def sentence_windows(rows: DataFrame, text: Column, keywords: Column, limit: int = WINDOW_CHARS) -> DataFrame:
+    """``rows`` with the ``sentence`` of ``best_sentence`` and the ``window``
+    around it: the sentence after, then the one before, and so on in turns, as
+    long as sentences (without the spaces between) fit into ``limit``
+    characters. The first neighbour comes in whatever its length; a side whose
+    next sentence doesn't fit waits for the other; both stuck is the end."""
+    words = F.filter(F.transform(keywords, F.lower), lambda k: F.length(k) > 1)
+    rows = rows.withColumns({"__said": sentences(text), "__words": words})
+    hits = F.transform("__said", lambda s, i: F.struct(F.size(F.filter("__words", lambda k: F.lower(s).contains(k))).alias("n"), (-i).alias("at")))
+    rows = rows.withColumns({"__sizes": F.transform("__said", F.length), "__at": -F.array_max(hits)["at"]})
+    size, last = lambda i: F.get("__sizes", i), F.size("__said")
+
+    def grown(w: Column, _: Column) -> Column:
+        go = (w["total"] < limit) & ~w["end"]
+        after = go & (w["right"] < last) & ((w["total"] + size(w["right"]) <= limit) | (w["parts"] == 1))
+        total = w["total"] + F.when(after, size(w["right"])).otherwise(0)
+        parts = w["parts"] + after.cast("int")
+        before = go & (w["left"] >= 0) & (total < limit) & ((total + size(w["left"]) <= limit) | (parts == 1))
+        return F.struct(
+            (w["left"] - before.cast("int")).alias("left"),
+            (w["right"] + after.cast("int")).alias("right"),
+            (total + F.when(before, size(w["left"])).otherwise(0)).alias("total"),
+            (parts + before.cast("int")).alias("parts"),
+            (~(after | before)).alias("end"),
+        )
+
+    start = F.struct((F.col("__at") - 1).alias("left"), (F.col("__at") + 1).alias("right"), size(F.col("__at")).alias("total"), F.lit(1).alias("parts"), F.lit(False).alias("end"))
+    rows = rows.withColumn("__w", F.when(last > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), start, grown)))
+    window = F.array_join(F.slice("__said", F.col("__w.left") + 2, F.col("__w.right") - F.col("__w.left") - 1), " ")
+    out = rows.withColumns({"sentence": F.coalesce(F.get("__said", F.col("__at")), F.lit("")), "window": F.coalesce(window, F.lit(""))})
+    return out.drop("__said", "__words", "__sizes", "__at", "__w")
+
+
 def resolve_references(hits: DataFrame, entries: DataFrame, max_attached: int = MAX_ATTACHED) -> DataFrame:
     """References that hits cite in the sentence closest to the question.
 

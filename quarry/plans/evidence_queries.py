@@ -68,6 +68,11 @@ def best_sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.best_sentence(F.col("text"), keys).alias("sentence"))
 
 
+def sentence_windows(spark, sf_dir):
+    keys = F.array(F.lit("the"), F.lit("that"), F.lit("un"), F.lit("die"))
+    return C.sentence_windows(table(spark, sf_dir, "documents"), F.col("text"), keys).select("doc_id", "sentence", "window")
+
+
 CONCEPTS = R.Concepts(terms=("the", "and", "than", "ou"), biomarkers=("than-d",), interventions=("erin",), target_mesh=("en",), target_terms=("theat", "under"), competing=(("heit",), ("ción",)), lines=(("onre",), ("pation",)))
 NOW = 2026
 
@@ -152,6 +157,7 @@ QUERIES = {
     "verified_answers": verified_answers,
     "lexical_overlaps": lexical_overlaps,
     "best_sentences": best_sentences,
+    "sentence_windows": sentence_windows,
     "literature_ranking": literature_ranking,
     "evidence_tiers": evidence_tiers,
     "journal_lookup": journal_lookup,
@@ -224,6 +230,22 @@ WITH s AS (SELECT doc_id, unnest({_SENT}) AS s, generate_subscripts({_SENT}, 1)
 n AS (SELECT *, len(list_filter(['the', 'that', 'un', 'die'], lambda k: contains(lower(s), k))) AS n FROM s),
 b AS (SELECT doc_id, s FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1)
 SELECT d.doc_id, coalesce(s, '') AS sentence FROM documents d LEFT JOIN b USING (doc_id)""",
+    "sentence_windows": f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_SENT} AS ss FROM documents),
+n AS (SELECT doc_id, ss, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM t),
+b AS (
+  SELECT doc_id, ss, i FROM n
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(list_filter(['the', 'that', 'un', 'die'], lambda k: contains(lower(s), k))) DESC, i) = 1),
+w AS (
+  SELECT doc_id, ss, i, CAST(i - 1 AS BIGINT) AS l, CAST(i + 1 AS BIGINT) AS r, CAST(length(ss[i]) AS BIGINT) AS total, CAST(1 AS BIGINT) AS parts FROM b
+  UNION ALL
+  SELECT doc_id, ss, i, l - before, r + after, now + before * coalesce(length(ss[l]), 0), held + before FROM (
+    SELECT *, CASE WHEN l >= 1 AND now < 420 AND (now + length(ss[l]) <= 420 OR held = 1) THEN 1 ELSE 0 END AS before FROM (
+      SELECT *, total + after * coalesce(length(ss[r]), 0) AS now, parts + after AS held FROM (
+        SELECT *, CASE WHEN r <= len(ss) AND (total + length(ss[r]) <= 420 OR parts = 1) THEN 1 ELSE 0 END AS after FROM w WHERE total < 420)))
+  WHERE before + after > 0),
+g AS (SELECT doc_id, ss[i] AS s, array_to_string(ss[l + 1:r - 1], ' ') AS win FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY parts DESC) = 1)
+SELECT d.doc_id, coalesce(g.s, '') AS sentence, coalesce(g.win, '') AS "window" FROM documents d LEFT JOIN g USING (doc_id)""",
     "literature_ranking": f"""
 WITH {_ART},
 b AS (SELECT *, title || chr(10) || abstract AS t, lower(title || chr(10) || abstract) AS blob, count(*) OVER (PARTITION BY query_id) AS n FROM a),
