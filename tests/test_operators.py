@@ -198,3 +198,12 @@ def test_calls_of_the_null_key_share_its_limit(spark):
     assert got == {0: True, 1: False, 2: False, 5: True, 6: False}
     hits = {r["event_id"]: r["hit"] for r in activity.cache_hits(rows, 60).collect()}
     assert hits == {0: False, 1: True, 2: True, 5: False, 6: True}
+
+
+def test_fused_hits_that_need_no_review_come_first(spark):
+    from quarry.operators import search
+
+    a = spark.createDataFrame([(1, 5, 0.5, 1, True), (1, 6, 0.5, 2, False), (1, 7, 0.9, 3, None)], "query_id int, doc_id int, score double, rank int, needs_review boolean")
+    b = spark.createDataFrame([(1, 8, 0.5, 1), (1, 7, 0.1, 2)], "query_id int, doc_id int, score double, rank int")
+    got = search.fuse(a, b).orderBy("rank").select("doc_id", "score", "needs_review").collect()
+    assert [tuple(r) for r in got] == [(7, 0.54, False), (6, 0.5, False), (8, 0.5, False), (5, 0.5, True)]
