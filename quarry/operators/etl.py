@@ -136,12 +136,11 @@ def knowledge_stats(docs: DataFrame) -> DataFrame:
 
 
 def section_bounds(pages: DataFrame, signals: dict[str, str]) -> DataFrame:
-    """The first and last page with each signal (a pattern)."""
-    rows = [pages.filter(F.col("text").rlike(p)).agg(F.min("page").alias("first"), F.max("page").alias("last")).withColumn("signal", F.lit(k)) for k, p in signals.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """The first and last page with each signal (a pattern), in one scan."""
+    at = [F.when(F.col("text").rlike(p), F.col("page")) for p in signals.values()]
+    found = pages.agg(*(f(c).alias(f"{n}{k}") for k, c in enumerate(at) for n, f in (("first", F.min), ("last", F.max))))
+    rows = [F.struct(F.lit(name).alias("signal"), F.col(f"first{k}").alias("first"), F.col(f"last{k}").alias("last")) for k, name in enumerate(signals)]
+    return found.select(F.explode(F.array(*rows)).alias("r")).select("r.first", "r.last", "r.signal")
 
 
 def table_markdown(rows: Column) -> Column:
