@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import search as S
 from quarry.operators.index import TextIndex
+from quarry.operators.vector_index import VectorIndex
 from quarry.tables import new_path
 
 
@@ -73,6 +74,26 @@ def vector_topk(spark, sf_dir):
     return S.vector_search(table(spark, sf_dir, "embeddings"), _query_vectors(spark, sf_dir), 10).select("query_id", "doc_id", "score", "rank")
 
 
+def vector_index_topk(spark, sf_dir):
+    """The vectors of the even and odd labels are two batches of a stored index."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = VectorIndex(spark, new_path(spark, "vectors"))
+    index.learn(vectors)
+    even = F.coalesce(F.col("label") % 2 == 0, F.lit(False))
+    index.add(vectors.filter(even))
+    index.add(vectors.filter(~even))
+    return index.search(_query_vectors(spark, sf_dir), 10)
+
+
+def vector_index_deleted(spark, sf_dir):
+    """The vectors of a label are deleted from the index."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = VectorIndex(spark, new_path(spark, "vectors"))
+    index.add(vectors)
+    index.delete(vectors.filter("label = 3").select("vec_id"))
+    return index.search(_query_vectors(spark, sf_dir), 10)
+
+
 def _both(spark, sf_dir):
     lexical = S.bm25_search(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 16)
     vectors = table(spark, sf_dir, "embeddings")
@@ -133,6 +154,8 @@ QUERIES = {
     "term_statistics": term_statistics,
     "corpus_statistics": corpus_statistics,
     "vector_topk": vector_topk,
+    "vector_index_topk": vector_index_topk,
+    "vector_index_deleted": vector_index_deleted,
     "hybrid_fusion": hybrid_fusion,
     "rank_fusion": rank_fusion,
     "query_routing": query_routing,
@@ -157,6 +180,8 @@ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, u
     "corpus_statistics": f"""
 SELECT count(*) AS n_docs, CAST(sum(len({TERMS.format('text')})) AS BIGINT) AS n_terms, round(sum(len({TERMS.format('text')})) / greatest(count(*), 1), 6) AS avgdl FROM documents""",
     "vector_topk": f"WITH {_DENSE.format('vec_id FROM embeddings WHERE vec_id % 20 = 0', 10)} SELECT * FROM v",
+    "vector_index_topk": f"WITH {_DENSE.format('vec_id FROM embeddings WHERE vec_id % 20 = 0', 10)} SELECT * FROM v",
+    "vector_index_deleted": f"WITH {_DENSE.format('vec_id FROM embeddings WHERE vec_id % 20 = 0', 10).replace('CROSS JOIN x b WHERE', 'CROSS JOIN x b WHERE b.vec_id IN (SELECT vec_id FROM embeddings WHERE label IS DISTINCT FROM 3) AND')} SELECT * FROM v",
     "hybrid_fusion": f"""
 {_BOTH},
 m AS (
