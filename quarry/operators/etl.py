@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET, OVERLAP = 1100, 160
+#: Page numbers that a task goes through in order when books are cut into chapters.
+STRETCH = 1000
 TOC_LINE = r"(?m)^(.+?)\.{3,}\s*(?:MS-)?(\d+)\s*$"
 LOCATOR = r"(?i)(ncbi\.nlm\.nih\.gov|doi\.org|pubmed)"
 NUMBERED = r"(?m)^\s*\d{1,3}\.\s+[A-Z]"
@@ -54,6 +56,34 @@ def islands(rows: DataFrame, group: str, order: list[str], starts: Column, name:
     return rows.withColumn(name, F.sum(starts.cast("int")).over(w))
 
 
+def segments(pages: DataFrame, book: str = "book", page: str = "page", kind: str = "kind", stretch: int = STRETCH) -> DataFrame:
+    """The chapter of each page of a book whose chapters are body pages
+    and then their references: a chapter starts at the first body page and at each body
+    page that follows references. ``kind`` is ``body``, ``refs`` or ``toc``;
+    pages of contents neither have a chapter nor come between others, and references before any
+    body are in chapter 0. ``page`` is a whole number, each once in a book.
+
+    What a run of pages does to the state (in a body, in references) depends on the state
+    before it only at its first page of either kind. So stretches of
+    ``stretch`` page numbers are gone through each for itself, and a book's stretches, one row
+    each, are then put in order: a long book isn't one task."""
+    rows = pages.withColumn("__part", F.floor(F.col(page) / stretch))
+    real = F.when(F.col(kind) != "toc", F.col(kind))
+    inside = Window.partitionBy(book, "__part").orderBy(page)
+    rows = rows.withColumn("__last", F.last(real, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    opens, asks = (F.col(kind) == "body") & (F.col("__last") == "refs"), (F.col(kind) == "body") & F.col("__last").isNull()
+    rows = rows.withColumn("__opens", F.coalesce(opens, F.lit(False)).cast("int")).withColumn("__asks", asks.cast("int"))
+    parts = rows.groupBy(book, "__part").agg(F.max_by(real, F.when(real.isNotNull(), F.col(page))).alias("__end"), F.sum("__opens").alias("__n"), F.max("__asks").alias("__asked"))
+    before = Window.partitionBy(book).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__more", F.when(F.coalesce(F.last("__end", ignorenulls=True).over(before), F.lit("refs")) == "refs", F.col("__asked")).otherwise(0))
+    parts = parts.withColumn("__base", F.coalesce(F.sum(F.col("__n") + F.col("__more")).over(before), F.lit(0)))
+    # A first page that opens its stretch counts from there on.
+    inner = F.sum(F.col("__opens") + F.col("__asks") * F.col("__more")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(parts.select(book, "__part", "__base", "__more"), [book, "__part"]).withColumn("__inner", inner)
+    chapter = F.when(F.col(kind) != "toc", F.col("__base") + F.col("__inner")).cast("long")
+    return rows.withColumn("chapter", chapter).drop("__part", "__last", "__opens", "__asks", "__base", "__more", "__inner")
+
+
 def is_heading(line: Column) -> Column:
     return F.length(line).between(4, 80) & ~line.endswith(".") & F.substring(line, 1, 1).rlike(r"\p{Lu}")
 

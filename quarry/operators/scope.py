@@ -82,6 +82,25 @@ def ordered_union(lists: Sequence[DataFrame], most: int) -> DataFrame:
     return out.filter(F.col("position") <= most).select("query_id", "item", "position")
 
 
+def selected_pages(candidates: DataFrame, requested: DataFrame, most: int, kinds: Sequence[str], fallback: int = 2) -> DataFrame:
+    """The pages to look at for each question: those asked for
+    (``query_id``, ``item``, ``place``) that are among its candidates (the same and ``kind``), the
+    first ``most`` by place; for a question with none of them, candidates of the first of
+    ``kinds`` that it has, ``fallback`` at most. Returns ``query_id``, ``item``, ``kind``, ``tier`` (0: asked for) and ``position``.
+
+    A tier is a number, so the tier that counts is one minimum for each question, and only its first rows are ranked."""
+    one = candidates.groupBy("query_id", "item").agg(F.min_by("kind", "place").alias("kind"), F.min("place").alias("at"))
+    asked = requested.groupBy("query_id", "item").agg(F.min("place").alias("asked"))
+    tier = F.when(F.col("asked").isNotNull(), 0)
+    for k, kind in enumerate(kinds):
+        tier = tier.when(F.col("kind") == kind, k + 1)
+    rows = one.join(asked, ["query_id", "item"], "left").withColumn("tier", tier).filter("tier is not null")
+    first = rows.groupBy("query_id").agg(F.min("tier").alias("tier"))
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("asked", "at"), "item")
+    rows = rows.join(first, ["query_id", "tier"]).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most)
+    return rows.filter((F.col("tier") == 0) | (F.col("position") <= fallback)).select("query_id", "item", "kind", "tier", "position")
+
+
 def first_mentions(figures: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """figures: ``doc_id``, ``figure``, ``label``; paragraphs: ``doc_id``, ``at``,
     ``text``. The first paragraph of its document that names a figure's label."""

@@ -24,6 +24,15 @@ def page_kinds(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", E.is_toc(text).alias("toc"), E.is_reference_page(text).alias("refs"), (F.size(X.paragraphs(text))).alias("paragraphs"))
 
 
+def book_segments(spark, sf_dir):
+    """Sources are books, documents their pages; stand-ins for references are pages with an address or a license."""
+    text = F.coalesce("text", F.lit(""))
+    refs = E.is_reference_page(text) | text.rlike("@|icense")
+    kind = F.when(E.is_toc(text) | text.contains(" | "), "toc").when(refs, "refs").otherwise("body")
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), kind.alias("kind"))
+    return E.segments(pages.filter("book is not null"), stretch=100)
+
+
 def _source_pages(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("source").alias("article_id"), F.col("doc_id").alias("pos"), "text")
 
@@ -123,6 +132,7 @@ tails AS (SELECT {key}, trim(string_agg(s, ' ' ORDER BY i), ' ') AS tail FROM tc
 QUERIES = {
     "cleaned_pages": cleaned_pages,
     "page_kinds": page_kinds,
+    "book_segments": book_segments,
     "running_headers": running_headers,
     "shared_headers": shared_headers,
     "section_numbers": section_numbers,
@@ -153,6 +163,13 @@ SELECT doc_id, len(regexp_extract_all(text, '(?m)^(.+?)\.{3,}\s*(?:MS-)?(\d+)\s*
   regexp_matches(text, '(?mi)^\s*references\s*$') OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)(ncbi\.nlm\.nih\.gov|doi\.org|pubmed)'))) >= 3
     OR (len(regexp_extract_all(text, '(?m)^\s*\d{1,3}\.\s+[A-Z]')) >= 2 AND len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)(ncbi\.nlm\.nih\.gov|doi\.org|pubmed)'))) >= 2) AS refs,
   CAST(len(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS INT) AS paragraphs FROM documents""",
+    "book_segments": r"""
+WITH k AS (
+  SELECT source AS book, doc_id AS page, CASE WHEN len(regexp_extract_all(t, '(?m)^(.+?)\.{3,}\s*(?:MS-)?(\d+)\s*$')) >= 5 OR contains(t, ' | ') THEN 'toc' WHEN
+    regexp_matches(t, '(?mi)^\s*references\s*$') OR n >= 3 OR (len(regexp_extract_all(t, '(?m)^\s*\d{1,3}\.\s+[A-Z]')) >= 2 AND n >= 2) OR regexp_matches(t, '@|icense') THEN 'refs' ELSE 'body' END AS kind
+  FROM (SELECT *, coalesce(text, '') AS t, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '(?i)(ncbi\.nlm\.nih\.gov|doi\.org|pubmed)'))) AS n FROM documents WHERE source IS NOT NULL)),
+p AS (SELECT *, last_value(CASE WHEN kind <> 'toc' THEN kind END IGNORE NULLS) OVER (PARTITION BY book ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM k)
+SELECT book, page, kind, CAST(CASE WHEN kind <> 'toc' THEN sum(CASE WHEN kind = 'body' AND prior IS DISTINCT FROM 'body' THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY page) END AS BIGINT) AS chapter FROM p""",
     "running_headers": f"WITH {_HEADERS} SELECT article_id, header, n FROM b",
     "shared_headers": f"WITH {_HEADERS} SELECT article_id, header, n FROM b WHERE n >= greatest(3, floor(pages * 0.001))",
     "section_numbers": f"WITH {_SECTIONS} SELECT doc_id, pos, section_no, section FROM s",

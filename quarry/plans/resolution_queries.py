@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import graph as G
 from quarry.operators import layout as L
 from quarry.operators import resolution as X
+from quarry.operators import rules as R
 from quarry.operators import search as S
 from quarry.operators.knowledge import Entity
 from quarry.plans import graph_queries as Q
@@ -118,7 +119,34 @@ def footer_codes(spark, sf_dir):
     return L.footer_codes(_blocks(spark, sf_dir), F.lit(60.0), F.lit(100.0))
 
 
+def _dictionary(spark, sf_dir):
+    """Each question's first two and first three words are rules; the former capture two words."""
+    words = R.rule_words("query")
+    rules = questions(spark, sf_dir).select("query_id", F.explode(F.array(F.lit(2), F.lit(3))).alias("n"), words.alias("w"))
+    rules = rules.filter(F.size("w") >= F.col("n"))
+    return rules.select((F.col("query_id") * 10 + F.col("n")).alias("rule"), F.array_join(F.slice("w", 1, F.col("n")), " ").alias("alias"), F.col("query_id").alias("concept"), F.when(F.col("n") == 2, 2).alias("capture"))
+
+
+def rule_matches(spark, sf_dir):
+    return R.rule_matches(table(spark, sf_dir, "documents"), _dictionary(spark, sf_dir))
+
+
+def rule_concepts(spark, sf_dir):
+    return R.concepts(R.longest_matches(R.rule_matches(table(spark, sf_dir, "documents"), _dictionary(spark, sf_dir))))
+
+
+_RULE_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*')"
+_RULES = f"""
+d AS (SELECT doc_id, {_RULE_WORDS} AS w FROM documents),
+u AS (SELECT item_id * 10 + n AS rule, item_id AS concept, n, CASE WHEN n = 2 THEN 2 ELSE 0 END AS capture, list_aggregate(w[1:n], 'string_agg', ' ') AS alias
+  FROM (SELECT item_id, {_RULE_WORDS} AS w FROM benchmark), (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n),
+e AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+g AS (SELECT doc_id, i, n, list_aggregate(w[i + 1:i + n], 'string_agg', ' ') AS alias, w[i + n + 1:i + n + 2] AS tail FROM e, (SELECT unnest([2, 3]) AS n) WHERE i + n <= len(w)),
+m AS (SELECT doc_id, rule, concept, CAST(i AS INT) AS "at", CAST(u.n AS INT) AS n_words, CASE WHEN capture = 2 AND len(tail) = 2 THEN list_aggregate(tail, 'string_agg', ' ') END AS captured FROM g JOIN u ON g.alias = u.alias AND g.n = u.n)"""
+
 QUERIES = {
+    "rule_matches": rule_matches,
+    "rule_concepts": rule_concepts,
     "query_entities": query_entities,
     "query_expansion": query_expansion,
     "scoped_search": scoped_search,
@@ -167,6 +195,10 @@ r AS (SELECT 'src' || p_partkey % 30 AS article_id, p_size AS ref, 'ref-' || p_p
 _SEARCHED = _bm25(40).replace("unnest(" + TERMS.format("text") + ") AS term FROM benchmark", "unnest(" + TERMS.format("text || ' under that the'") + ") AS term FROM benchmark").replace("h AS (", "h0 AS (")
 
 ORACLE_SQL = {
+    "rule_matches": f"WITH {_RULES} SELECT * FROM m",
+    "rule_concepts": f"""
+WITH {_RULES}, l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, "at" ORDER BY n_words DESC, rule) = 1)
+SELECT doc_id, concept, count(*) AS n, min("at") AS first_at, arg_min(captured, "at") FILTER (WHERE captured IS NOT NULL) AS captured FROM l GROUP BY doc_id, concept""",
     "query_entities": f"WITH {_NAMED} SELECT DISTINCT query_id, CASE name WHEN 'The' THEN 'test:the' WHEN 'Und' THEN 'stage:und' ELSE 'outcome:de' END AS entity, name FROM en",
     "query_expansion": f"""
 WITH q AS (

@@ -58,6 +58,15 @@ def candidate_pages(spark, sf_dir):
     return P.ordered_union([c, a, b], 5)
 
 
+def selected_pages(spark, sf_dir):
+    """Sources are pages, of the kind that their documents' language stands for; the ones asked for are those of a question's second and fifth hits in English."""
+    hits = _hits(spark, sf_dir, 6).withColumn("item", F.col("source"))
+    kind = F.when(F.col("lang") == "fr", "decision").when(F.col("lang") == "de", "table").when(F.col("lang") == "en", "guideline").otherwise("other")
+    found = hits.select("query_id", "item", F.col("rank").alias("place"), kind.alias("kind"))
+    asked = hits.filter("rank in (2, 5) and lang = 'en' and query_id % 2 = 0").select("query_id", "item", F.col("rank").alias("place"))
+    return P.selected_pages(found, asked, 3, ("decision", "table", "guideline"))
+
+
 def evidence_numbers(spark, sf_dir):
     hits = _hits(spark, sf_dir, 3)
     a = hits.select("query_id", F.concat(F.lit("d"), "doc_id").alias("key"), F.col("rank").alias("place"))
@@ -113,6 +122,7 @@ QUERIES = {
     "guarded_hits": guarded_hits,
     "injected_hits": injected_hits,
     "candidate_pages": candidate_pages,
+    "selected_pages": selected_pages,
     "evidence_numbers": evidence_numbers,
     "figure_anchors": figure_anchors,
     "box_unions": box_unions,
@@ -147,6 +157,14 @@ WITH {_bm25(6)}, x AS (SELECT query_id, rank, source, lang FROM h JOIN documents
 u AS (SELECT query_id, lang AS item, rank AS place, 0 AS l FROM x UNION ALL SELECT query_id, source, rank, 1 FROM x WHERE rank <= 3 UNION ALL SELECT query_id, source, rank, 2 FROM x),
 f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, item ORDER BY l, place) = 1)
 SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY l, place, item) AS position FROM f QUALIFY position <= 5""",
+    "selected_pages": f"""
+WITH {_bm25(6)}, x AS (SELECT query_id, rank, source AS item, lang FROM h JOIN documents USING (doc_id)),
+c AS (SELECT query_id, item, arg_min(CASE lang WHEN 'fr' THEN 'decision' WHEN 'de' THEN 'table' WHEN 'en' THEN 'guideline' ELSE 'other' END, rank) AS kind, min(rank) AS met FROM x GROUP BY ALL),
+r AS (SELECT query_id, item, min(rank) AS asked FROM x WHERE rank IN (2, 5) AND lang = 'en' AND query_id % 2 = 0 GROUP BY ALL),
+t AS (SELECT *, CASE WHEN asked IS NOT NULL THEN 0 ELSE list_position(['decision', 'table', 'guideline'], kind) END AS tier FROM c LEFT JOIN r USING (query_id, item)),
+m AS (SELECT * FROM t WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY query_id))
+SELECT query_id, item, kind, CAST(tier AS INT) AS tier, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(asked, met), item) AS position FROM m
+QUALIFY position <= CASE WHEN tier = 0 THEN 3 ELSE 2 END""",
     "evidence_numbers": f"""
 WITH {_bm25(3)}, x AS (SELECT query_id, doc_id, rank, source FROM h JOIN documents USING (doc_id)),
 u AS (SELECT query_id, 'd' || doc_id AS key, rank AS place, 0 AS list FROM x UNION ALL SELECT query_id, source, rank, 1 FROM x)
