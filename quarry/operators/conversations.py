@@ -2,7 +2,8 @@
 
 ``pos`` orders siblings; a message without a parent is a root. Walks double
 their pointers, so their rounds grow with the logarithm of the depth. Trees may
-be of any size and depth; messages whose parents go round in a circle are an error.
+be of any size and depth; a walk that comes to messages whose parents go round in a circle is
+an error, circles elsewhere don't matter.
 """
 
 from __future__ import annotations
@@ -19,16 +20,20 @@ def _walk(heads: DataFrame, links: DataFrame) -> DataFrame:
 
     Pointers are doubled: each round knows every message's ancestor 1, 2, 4 ...
     levels up, adds the messages whose ancestor is found already, and joins the
-    pointers with themselves. Rounds are as many as the depth has binary digits."""
+    pointers with themselves. Rounds are as many as the depth has binary digits.
+    Below a circle pointers never end; no way without one is longer than the links
+    of a conversation, so the last round looks only for one that is."""
     kind = heads.schema["id"].dataType
     up = links.filter("id is not null and next_id is not null").select("conv_id", F.col("next_id").cast(kind).alias("id"), F.col("id").cast(kind).alias("above")).distinct()
     up, found, step = stage(up, "pointers"), stage(heads, "walk"), 1
-    most = up.count()
+    most = up.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     while not up.isEmpty():
-        if step > most:
-            raise ValueError("messages whose parents go round in a circle")
         below = up.select("conv_id", F.col("above").alias("id"), F.col("id").alias("below"))
         more = found.join(below, ["conv_id", "id"]).withColumns({"id": F.col("below"), "depth": (F.col("depth") + step).cast(heads.schema["depth"].dataType)})
+        if step > most:
+            if not more.isEmpty():
+                raise ValueError("messages whose parents go round in a circle")
+            break
         found = stage(found.unionByName(more.select(*found.columns)), "walk")
         higher = up.select("conv_id", F.col("id").alias("above"), F.col("above").alias("higher"))
         up = stage(up.join(higher, ["conv_id", "above"]).select("conv_id", "id", F.col("higher").alias("above")), "pointers")
