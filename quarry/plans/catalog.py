@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import conversation_queries, etl_queries, evidence_queries, graph_queries, record_queries, resolution_queries, scope_queries, search_queries
+from quarry.plans import conversation_queries, etl_queries, evidence_queries, graph_queries, record_queries, resolution_queries, scope_queries, search_queries, view_queries
 
-MODULES = (search_queries, conversation_queries, evidence_queries, graph_queries, etl_queries, scope_queries, resolution_queries, record_queries)
+MODULES = (search_queries, conversation_queries, evidence_queries, graph_queries, etl_queries, scope_queries, resolution_queries, record_queries, view_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
