@@ -165,3 +165,32 @@ def annotate(variants: DataFrame, lookups: Mapping[str, tuple[DataFrame, str]])
     for name, (table, default) in lookups.items():
         variants = variants.join(table.select("gene", F.col("value").alias(name)), "gene", "left").withColumn(name, F.coalesce(name, F.lit(default)))
     return variants
+
+
+#: What our levels are called in other frameworks; the last is for any other level.
+AMP_TIERS = {"L1": "Tier I", "L2": "Tier I/II", "L3": "Tier II", "L4": "Tier III", "L5": "Tier IV"}
+ESCAT_LEVELS = {"L1": "I-A", "L2": "I-B", "L3": "II-B", "L4": "III-A", "L5": "V"}
+ESCAT_PROGNOSTIC = {"L1": "IV", "L2": "IV", "L3": "IV", "L4": "V", "L5": "V"}
+THERAPY_KINDS = ("predictive", "therapeutic", "therapy")
+#: Classes of inherited variants by the words of their classification, the first that is found.
+ACMG_CLASSES = (("LP", "likely pathogenic"), ("P", r"(?<!likely )\bpathogenic\b"), ("LB", "likely benign"), ("B", r"(?<!likely )\bbenign\b"), ("VUS", "uncertain|vus|conflicting"))
+
+
+def framework_levels(level: Column, kind: Column, provider: Column, classification: Column) -> Column:
+    """A card's level (``L1`` to ``L5``) as ``amp`` tier; as ``escat`` level for
+    evidence of therapy or prognosis, else null; and the ``acmg`` class of ClinVar's
+    records of inherited variants, else null. Unknown levels count as ``L5``."""
+    level, kind = F.upper(F.coalesce(level, F.lit("L5"))), F.lower(F.coalesce(kind, F.lit("")))
+
+    def of(names: Mapping[str, str]) -> Column:
+        found = F.lit(names["L5"])
+        for known, name in names.items():
+            found = F.when(level == known, name).otherwise(found)
+        return found
+
+    therapy = F.exists(F.array(*map(F.lit, THERAPY_KINDS)), lambda k: kind.contains(k))
+    escat = F.when(therapy, of(ESCAT_LEVELS)).when(kind.contains("prognostic"), of(ESCAT_PROGNOSTIC))
+    said = F.lower(F.coalesce(classification, F.lit("")))
+    acmg = F.coalesce(*[F.when(said.rlike(words), F.lit(name)) for name, words in ACMG_CLASSES])
+    inherited = (F.lower(F.coalesce(provider, F.lit(""))) == "clinvar") & kind.contains("germline")
+    return F.struct(of(AMP_TIERS).alias("amp"), escat.alias("escat"), F.when(inherited, acmg).alias("acmg"))

@@ -1,13 +1,17 @@
-"""Concept graphs over ``orders``, figures of answers over ``documents`` and ``benchmark``, word grids over ``lineitem``."""
+"""Concept graphs over ``orders``, figures and traces of answers over ``documents`` and ``benchmark``, word grids over ``lineitem``, levels over ``part``."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import chapters as H
 from quarry.operators import concepts as K
 from quarry.operators import figures as I
 from quarry.operators import grids as W
+from quarry.operators import molecular as M
 from quarry.operators import search as S
+from quarry.operators import traces as T
+from quarry.plans.evidence_queries import _SENT
 from quarry.plans.search_queries import _bm25, questions, table
 
 
@@ -98,7 +102,79 @@ def reflowed_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", W.is_reflow(F.split_part("text", F.lit("\n"), F.lit(1))).alias("reflow"))
 
 
+def _asked(spark, sf_dir):
+    """Each question is searched by its text alone; its scope and the names of it go by its number."""
+    q = F.col("query_id")
+    articles = F.when(q % 4 > 0, F.array(F.lit("src1"), F.lit("src2")))
+    return questions(spark, sf_dir).select("query_id", "query", F.array("query").alias("searches"), articles.alias("articles"), F.when(q % 4 > 1, F.array(F.lit("DE"))).alias("modules"), F.when(q % 4 > 2, F.array(F.lit("src5"))).alias("terms"))
+
+
+def _found(spark, sf_dir):
+    hits = S.bm25_search(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 5)
+    return hits.join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id").withColumnRenamed("doc_id", "source_id")
+
+
+def evidence_traces(spark, sf_dir):
+    rows = T.evidence_trace(_found(spark, sf_dir), _asked(spark, sf_dir))
+    return rows.select("query_id", "source_id", "rank", "matched_sentence", "paragraph_index", F.array_join("matched_terms", ",").alias("terms"), F.round("confidence", 6).alias("confidence"))
+
+
+def _hit_triples(spark, sf_dir):
+    """Each hit is a triple from the second word of its text to its source; the last of a question stands in."""
+    d = F.col("source_id")
+    ids = F.when(d % 3 > 0, F.array(F.concat(F.lit("disc-"), "source", F.lit("-p1-c2")), F.concat(F.lit("page-"), F.upper("lang"), F.lit("-3")))).otherwise(F.array(F.concat(F.lit("page-"), d)))
+    return _found(spark, sf_dir).select(
+        "query_id",
+        "rank",
+        F.concat(F.when(F.col("rank") == 5, "synth:").otherwise("t:"), d).alias("triple_id"),
+        F.when(d % 7 > 0, F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(2))).alias("subject_name"),
+        F.lit("MENTIONS").alias("relation"),
+        F.col("source").alias("object_name"),
+        (F.lit(1.0) / F.col("rank")).alias("confidence"),
+        F.when(d % 11 == 0, "fallback").alias("validation_status"),
+        F.lit(None).cast("string").alias("review_status"),
+        ids.alias("evidence_source_ids"),
+    )
+
+
+def prompt_triples(spark, sf_dir):
+    return T.prompt_triples(_hit_triples(spark, sf_dir), _asked(spark, sf_dir)).select("query_id", "rank", "triple_id")
+
+
+def reasoning_traces(spark, sf_dir):
+    kept = T.prompt_triples(_hit_triples(spark, sf_dir), _asked(spark, sf_dir))
+    rows = T.reasoning_trace(_asked(spark, sf_dir), _found(spark, sf_dir), kept)
+    evidence = F.transform("evidence", lambda e: F.concat_ws(":", e["rank"], e["source_id"], e["paragraph_index"], F.size(e["matched_terms"])))
+    steps = F.transform("steps", lambda t: F.concat_ws(":", t["rank"], t["triple_id"]))
+    return rows.select("query_id", "question", F.array_join("keywords", ",").alias("keywords"), F.array_join(evidence, ",").alias("evidence"), F.array_join(steps, ",").alias("steps"), "evidence_count", "step_count")
+
+
+def chapter_labels(spark, sf_dir):
+    """Documents of a source are chapters of a book; its contents list the first lines of those in English, in upper case."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chapter"), "lang", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+    chapters = docs.select("doc_id", "chapter", F.slice("l", 1, 3).alias("lines"), F.when(F.col("chapter") % 4 > 0, F.get("l", F.lit(0))).alias("heading"))
+    contents = docs.filter("lang = 'en'").select("doc_id", F.col("chapter").alias("at"), F.upper(F.get("l", F.lit(0))).alias("title"))
+    return H.chapter_labels(chapters, contents, SUBJECTS)
+
+
+SUBJECTS = (("(?i)tion", "tion", "On tion"), ("(?i)eau", "water", "On eau"))
+
+
+def framework_levels(spark, sf_dir):
+    k = F.col("p_partkey")
+    level = F.when(k % 7 > 0, F.concat(F.lit("l"), k % 7))
+    kind = F.get(F.array(*map(F.lit, ("Predictive", "prognostic", "germline", "Targeted therapy"))), (k % 5).cast("int"))
+    said = F.get(F.array(*map(F.lit, ("Pathogenic", "Likely pathogenic", "benign", "Likely benign", "VUS", "none"))), (k % 8).cast("int"))
+    provider = F.when(k % 3 == 0, "civic").otherwise("ClinVar")
+    return table(spark, sf_dir, "part").select("p_partkey", M.framework_levels(level, kind, provider, said).alias("f")).select("p_partkey", "f.*")
+
+
 QUERIES = {
+    "evidence_traces": evidence_traces,
+    "prompt_triples": prompt_triples,
+    "reasoning_traces": reasoning_traces,
+    "chapter_labels": chapter_labels,
+    "framework_levels": framework_levels,
     "concept_edges": concept_edges,
     "concept_views": concept_views,
     "figure_sources": figure_sources,
@@ -121,7 +197,50 @@ _FIGURES = f"""{_bm25(6)},
 hit AS (SELECT query_id, rank, upper(lang) || '-' || (doc_id % 5) AS code, doc_id % 7 AS pdf FROM h JOIN documents USING (doc_id)),
 fig AS (SELECT query_id, 'f' || rank AS figure, 7 - rank AS place, CASE WHEN query_id % 3 = 0 AND rank > 1 THEN 'FX-' || rank ELSE code END AS code, CASE WHEN rank % 3 = 0 THEN pdf + 1 ELSE pdf END AS pdf, CASE WHEN rank % 2 = 0 THEN rank END AS idx FROM hit)"""
 
+_TRACES = f"""{_bm25(5)},
+kw AS (SELECT item_id AS query_id, text AS query, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 2)[:8] AS ks FROM benchmark),
+fd AS (SELECT query_id, doc_id AS source_id, rank, score, text, lang, source, ks, query FROM h JOIN documents USING (doc_id) JOIN kw USING (query_id)),
+sn AS (SELECT query_id, source_id, unnest({_SENT}) AS s, generate_subscripts({_SENT}, 1) AS i, ks FROM fd),
+bs AS (SELECT query_id, source_id, arg_max(s, len(list_filter(ks, lambda k: contains(lower(s), lower(k)))) * 1000000 - i) AS s FROM sn GROUP BY ALL),
+ev AS (
+  SELECT query_id, source_id, rank, substr(coalesce(s, ''), 1, 260) AS said, list_filter(ks, lambda k: contains(lower(text), lower(k))) AS ts, score,
+    list_filter(regexp_split_to_array(text, '\\n{{2,}}'), lambda p: regexp_matches(p, '\\S')) AS ps FROM fd LEFT JOIN bs USING (query_id, source_id)),
+tr AS (
+  SELECT query_id, source_id, rank, greatest(coalesce(list_position(list_transform(ps, lambda p: said <> '' AND contains(p, said)), true), 0) - 1, 0) AS para, said, ts, score FROM ev),
+pt AS (
+  SELECT query_id, rank, 't:' || source_id AS triple_id, split_part(text, ' ', 2) AS subject, source, lang, source_id, query FROM fd
+  WHERE rank < 5 AND source_id % 7 > 0 AND source_id % 11 > 0 AND trim(split_part(text, ' ', 2)) <> '' AND trim(source) <> ''),
+ok AS (
+  SELECT query_id, rank, triple_id FROM pt WHERE CASE WHEN query_id % 4 = 0 THEN true
+    WHEN source_id % 3 > 0 THEN source IN ('src1', 'src2') OR (query_id % 4 > 1 AND upper(lang) = 'DE')
+    ELSE (query_id % 4 > 2 AND contains(lower(subject || ' ' || source), 'src5'))
+      OR len(list_filter(regexp_split_to_array(lower(subject || ' ' || source), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 3 AND contains(lower(query), x))) > 0 END)"""
+
 ORACLE_SQL = {
+    "evidence_traces": f"WITH {_TRACES} SELECT query_id, source_id, rank, said AS matched_sentence, CAST(para AS INT) AS paragraph_index, array_to_string(ts, ',') AS terms, round(score, 6) AS confidence FROM tr",
+    "prompt_triples": f"WITH {_TRACES} SELECT * FROM ok",
+    "reasoning_traces": f"""
+WITH {_TRACES},
+ea AS (SELECT query_id, string_agg(concat_ws(':', rank, source_id, para, len(ts)), ',' ORDER BY rank) AS evidence, count(*) AS n FROM tr GROUP BY query_id),
+sa AS (SELECT query_id, string_agg(rank || ':' || triple_id, ',' ORDER BY rank) AS steps, count(*) AS m FROM ok GROUP BY query_id)
+SELECT query_id, query AS question, array_to_string(ks, ',') AS keywords, coalesce(evidence, '') AS evidence, coalesce(steps, '') AS steps, CAST(coalesce(n, 0) AS INT) AS evidence_count, CAST(coalesce(m, 0) AS INT) AS step_count
+FROM kw LEFT JOIN ea USING (query_id) LEFT JOIN sa USING (query_id)""",
+    "chapter_labels": r"""
+WITH d AS (SELECT source AS doc_id, doc_id AS chapter, lang, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+c AS (SELECT doc_id, trim(regexp_replace(lower(l[1]), '\s+', ' ', 'g')) AS key, arg_min(upper(l[1]), chapter) AS known FROM d WHERE lang = 'en' GROUP BY ALL HAVING key <> ''),
+x AS (SELECT doc_id, chapter, unnest(l[:3]) AS line, generate_subscripts(l[:3], 1) AS i FROM d),
+t AS (SELECT x.doc_id, chapter, arg_min(known, i) AS known FROM x JOIN c ON x.doc_id = c.doc_id AND c.key = trim(regexp_replace(lower(line), '\s+', ' ', 'g')) GROUP BY ALL),
+n AS (SELECT d.doc_id, d.chapter, known, nullif(trim(CASE WHEN d.chapter % 4 > 0 THEN l[1] ELSE '' END), '') AS heading FROM d LEFT JOIN t ON d.doc_id = t.doc_id AND d.chapter = t.chapter),
+m AS (SELECT *, coalesce(known, heading) AS name FROM n)
+SELECT doc_id, chapter,
+  CASE WHEN name IS NULL THEN 'general' WHEN regexp_matches(name, '(?i)tion') THEN 'tion' WHEN regexp_matches(name, '(?i)eau') THEN 'water' ELSE coalesce(nullif(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'general') END AS article_id,
+  CASE WHEN name IS NULL THEN 'General' WHEN regexp_matches(name, '(?i)tion') THEN 'On tion' WHEN regexp_matches(name, '(?i)eau') THEN 'On eau' ELSE name END AS title,
+  CASE WHEN known IS NOT NULL THEN 'contents' WHEN heading IS NOT NULL THEN 'heading' ELSE 'default' END AS told_by FROM m""",
+    "framework_levels": """
+WITH x AS (SELECT p_partkey, p_partkey % 7 AS l, ['predictive', 'prognostic', 'germline', 'targeted therapy'][p_partkey % 5 + 1] AS kind, ['P', 'LP', 'B', 'LB', 'VUS'][p_partkey % 8 + 1] AS c FROM part)
+SELECT p_partkey, 'Tier ' || CASE l WHEN 1 THEN 'I' WHEN 2 THEN 'I/II' WHEN 3 THEN 'II' WHEN 4 THEN 'III' ELSE 'IV' END AS amp,
+  CASE WHEN kind IN ('predictive', 'targeted therapy') THEN CASE l WHEN 1 THEN 'I-A' WHEN 2 THEN 'I-B' WHEN 3 THEN 'II-B' WHEN 4 THEN 'III-A' ELSE 'V' END WHEN kind = 'prognostic' THEN CASE WHEN l BETWEEN 1 AND 3 THEN 'IV' ELSE 'V' END END AS escat,
+  CASE WHEN kind = 'germline' AND p_partkey % 3 > 0 THEN c END AS acmg FROM x""",
     "concept_edges": f"WITH {_EDGES} SELECT * FROM edges",
     "concept_views": f"""
 WITH RECURSIVE {_EDGES},
