@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.text import capitals
 from quarry.operators import chapters as H
 from quarry.operators import concepts as K
 from quarry.operators import figures as I
@@ -153,7 +154,7 @@ def chapter_labels(spark, sf_dir):
     """Documents of a source are chapters of a book; its contents list the first lines of those in English, in upper case."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chapter"), "lang", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
     chapters = docs.select("doc_id", "chapter", F.slice("l", 1, 3).alias("lines"), F.when(F.col("chapter") % 4 > 0, F.get("l", F.lit(0))).alias("heading"))
-    contents = docs.filter("lang = 'en'").select("doc_id", F.col("chapter").alias("at"), F.upper(F.get("l", F.lit(0))).alias("title"))
+    contents = docs.filter("lang = 'en'").select("doc_id", F.col("chapter").alias("at"), capitals(F.get("l", F.lit(0))).alias("title"))
     return H.chapter_labels(chapters, contents, SUBJECTS)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import concepts as K
 from quarry.operators import figures as I
 from quarry.operators import grids as W
+from quarry.plans import view_queries as V
 
 NODES = "node string, kind string, label string, relation string, subject_id string, subject_name string, object_id string, object_name string, extra int"
 
@@ -139,3 +140,11 @@ def test_kinds_of_grids(spark):
     texts = [("", True), (None, True), ("no end", True), ("n" * 400, False), ("a。", False), ("分层 a。", True), ("分层 a。b。", False)]
     got = spark.createDataFrame([(t, w) for t, w in texts], "text string, want boolean").select("want", W.is_reflow(F.col("text")).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in got)
+
+
+def test_titles_in_capitals_lead_back_to_their_lines(spark, tmp_path):
+    texts = ["große straße\nx", "große straße\ny", "ŉ ﬁn\nz"]
+    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["chapter"]: (r["title"], r["told_by"]) for r in V.chapter_labels(spark, str(tmp_path)).collect()}
+    assert got == {0: ("GROẞE STRAẞE", "contents"), 1: ("GROẞE STRAẞE", "contents"), 2: ("ŉ ﬁN", "contents")}
