@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import contains_any, doi_key, journal_key, overlap, pieces, title_key, token_set
+from quarry.tables import stage
 
 #: Scores of journal tiers; a journal that isn't known has the last.
 JOURNAL_SCORES = {"T0": 1.0, "T1": 0.9, "T2G": 0.85, "T2": 0.75, "T3": 0.4}
@@ -185,15 +186,20 @@ def rank_articles(articles: DataFrame, concepts: Concepts, now: int, top_k: int
     ``abstract``, ``pub_types``, ``mesh``, ``mesh_major``, ``language``, ``year``,
     ``journal_tier``, ``in_guideline``. Articles without any required term go,
     unless a question would lose all. Fitting populations come first, then
-    better tiers, then works that guidelines cite, then the score."""
+    better tiers, then works that guidelines cite, then the score.
+
+    What a question's articles have in common is one row for each question, counted
+    first, so only the best ``top_k`` of a task meet in one place."""
     title, abstract = F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))
     rows = articles.withColumn("blob", F.lower(F.concat(title, F.lit("\n"), abstract)))
-    per = Window.partitionBy("query_id")
-    rows = rows.withColumn("n", F.count("*").over(per))
+    match = F.lit(True)
     if concepts.must:
         squashed = _squashed(F.col("blob"))
         match = reduce(lambda a, t: a | squashed.contains(t.replace("-", "").replace(" ", "")), concepts.must, F.lit(False))
-        rows = rows.withColumn("match", match).withColumn("any", F.max("match").over(per)).filter(F.col("match") | ~F.col("any")).drop("match", "any")
+    rows = rows.withColumn("match", match)
+    counts = rows.groupBy(F.col("query_id").alias("__query")).agg(F.count("*").alias("n"), F.max("match").alias("any"))
+    counts = stage(counts, "articles-counts")
+    rows = rows.join(counts, F.col("query_id").eqNullSafe(F.col("__query"))).filter(F.col("match") | ~F.col("any")).drop("match", "any", "__query")
     wanted = token_set(F.lit(" ".join(concepts.terms)))
     rank_part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - (F.col("place") - 1) / F.greatest("n", F.lit(1))))
     bonus = must_bonus(F.lower(title), F.col("blob"), concepts.must)
@@ -210,7 +216,7 @@ def rank_articles(articles: DataFrame, concepts: Concepts, now: int, top_k: int
     )
     score = 0.40 * F.col("population") + 0.25 * F.col("journal_score") + 0.20 * F.col("recency") + 0.15 * F.col("relevance") - F.col("penalty")
     rows = rows.withColumn("score", F.round(score, 6)).drop("blob", "n")
-    order = per.orderBy((F.col("population") < 0.35).cast("int"), "tier", (~F.col("in_guideline")).cast("int"), F.desc("score"), "place")
+    order = Window.partitionBy("query_id").orderBy((F.col("population") < 0.35).cast("int"), "tier", (~F.col("in_guideline")).cast("int"), F.desc("score"), "place")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
