@@ -50,3 +50,27 @@ def test_search_in_blocks_is_exact_and_stored(spark, monkeypatch):
     assert {tuple(r) for r in found.select("query_id", "doc_id", "score", "rank").collect()} == plain(docs, queries, 7, can)
     assert S.bm25_search(frame, asked.limit(0), 7).count() == 0
     assert S.bm25_search(frame.limit(0), asked, 7).count() == 0
+
+
+def test_vector_search_holds_few_scores_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    q, x = rng.integers(-3, 4, (6000, 4)).astype(float) + 0.5, rng.integers(-3, 4, (3000, 4)).astype(float) + 0.5
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    shared = type("Shared", (), {"value": (np.arange(6000), unit(q))})
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + 1500)), pa.array(x[lo : lo + 1500].tolist())], ["id", "v"]) for lo in (0, 1500)]
+    tracemalloc.start()
+    out = pa.Table.from_batches(S._nearest(shared, 5)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    s = np.round(unit(q[:50]) @ unit(x).T, 6)
+    best = np.lexsort((np.broadcast_to(np.arange(3000), s.shape), -s), axis=1)[:, :5]
+    got = {}
+    for a, b in zip(out["query_id"].to_pylist(), out["doc_id"].to_pylist(), strict=True):
+        got.setdefault(a, []).append(b)
+    assert [got[i] for i in range(50)] == best.tolist() and len(out) == 6000 * 5
