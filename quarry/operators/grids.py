@@ -5,11 +5,10 @@ words: ``page``, ``word_id``, ``x0``, ``y0``, ``text``. A page is a small group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.etl import clusters
-from quarry.operators.layout import row_groups
+from quarry.operators.layout import rows_of_pages
 
 #: How far apart columns start, how few words are no table, and what heads of tables, notes,
 #: references and table words in running text look like.
@@ -31,12 +30,18 @@ def word_grid(words: DataFrame, gap: float = COLUMN_GAP, least: int = LEAST_WORD
     belongs to the nearest one, of equal ones to the left. Rows are those of
     ``layout.row_groups``. Words of a cell stand in order of ``x0`` and
     ``word_id``. Blank words and those without a place are left out; pages of
-    fewer than ``least`` words or two columns have no grid."""
+    fewer than ``least`` words or two columns have no grid.
+
+    Words are read once and stay dealt by page from the columns to the grid."""
     words = words.filter(F.trim(F.coalesce("text", F.lit(""))) != "").filter("page is not null and word_id is not null and x0 is not null and y0 is not null").withColumn("text", F.trim("text"))
-    columns = clusters(words, "page", "x0", gap).groupBy("page").agg(F.array_sort(F.collect_list("centre")).alias("centres"), F.sum("n").alias("n"))
-    columns = columns.filter((F.col("n") >= least) & (F.size("centres") >= 2)).drop("n")
-    rows = row_groups(words.join(columns.select("page"), "page", "left_semi")).select("page", "word_id", "row")
-    rows = words.join(rows, ["page", "word_id"]).join(columns, "page")
+    page = Window.partitionBy("page")
+    by_x = page.orderBy("x0")
+    rows = rows_of_pages(words.select("page", "word_id", "x0", "y0", "text"))
+    rows = rows.withColumn("new", (F.coalesce(F.col("x0") - F.lag("x0").over(by_x), F.lit(0.0)) > gap).cast("int"))
+    rows = rows.withColumn("cluster", F.sum("new").over(by_x.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("centre", F.avg("x0").over(Window.partitionBy("page", "cluster")))
+    rows = rows.withColumns({"centres": F.array_sort(F.collect_set("centre").over(page)), "n": F.count("*").over(page)})
+    rows = rows.filter((F.col("n") >= least) & (F.size("centres") >= 2))
     near = F.array_min(F.transform("centres", lambda c, i: F.struct(F.abs(F.col("x0") - c).alias("far"), i.alias("at"))))["at"]
     cells = rows.groupBy("page", "row", near.alias("column")).agg(F.array_sort(F.collect_list(F.struct("x0", "word_id", "text"))).alias("w"), F.any_value(F.size("centres")).alias("width"))
     cells = cells.select("page", "row", "width", "column", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("cell"))

@@ -5,9 +5,13 @@ All take tables that a page reader has made; a page is a small group.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 LANES = ("full", "left", "right")
 #: How far a wide box reaches on either side of the middle; the height of a row of words; how much
@@ -38,21 +42,40 @@ def row_groups(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
     down, and one belongs to the row while it is no further than ``tolerance``
     from the row's height, which drifts halfway to each word."""
 
-    def of_page(words: pd.DataFrame) -> pd.DataFrame:
-        band = (words["y0"] / tolerance).round() * tolerance
-        words = words.assign(band=band).sort_values(["band", "x0", "word_id"])
-        row, height, rows = 0, None, []
-        for y in words["y0"]:
-            if height is None or abs(y - height) <= tolerance:
-                height = y if height is None else (height + y) / 2
-            else:
-                row, height = row + 1, y
-            rows.append(row)
-        return words.assign(row=rows)[["page", "word_id", "x0", "y0", "row"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("page", "word_id", "x0", "y0")) + ", row int"
-    return words.select("page", "word_id", "x0", "y0").groupBy("page").applyInPandas(of_page, schema)
+    return rows_of_pages(words.select("page", "word_id", "x0", "y0"), tolerance)
+
+
+def rows_of_pages(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
+    """``row_groups`` beside all other columns. Words are dealt by page and gone
+    through in order, so a task holds a batch of them and one height, not a page."""
+    order = [F.asc_nulls_last("__band"), F.asc_nulls_last("x0"), "word_id"]
+    words = words.withColumn("__band", F.rint(F.col("y0") / tolerance) * tolerance)
+    words = words.repartition("page").sortWithinPartitions("page", *order).drop("__band")
+    return words.mapInArrow(_rows(tolerance), StructType([*words.schema.fields, StructField("row", IntegerType())]))
+
+
+def _rows(tolerance: float) -> Callable:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, started, row, height = None, False, 0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pages = batch.column(batch.schema.get_field_index("page"))
+            codes = pages.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new = np.append(not started or pages[0].as_py() != page, codes[1:] != codes[:-1])
+            rows = []
+            for y, first in zip(batch.column(batch.schema.get_field_index("y0")).cast(pa.float64()).to_numpy(zero_copy_only=False).tolist(), new.tolist(), strict=True):
+                if first:
+                    row, height = 0, y
+                elif abs(y - height) <= tolerance:
+                    height = (height + y) / 2
+                else:
+                    row, height = row + 1, y
+                rows.append(row)
+            page, started = pages[-1].as_py(), True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int32())], [*batch.schema.names, "row"])
+
+    return number
 
 
 def is_capital_heading(line: Column) -> Column:

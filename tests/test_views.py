@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import concepts as K
 from quarry.operators import figures as I
 from quarry.operators import grids as W
+from quarry.operators import layout as L
 from quarry.plans import view_queries as V
 
 NODES = "node string, kind string, label string, relation string, subject_id string, subject_name string, object_id string, object_name string, extra int"
@@ -148,3 +149,26 @@ def test_titles_in_capitals_lead_back_to_their_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["chapter"]: (r["title"], r["told_by"]) for r in V.chapter_labels(spark, str(tmp_path)).collect()}
     assert got == {0: ("GROẞE STRAẞE", "contents"), 1: ("GROẞE STRAẞE", "contents"), 2: ("ŉ ﬁN", "contents")}
+
+
+def test_rows_of_pages_are_streamed(spark):
+    random.seed(8)
+    words = [(p, i, float(random.randrange(0, 300, 30)), random.random() * 60) for p in (None, 1, 2, 3) for i in range(50)] + [(4, 0, 1.0, None), (4, 1, 0.0, 3.0)]
+    frame = spark.createDataFrame(words, "page int, word_id int, x0 double, y0 double").repartition(3)
+    want = {}
+    for p in (None, 1, 2, 3):
+        row, height = 0, None
+        for _, x, i, y in sorted((round(y / 8.0) * 8.0, x, i, y) for q, i, x, y in words if q == p):
+            if height is not None and abs(y - height) > 8.0:
+                row, height = row + 1, y
+            height = y if height is None else (height + y) / 2
+            want[p, i] = row
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = L.row_groups(frame)
+        got = {(r["page"], r["word_id"]): r["row"] for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want | {(4, 1): 0, (4, 0): 1}
+    # Whole pages don't become frames in Python, one by one.
+    assert "FlatMapGroupsInPandas" not in rows._jdf.queryExecution().toString()
