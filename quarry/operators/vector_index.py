@@ -3,8 +3,8 @@
 An index is a folder of tables:
 
     centers    cell, center: learned once, on at most about ``SAMPLE`` vectors
-    blocks     ids, values (unit vectors, one after another), least, most
-               (cosines to the center); by batch and cell
+    blocks     cell, ids, values (unit vectors, one after another), least, most
+               (cosines to the center); by batch and bucket, a range of cells
     cells      cell, n, least, most; by batch; negative n for deleted vectors
     deleted    cell, first, gone: ids gone from a block; by batch
 
@@ -53,11 +53,13 @@ SAMPLE = 50_000
 BLOCK, LOT = 256, 256
 #: Cells that are scored for a question before others are left out; more where these hold fewer than k.
 FIRST_CELLS = 2
+#: Folders of blocks in a batch, the same for all of an index's life: as few as the driver lists by itself, however many cells there are.
+BUCKETS = 16
 #: Room for rounding in bounds, in radians.
 SLACK = 1e-7
 
 _SCHEMAS = {
-    "blocks": "ids array<long>, values array<double>, least double, most double",
+    "blocks": "cell int, ids array<long>, values array<double>, least double, most double",
     "cells": "cell int, n long, least double, most double",
     "deleted": "cell int, first long, gone array<long>",
 }
@@ -82,7 +84,7 @@ class VectorIndex:
 
     def _table(self, name: str) -> DataFrame:
         """A table's rows in batches that count."""
-        schema = _SCHEMAS[name] + ", batch int" + (", cell int" if name == "blocks" else "")
+        schema = _SCHEMAS[name] + ", batch int" + (", bucket int" if name == "blocks" else "")
         if not self._exists(name):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
@@ -141,13 +143,18 @@ class VectorIndex:
         shared = self.spark.sparkContext.broadcast(centers)
         placed = stage(rows.mapInArrow(_placed(shared), "id long, v array<double>, cell int, near double"), "vectors-placed")
         order = ["cell", "near", "id"]
-        packed = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_packed, "cell int, " + _SCHEMAS["blocks"])
-        packed.write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/blocks/batch={batch}")
+        packed = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_packed, _SCHEMAS["blocks"])
+        packed = packed.withColumn("bucket", self._bucket(len(centers)))
+        packed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks/batch={batch}")
         stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("least"), F.max("near").alias("most"))
         self._mark(batch, stats)
         shared.unpersist()
         return batch
 
+    @staticmethod
+    def _bucket(cells: int) -> Column:
+        return F.floor(F.col("cell") * BUCKETS / F.lit(cells)).cast("int")
+
     def _mark(self, batch: int, stats: DataFrame) -> None:
         stats.select("cell", "n", "least", "most").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cells/batch={batch}")
 
@@ -228,7 +235,9 @@ class VectorIndex:
         lots = pairs.join(F.broadcast(counts), "cell").groupBy("cell", F.pmod(F.xxhash64("query_id"), F.col("lots")).alias("lot"))
         lots = lots.agg(F.collect_list(F.struct("query_id", "floor", "v")).alias("q"))
         lots = lots.select("cell", F.col("q.query_id").alias("query_ids"), F.col("q.floor").alias("floors"), F.flatten("q.v").alias("vectors"))
-        blocks = self._living().filter(F.col("cell").isin(wanted)).select("cell", "ids", "values", "least", "most", "gone")
+        cells = len(shared.value[0])
+        buckets = sorted({cell * BUCKETS // cells for cell in wanted})
+        blocks = self._living().filter(F.col("bucket").isin(buckets)).select("cell", "ids", "values", "least", "most", "gone")
         return lots.join(blocks, "cell").mapInArrow(_nearest(shared, top_k), "query_id long, doc_id long, score double")
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import search as S
 from quarry.operators import vector_index as V
@@ -86,3 +87,15 @@ def test_questions_that_find_nothing_and_blocks_of_one_cell(spark, clusters, tmp
     empty = V.VectorIndex(spark, f"file://{tmp_path}/e")
     empty.add(good.limit(0))
     assert empty.search(asked, 3).count() == 0
+
+
+def test_folders_of_blocks_are_few_however_many_cells(spark, tmp_path):
+    vectors = [(i, rng.normal(size=4).tolist()) for rng in [np.random.default_rng(4)] for i in range(900)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    index = V.VectorIndex(spark, f"file://{tmp_path}/few")
+    assert index.learn(frame, cells=60) > 32
+    index.add(frame)
+    assert len(list((tmp_path / "few" / "blocks" / "batch=0").glob("*=*"))) <= 16
+    asked = frame.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    best = {r["query_id"]: r["doc_id"] for r in index.search(asked, 3).filter("rank = 1").collect()}
+    assert best == {i: i for i in range(0, 900, 50)}
