@@ -5,6 +5,9 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from quarry.operators import ranking as R
 from quarry.operators import search as S
 
 
@@ -74,3 +77,14 @@ def test_vector_search_holds_few_scores_at_a_time():
     for a, b in zip(out["query_id"].to_pylist(), out["doc_id"].to_pylist(), strict=True):
         got.setdefault(a, []).append(b)
     assert [got[i] for i in range(50)] == best.tolist() and len(out) == 6000 * 5
+
+
+def test_articles_of_a_question_meet_only_as_its_best(spark):
+    rows = [(q, i, f"title {i}", "x beta" if i % 2 else "y", "eng") for q in ("a", None) for i in range(1, 9)] + [("z", 1, "none", "y", "eng")]
+    frame = spark.createDataFrame(rows, "query_id string, place int, title string, abstract string, language string")
+    none = F.array().cast("array<string>")
+    frame = frame.withColumns({"pmid": F.col("place"), "pub_types": none, "mesh": none, "mesh_major": none, "year": F.lit("2020"), "journal_tier": F.lit("T1"), "in_guideline": F.lit(False)})
+    ranked = R.rank_articles(frame, R.Concepts(terms=("beta",), biomarkers=("beta",), interventions=(), target_mesh=("m",), target_terms=("t",), competing=(), lines=()), 2026, top_k=3)
+    got = sorted((str(r["query_id"]), r["pmid"], r["rank"]) for r in ranked.collect())
+    assert got == [("None", 1, 1), ("None", 3, 2), ("None", 5, 3), ("a", 1, 1), ("a", 3, 2), ("a", 5, 3), ("z", 1, 1)]
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
