@@ -49,6 +49,11 @@ LEARN_WORDS = 400_000
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
+#: Words of plain letters that the model gets as one text.
+JOINED = 1000
+
+#: Marks that are a word of their own after a letter (apostrophes aren't).
+MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Letters that no normal form changes and that lower-case one by one.
 LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
@@ -63,8 +68,8 @@ class WordEncoder:
     that comes again costs one dictionary lookup. Lower-casing A-Z first
     changes nothing, since the tokenizer does so itself. New words of plain
     letters, which the tokenizer's normalizer and pre-tokenizer leave whole,
-    go to its model directly; so do the letters before a word's last point or
-    comma. A text with a control string, such as ``<|endoftext|>``, in any case
+    go to its model directly, ``JOINED`` at a time, as the ids that end a word tell where each ends. Marks
+    after a word's last letter are a word of their own. A text with a control string, such as ``<|endoftext|>``, in any case
     of letters, goes to the tokenizer whole, as it is; so only the words of
     other texts are taken literally.
     """
@@ -79,7 +84,11 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.controls = [t.content.encode("utf-8", "replace").lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), level])
+        suffix, ids = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab(True)
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for token, i in ids.items() if suffix and token.endswith(suffix)]] = True
         self.memo: dict[bytes, bytes] = {}
 
     def _add(self, tokenizer, words: list[bytes], texts: list[str]) -> None:
@@ -87,16 +96,32 @@ class WordEncoder:
             found = tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)
             self.memo.update(zip(words[i : i + 20_000], (array("I", e.ids).tobytes() for e in found), strict=True))
 
+    def _add_plain(self, words: list[bytes], texts: list[str]) -> None:
+        for i in range(0, len(words), JOINED):
+            some = slice(i, i + JOINED)
+            ids = array("I", self.plain.encode_batch_fast(["\n".join(texts[some])], add_special_tokens=False)[0].ids)
+            cuts = [0, *((np.flatnonzero(self.ends[np.frombuffer(ids, np.uintc)]) + 1) * 4).tolist()]
+            raw = ids.tobytes()
+            if len(cuts) == len(words[some]) + 1 and cuts[-1] == len(raw):
+                self.memo.update(zip(words[some], [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            else:  # a model whose ids don't tell
+                self._add(self.plain, words[some], texts[some])
+
     def learn(self, words: set[bytes]) -> None:
         memo = self.memo
         new = words.difference(memo)
         if len(memo) + 2 * len(new) > MEMO_WORDS and memo:
+            kept = {w: memo[w] for w in words.difference(new)}
             memo.clear()
-            new = words
-        ended = [w for w in new if w.endswith((b".", b",")) and w[-2:-1].isalpha()]
-        need = new.difference(ended)
-        need.update([w[:-1] for w in ended])
-        need.update((b".", b","))
+            memo.update(kept)
+        ended = []
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and (stem[-1:].isalpha() or (stem[-2:-1] == b"\xc3" and stem[-1:] not in b"\x97\xb7")):
+                ended.append((w, stem, w[len(stem) :]))
+        need = new.difference([w for w, _, _ in ended])
+        for part in (1, 2):
+            need.update([x[part] for x in ended])
         need = list(need.difference(memo))
         plain, lower, other = [], [], []
         for w, text in zip(need, b"\n".join(need).decode("utf-8", "replace").lower().split("\n") if need else (), strict=True):
@@ -106,10 +131,10 @@ class WordEncoder:
             else:
                 other.append(w)
         rest = [w.decode("utf-8", "replace") for w in other]
-        self._add(self.plain, plain, lower)
+        self._add_plain(plain, lower)
         self._add(self.tokenizer, other, rest)
-        for w in ended:
-            memo[w] = memo[w[:-1]] + memo[w[-1:]]
+        for w, stem, marks in ended:
+            memo[w] = memo[stem] + memo[marks]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""

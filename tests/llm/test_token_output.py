@@ -35,6 +35,22 @@ def test_memo_may_overflow(whole, monkeypatch):
         assert [*np.frombuffer(got, "<u4").tolist(), 1] == whole(t)
 
 
+def test_plain_words_go_to_the_model_together_and_marks_apart(whole, monkeypatch):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        encoder = T.WordEncoder(f.read())
+    letters = "aeiounrst\u00e9\u00df\u00fc"
+    words = ["".join(letters[i // 12**k % 12] for k in range(4)) for i in range(5000)]
+    text = " ".join(words) + " " + " ".join(f"{w}{m}" for w, m in zip(words, ["***", "&&&", ".", "!?", "'.", ".'", "'s,", "\u00d7.", "\u00f7!", "1.", "\u0301.", "<|x|>", "\u2026."] * 400, strict=False))
+    alone, add = [], encoder._add
+    monkeypatch.setattr(encoder, "_add", lambda tokenizer, some, texts: (alone.extend(some), add(tokenizer, some, texts)))
+    assert [[*np.frombuffer(x, "<u4").tolist(), 1] for x in encoder.encode([text])] == [whole(text)]
+    assert len(alone) < 3700  # of 10,000 words; those with marks that aren't ASCII or have apostrophes, digits and accents
+    # Where ids don't tell where a word ends, each goes alone.
+    encoder.ends[:] = False
+    encoder.memo.clear()
+    assert [[*np.frombuffer(x, "<u4").tolist(), 1] for x in encoder.encode([text])] == [whole(text)]
+
+
 def test_shard_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     ids = rng.choice([0, 1, 255, 256, 65535, 65536, 2**24, 2**32 - 1], 3000).astype(np.uint32)
