@@ -238,7 +238,9 @@ class VectorIndex:
         cells = len(shared.value[0])
         buckets = sorted({cell * BUCKETS // cells for cell in wanted})
         blocks = self._living().filter(F.col("bucket").isin(buckets)).select("cell", "ids", "values", "least", "most", "gone")
-        return lots.join(blocks, "cell").mapInArrow(_nearest(shared, top_k), "query_id long, doc_id long, score double")
+        # Lots hold a question's vector once for each of its cells, which files of pairs hold in little room: Spark would
+        # take them for small by the files' size and broadcast them through the driver.
+        return lots.join(blocks.hint("merge"), "cell").mapInArrow(_nearest(shared, top_k), "query_id long, doc_id long, score double")
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:

@@ -1,5 +1,7 @@
 """The stored vector index beside an exact scan."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,13 @@ def rows_of(frame):
     return sorted(tuple(r) for r in frame.select("query_id", "doc_id", "score", "rank").collect())
 
 
+def scored_join(found):
+    """The join of questions with blocks in the last step of the search that makes ``found``, once it has run."""
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return re.search(r"MapInArrow best\(.*?(\w+Join)\b", plan, re.DOTALL)[1]
+
+
 @pytest.fixture(scope="module")
 def clusters(spark):
     """Twenty tight clusters of very different sizes, one vector many times over, and odd rows."""
@@ -99,3 +108,10 @@ def test_folders_of_blocks_are_few_however_many_cells(spark, tmp_path):
     asked = frame.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     best = {r["query_id"]: r["doc_id"] for r in index.search(asked, 3).filter("rank = 1").collect()}
     assert best == {i: i for i in range(0, 900, 50)}
+
+
+def test_questions_meet_blocks_without_a_broadcast_after_a_deletion(spark, clusters, asked, tmp_path):
+    index = V.VectorIndex(spark, f"file://{tmp_path}/v")
+    index.add(clusters[0])
+    index.delete(clusters[0].filter("vec_id % 3 = 0").select("vec_id"))
+    assert scored_join(index.search(asked, 5)) == "SortMergeJoin"
