@@ -23,7 +23,7 @@ they point evenly in all directions. ``probes`` gives up exactness and reads so
 for each question.
 
 Neither questions nor vectors go through the driver. The questions of a cell are dealt
-to lots of about ``LOT`` and meet the cell's blocks in a join by cell, so a cell that
+to lots of about ``LOT`` and meet the cell's blocks in a merge join by cell, so a cell that
 holds a third of all vectors is many rows, which adaptive execution can split. Only the centers
 and one row for each cell are held by tasks: ``MAX_CELLS`` and ``CENTER_VALUES`` bound them.
 

@@ -115,3 +115,10 @@ def test_questions_meet_blocks_without_a_broadcast_after_a_deletion(spark, clust
     index.add(clusters[0])
     index.delete(clusters[0].filter("vec_id % 3 = 0").select("vec_id"))
     assert scored_join(index.search(asked, 5)) == "SortMergeJoin"
+
+
+def test_questions_meet_blocks_without_a_broadcast(spark, clusters, asked, tmp_path):
+    index = V.VectorIndex(spark, f"file://{tmp_path}/v")
+    index.add(clusters[0])
+    assert scored_join(index.search(asked, 5)) == "SortMergeJoin"
+    assert rows_of(index.search(asked, 5)) == rows_of(S.vector_search(clusters[0], asked, 5))
